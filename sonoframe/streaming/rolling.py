@@ -124,7 +124,10 @@ def stream_spans(chunks: DataFrame, chunk: int, stride: int, idle_timeout_ms: in
     whole = F.when(payload_is_whole(F.col("payload")), F.col("payload"))
     rows = chunks.select("session", "seq", whole.alias("payload"), F.coalesce("eos", F.lit(False)).alias("eos"))
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
-    return rows.groupBy("session").applyInPandasWithState(update, SPAN, STATE, "append", timeout)
+    spans = rows.groupBy("session").applyInPandasWithState(update, SPAN, STATE, "append", timeout)
+    # The state operator hands out columnar rows, which a shuffle cannot write; any
+    # real projection turns them into ordinary ones.
+    return spans.withColumn("span", F.coalesce("span", F.lit(b"")))
 
 
 def broken_chunks(chunks: DataFrame) -> DataFrame:

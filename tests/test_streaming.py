@@ -1,0 +1,202 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sonoframe.functions.audio import unpack_samples
+from sonoframe.functions.recognise import text_of, transcribe_windows
+from sonoframe.plans.transcribe import replay_sessions, segment_lines, transcribe_files, transcribe_waveforms
+from sonoframe.schemas import CHUNK
+from sonoframe.sinks.tables import write_messages
+from sonoframe.sources.stream import read_pcm_stream
+from sonoframe.streaming.rolling import broken_chunks, stream_spans, stream_transcribe
+from tests.test_sources import make_wave
+from tests.test_windows import simulate
+
+
+def first_and_sum():
+    """Test recogniser: names a window by its first sample, its length and its sum."""
+
+    def recognise(samples, rate):
+        if not len(samples):
+            return None
+        if samples[0] % 7 == 3:
+            return {"text": "  "}
+        if samples[0] % 7 == 4:
+            return [{"text": " x"}, {"text": f"{int(samples[0])} "}, {}]
+        return {"text": f" {int(samples[0])}+{len(samples)}={int(samples.sum())} "}
+
+    return recognise
+
+
+def messages(sizes, chunk, stride, closed=True):
+    """Brute force for one session: its messages in order."""
+    hear = first_and_sum()
+    x = np.arange(sum(sizes), dtype="f4")
+    appended, rest = simulate(sizes, chunk, stride)
+    out = []
+    for i in range(len(sizes)):
+        texts = [text_of(hear(x[s:e], 1)) for seq, _, s, e in appended if seq == i]
+        text = " ".join(t for t in texts if t)
+        if text:
+            out.append((i, "partial", text))
+    if closed and rest:
+        text = text_of(hear(x[rest[1] : rest[2]], 1))
+        if text:
+            out.append((len(sizes), "final", text))
+    return out
+
+
+def chunk_rows(sessions, eos=True):
+    out = []
+    for s, sizes in sessions.items():
+        at = 0
+        for i, n in enumerate(sizes):
+            out.append((s, i, None, np.arange(at, at + n, dtype="<f4").tobytes(), False))
+            at += n
+        if eos:
+            out.append((s, len(sizes), None, None, True))
+    return out
+
+
+SESSIONS = {f"s{i}": [random.Random(i).randrange(0, 30) for _ in range(12)] for i in range(7)}
+
+
+def expected(sessions, chunk, stride, closed=True):
+    return sorted((s, *m) for s, sizes in sessions.items() for m in messages(sizes, chunk, stride, closed))
+
+
+def drain(stream, out, checkpoint):
+    query = write_messages(stream, str(out), str(checkpoint), availableNow=True)
+    query.awaitTermination(120)
+    assert query.exception() is None
+
+
+def result(spark, out):
+    return sorted(tuple(r) for r in spark.read.parquet(str(out)).select("session", "seq", "type", "text").collect())
+
+
+def test_text_of():
+    assert text_of({"text": " a "}) == "a" and text_of({}) == "" and text_of(None) == "" and text_of("a") == ""
+    assert text_of([{"text": "a "}, {"text": ""}, {"text": " b"}]) == "a    b"
+
+
+def test_stream_in_any_order_with_replays_and_restart(spark, tmp_path):
+    chunk, stride = 10, 3
+    rows = chunk_rows(SESSIONS)
+    random.Random(0).shuffle(rows)
+    replayed = rows + random.Random(1).sample(rows, 20)
+    inbox, out, checkpoint = tmp_path / "in", tmp_path / "out", tmp_path / "ck"
+
+    def send(part):
+        spark.createDataFrame(part, CHUNK).coalesce(3).write.mode("append").parquet(str(inbox))
+
+    def run():
+        stream = read_pcm_stream(spark, str(inbox), max_files_per_trigger=2)
+        drain(stream_transcribe(stream, first_and_sum, 1, chunk, stride), out, checkpoint)
+
+    send(replayed[:30])
+    run()
+    send(replayed[30:70])
+    run()  # a new query on the same checkpoint
+    send(replayed[70:])
+    run()
+    want = expected(SESSIONS, chunk, stride)
+    assert result(spark, out) == want
+    # The batch job over the same stored chunks gives the same messages.
+    stored = spark.createDataFrame(rows, CHUNK)
+    batch = replay_sessions(stored, first_and_sum, 1, chunk, stride)
+    assert sorted(tuple(r) for r in batch.select("session", "seq", "type", "text").collect()) == want
+    # After closing, nothing more is heard from a session.
+    send([("s1", 13, None, np.arange(50, dtype="<f4").tobytes(), False)])
+    run()
+    assert result(spark, out) == want
+
+
+def test_open_session_has_no_final(spark, tmp_path):
+    inbox = tmp_path / "in"
+    spark.createDataFrame(chunk_rows(SESSIONS, eos=False), CHUNK).write.parquet(str(inbox))
+    drain(stream_transcribe(read_pcm_stream(spark, str(inbox)), first_and_sum, 1, 10, 3), tmp_path / "o", tmp_path / "c")
+    want = expected(SESSIONS, 10, 3, closed=False)
+    assert result(spark, tmp_path / "o") == want
+    batch = replay_sessions(spark.read.parquet(str(inbox)), first_and_sum, 1, 10, 3)
+    assert sorted(tuple(r) for r in batch.select("session", "seq", "type", "text").collect()) == want
+
+
+def test_broken_chunk_leaves_the_session_intact(spark, tmp_path):
+    rows = chunk_rows({"a": [12, 0, 9]})
+    rows[1] = ("a", 1, None, b"12345", False)
+    df = spark.createDataFrame(rows, CHUNK)
+    df.write.parquet(str(tmp_path / "in"))
+    drain(stream_transcribe(read_pcm_stream(spark, str(tmp_path / "in")), first_and_sum, 1, 10, 3), tmp_path / "o", tmp_path / "c")
+    want = expected({"a": [12, 0, 9]}, 10, 3)
+    assert result(spark, tmp_path / "o") == want
+    assert [r["seq"] for r in broken_chunks(df).collect()] == [1]
+    batch = replay_sessions(df, first_and_sum, 1, 10, 3)
+    assert sorted(tuple(r) for r in batch.select("session", "seq", "type", "text").collect()) == want
+    assert [r[0] for r in df.select(unpack_samples(F.col("payload"))).filter("seq = 1").collect()] == [None]
+
+
+def test_idle_timeout_flushes_and_forgets(spark, tmp_path):
+    inbox = tmp_path / "in"
+    rows = [r for r in chunk_rows({"a": [12, 5, 5]}, eos=False) if r[1] != 1]  # a chunk is lost
+    spark.createDataFrame(rows, CHUNK).write.parquet(str(inbox))
+    spans = stream_spans(read_pcm_stream(spark, str(inbox)), 10, 3, idle_timeout_ms=1500)
+    query = spans.writeStream.format("memory").queryName("idle").outputMode("append").trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(60):
+            if spark.sql("select * from idle where kind = 'final'").count():
+                break
+            query.awaitTermination(1)
+    finally:
+        query.stop()
+    got = sorted((r["kind"], r["first_win"], r["n_win"], r["start"], r["end"]) for r in spark.sql("select * from idle").collect())
+    # 12 samples complete one window; the 5 that waited are taken when the session is given up.
+    assert got == [("final", 3, 1, 9, 17), ("partial", 0, 1, 0, 10), ("partial", 1, 2, 3, 16)]
+
+
+def test_parameters(spark):
+    df = spark.createDataFrame([], CHUNK)
+    for bad in ((0, 1), (5, 0), (1, 5), (5, 1e-5)):
+        with pytest.raises(ValueError):
+            stream_transcribe(df, first_and_sum, 16000, *bad)
+
+
+def span_namer():
+    return lambda samples, rate: {"text": f" {int(round(float(samples[0]) * 32768))}-{len(samples)}@{rate} "}
+
+
+def test_transcribe_files(spark, tmp_path):
+    make_wave(tmp_path / "w" / "a.wav", np.arange(25), rate=10)
+    make_wave(tmp_path / "w" / "b.wav", np.arange(20), rate=20)
+    out = transcribe_files(spark, str(tmp_path / "w"), span_namer, 1.0, 10, {"architecture": "stub"})
+    got = {r["path"].rsplit("/", 1)[1]: r for r in out.collect()}
+    assert got["a.wav"]["text"] == "0-10@10 10-10@10 20-5@10" and got["b.wav"]["text"] == "0-10@10"
+    assert got["a.wav"]["metadata"] == {"architecture": "stub"}
+    assert [tuple(c) for c in got["a.wav"]["chunks"]] == [
+        (0.0, 1.0, "0-10@10"), (1.0, 2.0, "10-10@10"), (2.0, 2.5, "20-5@10"),
+    ]
+    lines = segment_lines(out).filter("path like '%a.wav'").orderBy("pos").collect()
+    assert [r["line"] for r in lines] == ["[0.00-1.00] 0-10@10", "[1.00-2.00] 10-10@10", "[2.00-2.50] 20-5@10"]
+    whole = transcribe_files(spark, str(tmp_path / "w" / "a.wav"), span_namer, 0, 10)
+    assert whole.first()["text"] == "0-25@10" and whole.first()["metadata"] == {}
+
+
+def test_transcribe_waveforms(spark):
+    df = spark.createDataFrame([("a", 10, [0.0] * 10), ("b", 20, [0.0] * 10)], "utt_id string, sampling_rate int, array array<float>")
+    got = {r["utt_id"]: r["text"] for r in transcribe_waveforms(df, span_namer, 10).collect()}
+    assert got == {"a": "0-10@10", "b": "0-5@10"}
+
+
+def test_recogniser_is_built_once_per_worker(spark):
+    def counting():
+        import os
+        import uuid
+
+        name = f"{os.getpid()}-{uuid.uuid4().hex}"
+        return lambda samples, rate: {"text": name}
+
+    df = spark.range(40, numPartitions=20).select("id", F.array(F.lit(1.0)).cast("array<float>").alias("samples"))
+    seen = {r["text"] for r in transcribe_windows(df, counting, 1).collect()}
+    assert len({s.split("-")[0] for s in seen}) == len(seen)
