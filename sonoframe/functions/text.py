@@ -142,7 +142,7 @@ def path_stem(path: Column) -> Column:
 
 def first_part_below(path: Column, root: str) -> Column:
     """First path component under ``root`` (the file name itself if it lies there)."""
-    prefix = root.rstrip("/") + "/"
+    prefix = root if root.endswith("/") else root + "/"
     at = F.locate(prefix, path)
     tail = F.substring(path, at + F.lit(len(prefix)), F.length(path))
     return F.when(at > 0, F.substring_index(tail, "/", 1))
