@@ -13,9 +13,10 @@ SAMPLES = T.ArrayType(T.FloatType(), True)
 Resampler = Callable[[np.ndarray, int, int], np.ndarray]
 
 
-def list_rows(column: pa.Array) -> list[np.ndarray | None]:
-    """NumPy view of every row of a list column."""
-    values = column.values.to_numpy(zero_copy_only=False)
+def list_rows(column: pa.Array, fill: int | None = None) -> list[np.ndarray | None]:
+    """NumPy view of every row of a list column; ``fill`` stands for NULL elements."""
+    values = column.values if fill is None else column.values.fill_null(fill)
+    values = values.to_numpy(zero_copy_only=False)
     offsets = column.offsets.to_numpy()
     return [
         values[offsets[i] : offsets[i + 1]] if valid else None

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from sonoframe.functions.arrays import let
-from sonoframe.functions.text import strip, _WS
+from sonoframe.functions.text import WHITESPACE, char_class, strip
 
 _FIRST_CODE_POINT = 0x10000  # planes 1 to 16: valid code points, no surrogates among them
 
@@ -11,7 +11,7 @@ _FIRST_CODE_POINT = 0x10000  # planes 1 to 16: valid code points, no surrogates
 def words(text: Column) -> Column:
     """Words of a sentence: two or more white-space characters count as one space,
     outer white space goes, and the rest is cut at single spaces."""
-    single_spaced = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{_WS}]{{2,}}", " ")
+    single_spaced = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{char_class(WHITESPACE)}]{{2,}}", " ")
     return F.filter(F.split(strip(single_spaced), " "), lambda w: w != "")
 
 

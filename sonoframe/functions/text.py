@@ -39,15 +39,16 @@ NFC_INERT_RANGES = (
 # ----------------------------------------------------------------------------
 
 
-def _char_class(chars: str) -> str:
-    return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
+def char_class(chars: str) -> str:
+    """Body of a regular-expression class; neighbours become ranges, which Java tests faster."""
+    codes = sorted({ord(c) for c in chars})
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends))
 
 
-_WS = _char_class(WHITESPACE)
-_PUNCT = _char_class(PUNCTUATION)
-WHITESPACE_RUN = f"[{_WS}]+"
-LINE_BREAK = f"[{_char_class(EXTRA_LINE_BREAKS)}]"
-_PUNCT_OR_SPACE_RUN = f"[{_PUNCT}{_WS}]+"
+WHITESPACE_RUN = f"[{char_class(WHITESPACE)}]+"
+LINE_BREAK = f"[{char_class(EXTRA_LINE_BREAKS)}]"
 _MAY_CHANGE_UNDER_NFC = "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in NFC_INERT_RANGES) + "]"
 
 
@@ -69,7 +70,7 @@ def lower(text: Column) -> Column:
 
 
 def punctuation_to_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"[{_PUNCT}]", " ")
+    return F.translate(text, PUNCTUATION, " " * len(PUNCTUATION))
 
 
 def collapse_whitespace(text: Column) -> Column:
@@ -94,11 +95,13 @@ def normalize_transcript(text: Column) -> Column:
     """Lower case, punctuation to spaces, NFC, single spaces, no outer spaces.
 
     NFC turns no character into white space that was not white space before, so
-    the runs can be collapsed in the same pass that drops the punctuation. The
+    white space can become plain spaces in the same pass that drops the punctuation;
+    ``translate`` does that several times faster than a regular expression. The
     punctuation itself must go first: NFC maps U+037E to a semicolon, which stays.
     """
-    spaced = F.regexp_replace(F.lower(text), _PUNCT_OR_SPACE_RUN, " ")
-    return F.trim(_nfc_where_needed(text, spaced))
+    blanked = PUNCTUATION + WHITESPACE
+    spaced = F.translate(F.lower(text), blanked, " " * len(blanked))
+    return F.trim(_nfc_where_needed(text, F.regexp_replace(spaced, " {2,}", " ")))
 
 
 def split_first_word(line: Column) -> Column:

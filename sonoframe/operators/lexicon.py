@@ -1,17 +1,19 @@
 """Tokens and their ids.
 
 A vocabulary is a table ``(token_id, token, is_special)``. While it is small (as
-every character vocabulary is) it goes into the plan as a constant array and is
-looked up in place: no join, no row per character. A larger one is joined.
+every character vocabulary is) it travels with the function that looks it up: no
+join, no row per character. A larger one is joined.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from sonoframe.functions.audio import list_rows
 from sonoframe.operators.concat import concat_segments
 from sonoframe.schemas import VOCAB
 
-IN_PLAN_TOKENS = 20_000
-_IN_PLAN_CODE_POINTS = 0x20000  # the lookup array by code point stays below half a megabyte
+SMALL_VOCABULARY = 20_000
 
 
 def char_vocabulary(df: DataFrame, text: str, specials: tuple[str, ...] = ("<blank>", "<unk>")) -> DataFrame:
@@ -32,33 +34,54 @@ def _small(vocab: DataFrame, limit: int):
     return rows if len(rows) <= limit else None
 
 
-def _constant(values: list, sql_type: str) -> Column:
-    """A constant array; Spark folds the split and the cast once, while planning."""
-    return F.split(F.lit(",".join(str(v) for v in values)), ",").cast(f"array<{sql_type}>")
+def _encoder(table: np.ndarray):
+    """Arrow function from text to ids. The last entry of the table is for every
+    character beyond it."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(texts: pa.Array) -> pa.Array:
+        last = len(table) - 1
+        codes = [np.frombuffer((t or "").encode("utf-32-le"), "<u4") for t in texts.to_pylist()]
+        offsets = np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int32)
+        ids = table[np.minimum(np.concatenate(codes), last)] if codes else np.zeros(0, np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=texts.is_null())
+
+    return encode
+
+
+def _decoder(tokens: list[str | None], separator: str):
+    """Arrow function from ids to text; None stands for tokens that are skipped."""
+
+    @F.arrow_udf(T.StringType())
+    def decode(ids: pa.Array) -> pa.Array:
+        spoken = np.array([t is not None for t in tokens])
+        out = []
+        for row in list_rows(ids, fill=-1):
+            if row is None:
+                out.append(None)
+                continue
+            known = row[(row >= 0) & (row < len(tokens))]
+            out.append(separator.join([tokens[i] for i in known[spoken[known]].tolist()]))
+        return pa.array(out, pa.string())
+
+    return decode
 
 
 def encode_characters(
     df: DataFrame, keys: list[str], text: str, vocab: DataFrame, unknown: str = "<unk>", name: str = "labels",
-    limit: int = IN_PLAN_TOKENS,
+    limit: int = SMALL_VOCABULARY,
 ) -> DataFrame:
     """Text to character ids, unknown characters to the id of ``unknown``.
 
-    The in-plan path keeps all columns of ``df``; the join path returns keys and ids.
+    With a small vocabulary the result keeps all columns of ``df``; otherwise it has keys and ids.
     """
     rows = _small(vocab, limit)
     if rows is not None:
         ids = {row["token"]: row["token_id"] for row in rows}
         by_code = {ord(t): i for t, i in ids.items() if len(t) == 1}
-        top = max(by_code, default=0)
-        if top < _IN_PLAN_CODE_POINTS:
-            unknown_id = ids[unknown]
-            table = _constant([by_code.get(c, unknown_id) for c in range(top + 1)], "int")
-            # Characters beyond the table are unknown, too; '' has none.
-            lookup = F.transform(
-                F.filter(F.split(text, ""), lambda c: c != ""),
-                lambda c: F.coalesce(F.get(table, F.ascii(c)), F.lit(unknown_id)),
-            )
-            return df.withColumn(name, lookup)
+        table = np.full(max(by_code, default=0) + 2, ids[unknown], np.int32)
+        table[list(by_code)] = list(by_code.values())
+        return df.withColumn(name, _encoder(table)(F.col(text)))
     unknown_id = vocab.filter(F.col("token") == unknown).select("token_id").first()["token_id"]
     characters = df.select(*keys, F.posexplode(F.filter(F.split(text, ""), lambda c: c != "")).alias("_at", "token"))
     found = characters.join(vocab.select("token", "token_id"), "token", "left")
@@ -74,7 +97,7 @@ def encode_characters(
 
 def decode_ids(
     df: DataFrame, keys: list[str], ids: str, vocab: DataFrame, separator: str = "", name: str = "text",
-    limit: int = IN_PLAN_TOKENS,
+    limit: int = SMALL_VOCABULARY,
 ) -> DataFrame:
     """Ids to text; special tokens are skipped, as are ids the vocabulary lacks."""
     rows = _small(vocab, limit)
@@ -84,13 +107,7 @@ def decode_ids(
         for row in rows:
             if not row["is_special"]:
                 tokens[row["token_id"]] = row["token"]
-        table = F.array(*[F.lit(t).cast("string") for t in tokens])
-        if len(tokens) > 256:  # one constant instead of many
-            present = "\x00".join("\x01" if t is None else t for t in tokens)
-            table = F.transform(F.split(F.lit(present), "\x00"), lambda t: F.nullif(t, F.lit("\x01")))
-        # array_join skips NULL: special and unknown ids. Negative ids are unknown.
-        looked_up = F.transform(ids, lambda i: F.when(i >= 0, F.get(table, i)))
-        return df.withColumn(name, F.array_join(looked_up, separator))
+        return df.withColumn(name, _decoder(tokens, separator)(F.col(ids)))
     exploded = df.select(*keys, F.posexplode(ids).alias("_at", "token_id"))
     spoken = exploded.join(vocab.filter(~F.col("is_special")).select("token_id", "token"), "token_id")
     if separator != " ":
