@@ -18,8 +18,8 @@ def batch_max_length(
     """
     if rows_per_batch is not None:
         return df.withColumn(name, F.max(F.size(labels)).over(Window.partitionBy(batch)))
-    longest = df.groupBy(batch).agg(F.max(F.size(labels)).alias(name))
-    return df.join(longest, batch)
+    longest = df.groupBy(F.col(batch).alias("_batch")).agg(F.max(F.size(labels)).alias(name))
+    return df.join(longest, F.col(batch).eqNullSafe(F.col("_batch"))).drop("_batch")
 
 
 def pad_labels(

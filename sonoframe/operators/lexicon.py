@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sonoframe.functions.audio import list_rows
-from sonoframe.operators.concat import concat_segments
 from sonoframe.schemas import VOCAB
 
 SMALL_VOCABULARY = 20_000
@@ -83,16 +82,14 @@ def encode_characters(
         table[list(by_code)] = list(by_code.values())
         return df.withColumn(name, _encoder(table)(F.col(text)))
     unknown_id = vocab.filter(F.col("token") == unknown).select("token_id").first()["token_id"]
-    characters = df.select(*keys, F.posexplode(F.filter(F.split(text, ""), lambda c: c != "")).alias("_at", "token"))
-    found = characters.join(vocab.select("token", "token_id"), "token", "left")
-    found = found.withColumn("token_id", F.coalesce("token_id", F.lit(unknown_id)))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_at", "token_id"))), lambda p: p["token_id"])
-    coded = found.groupBy(*keys).agg(ordered.alias(name))
-    # Empty texts leave no character rows; they have no ids, not NULL.
-    empty = F.array().cast("array<int>")
-    return df.select(*keys, F.col(text).alias("_text")).join(coded, keys, "left").select(
-        *keys, F.when(F.col("_text").isNotNull(), F.coalesce(name, empty)).alias(name)
-    )
+    characters = F.filter(F.split(text, ""), lambda c: c != "")
+    found = df.select(
+        *keys, F.col(text).isNull().alias("_missing"), F.posexplode_outer(characters).alias("_at", "token")
+    ).join(vocab.select("token", "token_id"), "token", "left")
+    coded = F.when(F.col("token").isNotNull(), F.struct("_at", F.coalesce("token_id", F.lit(unknown_id)).alias("id")))
+    gathered = found.groupBy(*keys, "_missing").agg(F.sort_array(F.collect_list(coded)).alias("_coded"))
+    ids = F.transform("_coded", lambda p: p["id"])
+    return gathered.select(*keys, F.when(~F.col("_missing"), ids).alias(name))
 
 
 def decode_ids(
@@ -108,15 +105,11 @@ def decode_ids(
             if not row["is_special"]:
                 tokens[row["token_id"]] = row["token"]
         return df.withColumn(name, _decoder(tokens, separator)(F.col(ids)))
-    exploded = df.select(*keys, F.posexplode(ids).alias("_at", "token_id"))
-    spoken = exploded.join(vocab.filter(~F.col("is_special")).select("token_id", "token"), "token_id")
-    if separator != " ":
-        joined = spoken.groupBy(*keys).agg(
-            F.array_join(
-                F.transform(F.sort_array(F.collect_list(F.struct("_at", "token"))), lambda p: p["token"]), separator
-            ).alias(name)
-        )
-    else:
-        joined = concat_segments(spoken, keys, "_at", "token", "strip_each", name)
-    base = df.select(*keys, F.col(ids).alias("_ids")).join(joined, keys, "left")
-    return base.select(*keys, F.when(F.col("_ids").isNotNull(), F.coalesce(name, F.lit(""))).alias(name))
+    spoken = vocab.filter(~F.col("is_special")).select("token_id", "token")
+    found = df.select(
+        *keys, F.col(ids).isNull().alias("_missing"), F.posexplode_outer(ids).alias("_at", "token_id")
+    ).join(spoken, "token_id", "left")
+    token = F.when(F.col("token").isNotNull(), F.struct("_at", "token"))
+    gathered = found.groupBy(*keys, "_missing").agg(F.sort_array(F.collect_list(token)).alias("_tokens"))
+    joined = F.array_join(F.transform("_tokens", lambda p: p["token"]), separator)
+    return gathered.select(*keys, F.when(~F.col("_missing"), joined).alias(name))

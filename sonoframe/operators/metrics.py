@@ -10,8 +10,10 @@ from sonoframe.functions.text import strip
 
 
 def count_splits(df: DataFrame) -> DataFrame:
-    """Rows per split and, under split NULL, in total."""
-    return df.rollup("split").agg(F.count("*").alias("n"))
+    """Rows per split and, under split NULL, in total. The total adds up the few counts,
+    not the rows."""
+    per_split = df.groupBy("split").agg(F.count("*").alias("n"))
+    return per_split.rollup("split").agg(F.sum("n").alias("n"))
 
 
 def require_rows(counts: DataFrame) -> DataFrame:

@@ -13,30 +13,48 @@ def running_sum(
     name: str,
     block: int = DEFAULT_BLOCK,
     total: str | None = None,
+    key_max: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows of the same key up to this one,
-    and on request ``total``: its sum over the whole key.
+    and on request ``total``, its sum over the whole key, and maxima over the key.
 
     ``order`` is an integer, unique within a key. A window per key would sort a
-    whole key in one task; here a key is cut into blocks of ``block`` consecutive
-    order values, which are summed in parallel. A table with one total per block
-    supplies what lies before each block. The detail rows are shuffled once: the
-    join uses the partitioning that the window made.
+    whole key in one task. Here a key is cut into blocks of ``block`` consecutive
+    order values. A small table with one row per block holds what lies before it;
+    that row goes in front of the block's own rows, and the running sum over the
+    block starts from it. So rows are shuffled once and nothing is joined.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block))).withColumn("_value", value.cast("bigint"))
+    key_max = key_max or {}
     group = [*keys, "_block"]
-    totals = blocked.groupBy(*group).agg(F.sum("_value").alias("_total"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*group, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"), *(
-        [F.sum("_total").over(Window.partitionBy(*keys)).alias(total)] if total else []
-    ))
-    within = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = blocked.withColumn("_within", F.sum("_value").over(within))
-    return (
-        summed.join(starts, group)
-        .withColumn(name, F.col("_before") + F.col("_within"))
-        .drop("_block", "_value", "_within", "_before")
+    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block))).withColumn("_value", value.cast("bigint"))
+
+    maxima = [F.max(column).alias(f"_key_{n}") for n, column in key_max.items()]
+    blocks = blocked.groupBy(*group).agg(F.sum("_value").alias("_sum"), *maxima)
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(
+        *group,
+        F.lit(True).alias("_is_start"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_value"),
+        *([F.sum("_sum").over(whole).alias(f"_key_{total}")] if total else []),
+        *[F.max(f"_key_{n}").over(whole).alias(f"_key_{n}") for n in key_max],
+    )
+
+    upto_here = (
+        Window.partitionBy(*group)
+        .orderBy(F.col("_is_start").desc(), order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    rows = blocked.withColumn("_is_start", F.lit(False)).unionByName(starts, allowMissingColumns=True)
+    per_key = [*([total] if total else []), *key_max]
+    summed = rows.select(
+        *df.columns,
+        "_is_start",
+        F.sum("_value").over(upto_here).alias(name),
+        # Only the start row has these, and it is the first one.
+        *[F.max(f"_key_{n}").over(upto_here).alias(n) for n in per_key],
     )
+    return summed.filter(~F.col("_is_start")).drop("_is_start")
 
 
 def sequence_numbers(df: DataFrame, keys: list[str], order: str, name: str = "seq") -> DataFrame:

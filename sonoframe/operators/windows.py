@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sonoframe.operators.running import running_sum
 
+FINAL = -1  # block number of a session's last span
+
 
 def window_sizes(chunk_s: float, stride_s: float, sampling_rate: int) -> tuple[int, int]:
     """Window and hop in samples. Both must hold at least one sample."""
@@ -35,11 +37,10 @@ def windows_done(n_samples: Column, chunk: int, stride: int) -> Column:
 
 
 def chunk_offsets(
-    chunks: DataFrame, keys: list[str], order: str, n_samples: str, total: str | None = None
+    chunks: DataFrame, keys: list[str], order: str, n_samples: str, **per_key
 ) -> DataFrame:
-    """Add the sample offsets ``before`` and ``upto`` of every chunk in its session, and
-    on request the session's ``total``."""
-    summed = running_sum(chunks, keys, order, F.col(n_samples), "upto", total=total)
+    """Add the sample offsets ``before`` and ``upto`` of every chunk in its session."""
+    summed = running_sum(chunks, keys, order, F.col(n_samples), "upto", **per_key)
     return summed.withColumn("before", F.col("upto") - F.col(n_samples).cast("bigint"))
 
 
@@ -158,51 +159,48 @@ def window_samples(windows: DataFrame, frames: DataFrame, keys: list[str], frame
 def chunk_spans(
     chunks: DataFrame, chunk: int, stride: int, windows_per_span: int = 64
 ) -> DataFrame:
-    """Stored chunks of finished sessions as spans, the batch form of the live stream.
-
-    ``chunks`` has ``session, seq, payload`` (packed float32, NULL for none). Window
-    runs of ``windows_per_span`` become one span each, so samples are shuffled
-    about once and not once per overlapping window; the leftover is the ``final``
-    span. Sessions are cut everywhere, so a long one is spread over many tasks.
+    """Stored chunks of whole sessions as spans, the batch form of the live stream.
+
+    ``chunks`` has ``session, seq, payload, eos`` (packed float32, NULL for none).
+    Window runs of ``windows_per_span`` become one span each, so samples are
+    shuffled about once and not once per overlapping window; what is left of a
+    closed session is its ``final`` span. Sessions are cut everywhere, so a long one
+    is spread over many tasks. ``seqs`` and ``ends`` list the chunks in a span and
+    the offsets at which they end: they tell which chunk completes a window.
     """
     sized = chunks.select(
-        "session", "seq", "payload", F.coalesce(quotient(F.length("payload"), 4), F.lit(0)).alias("n")
+        "session", "seq", "payload", "eos", F.coalesce(quotient(F.length("payload"), 4), F.lit(0)).alias("n")
+    )
+    offsets = chunk_offsets(
+        sized, ["session"], "seq", "n", total="total",
+        key_max={"last_seq": F.col("seq"), "closed": F.coalesce("eos", F.lit(False))},
     )
-    offsets = chunk_offsets(sized, ["session"], "seq", "n", "total").filter(F.col("n") > 0)
-    placed = offsets.withColumn("done", windows_done(F.col("total"), chunk, stride))
+    placed = offsets.filter("n > 0").withColumn("done", windows_done(F.col("total"), chunk, stride))
     hop = stride * windows_per_span
     # Partial spans that [before, upto) reaches into: the last one starts before
     # ``upto``, the first one has windows that end after ``before``.
     last_span = F.least(quotient(F.col("upto") - 1, hop), quotient(F.col("done") - 1, windows_per_span))
     reach = hop - stride + chunk
     first_span = F.greatest(F.lit(0), quotient(F.greatest(F.col("before") - reach, F.lit(-1)) + hop, hop))
-    partial = placed.filter("done > 0").withColumn("_a", first_span).withColumn("_b", last_span).filter("_b >= _a")
-    partial = partial.withColumn("block", F.explode(F.sequence("_a", "_b"))).select(
-        "session",
-        "seq",
-        "before",
-        "upto",
-        "payload",
-        F.lit("partial").alias("kind"),
-        (F.col("block") * windows_per_span).alias("first_win"),
-        F.least(F.lit(windows_per_span), F.col("done") - F.col("block") * windows_per_span).alias("n_win"),
-    )
-    partial = partial.withColumn("start", F.col("first_win") * stride).withColumn(
-        "end", F.col("start") + (F.col("n_win") - 1) * stride + chunk
-    )
-    final = placed.select(
-        "session",
-        "seq",
-        "before",
-        "upto",
-        "payload",
-        F.lit("final").alias("kind"),
-        F.col("done").alias("first_win"),
-        F.lit(1).cast("bigint").alias("n_win"),
-        (F.col("done") * stride).alias("start"),
-        F.col("total").alias("end"),
+    none = F.array().cast("array<bigint>")
+    partial_spans = F.when(
+        (F.col("done") > 0) & (last_span >= first_span), F.sequence(first_span, last_span)
+    ).otherwise(none)
+    is_left = F.col("closed") & (F.col("upto") > F.col("done") * stride)
+    final_span = F.when(is_left, F.array(F.lit(FINAL).cast("bigint"))).otherwise(none)
+    reached = placed.withColumn("block", F.explode(F.concat(partial_spans, final_span)))
+    final = F.col("block") == FINAL
+    first_win = F.when(final, F.col("done")).otherwise(F.col("block") * windows_per_span)
+    n_win = F.when(final, F.lit(1)).otherwise(F.least(F.lit(windows_per_span), F.col("done") - F.col("first_win")))
+    partial_end = F.col("start") + (F.col("n_win") - 1) * stride + chunk
+    touching = (
+        reached.withColumn("kind", F.when(final, "final").otherwise("partial"))
+        .withColumn("first_win", first_win)
+        .withColumn("n_win", n_win.cast("bigint"))
+        .withColumn("start", F.col("first_win") * stride)
+        .withColumn("end", F.when(final, F.col("total")).otherwise(partial_end))
+        .filter("before < end AND upto > start")
     )
-    touching = partial.unionByName(final).filter("before < end AND upto > start")
     lo = F.greatest("before", "start")
     hi = F.least("upto", "end")
     pieces = touching.withColumn("_at", lo).withColumn(
@@ -211,7 +209,20 @@ def chunk_spans(
             F.col("payload"), ((lo - F.col("before")) * 4 + 1).cast("int"), ((hi - lo) * 4).cast("int")
         ),
     )
-    return pieces.groupBy("session", "kind", "first_win", "n_win", "start", "end").agg(
-        F.max("seq").alias("seq"),
-        F.expr("listagg(_piece, X'') WITHIN GROUP (ORDER BY _at)").alias("span"),
-    ).select("session", "seq", "kind", "first_win", "n_win", "start", "end", "span")
+    # A final span is sent by the row that closes the session.
+    sender = F.when(F.col("kind") == "final", F.col("last_seq")).otherwise(F.col("seq"))
+    ordered = F.sort_array(F.collect_list(F.struct("_at", "upto", "seq", "_piece")))
+    spans = pieces.withColumn("seq", sender).groupBy("session", "kind", "first_win", "n_win", "start", "end").agg(
+        ordered.alias("_pieces")
+    )
+    return spans.select(
+        "session",
+        "kind",
+        "first_win",
+        "n_win",
+        "start",
+        "end",
+        F.col("_pieces.seq").alias("seqs"),
+        F.col("_pieces.upto").alias("ends"),
+        F.col("_pieces._piece").alias("pieces"),
+    )

@@ -2,11 +2,11 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonoframe.functions.audio import Resampler, linear_resampler, resample
+from sonoframe.functions.audio import Resampler, linear_resampler, payload_is_whole, resample
 from sonoframe.functions.recognise import RecogniserFactory, spread, transcribe_spans, transcribe_windows
 from sonoframe.functions.text import segment_label, strip
 from sonoframe.operators.concat import concat_segments
-from sonoframe.operators.windows import append_windows, chunk_offsets, chunk_spans, quotient, window_sizes
+from sonoframe.operators.windows import chunk_spans, window_sizes
 from sonoframe.sources.audio import read_audio_windows
 
 
@@ -77,25 +77,8 @@ def replay_sessions(
     into spans that are worked on in parallel.
     """
     chunk, stride = window_sizes(chunk_s, stride_s, sampling_rate)
-    whole = F.when(F.length("payload") % 4 == 0, F.col("payload"))
+    whole = F.when(payload_is_whole(F.col("payload")), F.col("payload"))
     stored = chunks.select("session", "seq", whole.alias("payload"), "eos")
-    spans = chunk_spans(stored, chunk, stride)
-
-    def heard(kind: str) -> DataFrame:
-        # Filtered before the recogniser: each window is recognised once.
-        one_kind = spans.filter(F.col("kind") == kind)
-        return transcribe_spans(one_kind, factory, sampling_rate, chunk, stride).filter("text != ''")
-
-    sized = stored.select("session", "seq", F.coalesce(quotient(F.length("payload"), 4), F.lit(0)).alias("n"))
-    placed = append_windows(chunk_offsets(sized, ["session"], "seq", "n"), chunk, stride)
-    partial = heard("partial").select("session", "win_idx", "text")
-    by_append = partial.join(placed.select("session", "seq", "win_idx"), ["session", "win_idx"])
-    partials = concat_segments(by_append, ["session", "seq"], "win_idx").withColumn("type", F.lit("partial"))
-
-    closing = stored.groupBy("session").agg(F.max("seq").alias("seq"), F.bool_or("eos").alias("closed"))
-    finals = heard("final").select("session", "text").join(
-        closing.filter("closed").select("session", "seq"), "session"
-    )
-    finals = finals.withColumn("type", F.lit("final"))
-    columns = ["session", "seq", "type", "text"]
-    return partials.select(columns).unionByName(finals.select(columns))
+    heard = transcribe_spans(chunk_spans(stored, chunk, stride), factory, sampling_rate, chunk, stride)
+    # The windows that one chunk completes may lie in several spans.
+    return concat_segments(heard, ["session", "seq", "type"], "win_idx")

@@ -14,7 +14,7 @@ from sonoframe.functions import arrays, audio, text
 from sonoframe.functions.recognise import transcribe_windows
 from sonoframe.operators import columns, concat, joins, labels, lexicon, metrics, running, windows
 from sonoframe.plans import manifests as manifest_jobs, prepare as prepare_jobs, training, transcribe
-from sonoframe.schemas import VOCAB
+from sonoframe.schemas import CHUNK as CHUNK_SCHEMA, VOCAB
 from sonoframe.shared import shared_path
 from sonoframe.sinks import tables
 from sonoframe.sources import corpora, lines, manifests, stream
@@ -937,4 +937,7 @@ def stream_finals(spark, folder):
 @query(HEARD_SQL)
 def replayed_sessions(spark, folder):
     """The same messages from stored chunks, without a stream."""
-    return transcribe.replay_sessions(chunk_table(spark, folder), sample_sums, RATE, CHUNK / RATE, STRIDE / RATE)
+    path = shared_path(spark, "chunks")
+    chunk_table(spark, folder).write.parquet(path)
+    stored = spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    return transcribe.replay_sessions(stored, sample_sums, RATE, CHUNK / RATE, STRIDE / RATE)

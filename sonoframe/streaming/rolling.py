@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sonoframe.functions.audio import payload_is_whole
-from sonoframe.functions.recognise import RecogniserFactory, span_messages, spread
+from sonoframe.functions.recognise import RecogniserFactory, spread, transcribe_spans
 from sonoframe.operators.windows import window_sizes
 from sonoframe.schemas import SPAN
 
@@ -150,4 +150,4 @@ def stream_transcribe(
     spans = stream_spans(chunks, chunk, stride, idle_timeout_ms)
     if spread_work:
         spans = spread(spans, "session", "seq")
-    return span_messages(spans, factory, sampling_rate, chunk, stride)
+    return transcribe_spans(spans, factory, sampling_rate, chunk, stride).drop("win_idx")

@@ -124,13 +124,12 @@ def test_running_sum_over_block_edges(spark):
     assert values(sequence_numbers(df, ["k"], "o").select("k", "o", "seq")) == sorted(seqs)
 
 
-def test_running_sum_shuffles_detail_rows_once(spark):
-    df = spark.range(10000).select((F.col("id") % 3).alias("k"), "id", F.lit("payload").alias("p"))
-    plan = running_sum(df, ["k"], "id", F.lit(1), "s")._jdf.queryExecution().executedPlan().toString()
-    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    initial = plan.split("Initial Plan")[-1]
-    assert "Cartesian" not in plan and exchanges
-    assert initial.count("Exchange hashpartitioning(k") <= 4
+def test_running_sum_keeps_null_keys_and_values(spark):
+    df = spark.createDataFrame([(None, 0, 1), (None, 70, 2), ("a", 5, None), ("a", 200, 4)], "k string, o long, v int")
+    out = running_sum(df, ["k"], "o", F.coalesce("v", F.lit(0)), "s", block=10, total="t", key_max={"m": F.col("o")})
+    assert sorted((str(r["k"]), r["o"], r["s"], r["t"], r["m"]) for r in out.collect()) == [
+        ("None", 0, 1, 3, 70), ("None", 70, 3, 3, 70), ("a", 5, 0, 4, 200), ("a", 200, 4, 4, 200),
+    ]
 
 
 @pytest.mark.parametrize("block", [1, 2, 4096])
@@ -273,6 +272,8 @@ def test_pad_labels(spark, bound):
     assert got == {0: [1, 2] + [-100] * 14, 1: [3, -100, 4] + [-100] * 13, 2: [], 3: [7] * 17 + [-100] * 15}
     got = {r["i"]: r["labels"] for r in pad_labels(labels(spark), pad_id=0, attention_mask=False, rows_per_batch=bound).collect()}
     assert got[1] == [3, -100, 4]
+    unbatched = spark.createDataFrame([(0, None, [1]), (1, None, [1, 2])], labels(spark).schema)
+    assert [len(r["labels"]) for r in pad_labels(unbatched, rows_per_batch=bound).collect()] == [2, 2]
     with pytest.raises(ValueError):
         pad_labels(labels(spark), mode="seq2seq")
     with pytest.raises(ValueError):

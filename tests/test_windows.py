@@ -115,19 +115,23 @@ def test_chunk_spans(spark, chunk, stride, per_span):
     for s, sizes in sessions.items():
         at = 0
         for i, n in enumerate(sizes):
-            rows.append((s, i, np.arange(at, at + n, dtype="<f4").tobytes() if n else None))
+            rows.append((s, i, np.arange(at, at + n, dtype="<f4").tobytes() if n else None, False))
             at += n
+        rows.append((s, len(sizes), None, s != "s3"))
         whole[s] = np.arange(at, dtype="<f4")
-    df = spark.createDataFrame(rows, "session string, seq long, payload binary")
+    df = spark.createDataFrame(rows, "session string, seq long, payload binary, eos boolean")
     found = {}
     for r in W.chunk_spans(df, chunk, stride, per_span).collect():
         samples = whole[r["session"]][r["start"] : r["end"]]
-        assert bytes(r["span"]) == samples.tobytes()
+        assert b"".join(r["pieces"]) == samples.tobytes()
         for i in range(r["n_win"]):
             begin = r["start"] + i * stride
             end = begin + chunk if r["kind"] == "partial" else r["end"]
-            found.setdefault(r["session"], []).append((r["kind"], r["first_win"] + i, begin, end))
+            owner = r["seqs"][[e >= end for e in r["ends"]].index(True)]
+            found.setdefault(r["session"], []).append((r["kind"], owner, r["first_win"] + i, begin, end))
     for s, sizes in sessions.items():
         appended, rest = simulate(sizes, chunk, stride)
-        want = [("partial", *w[1:]) for w in appended] + ([("final", *rest)] if rest else [])
+        want = [("partial", *w) for w in appended]
+        if rest and s != "s3":  # s3 never closes
+            want.append(("final", len(sizes), *rest))
         assert sorted(found.get(s, [])) == sorted(want)
