@@ -93,6 +93,29 @@ def resample(
     return convert(samples.cast("array<float>"), rate.cast("int"))
 
 
+def convert_payload(
+    payload: Column, from_rate: int, to_rate: int, channels: int = 1, resampler: Resampler = linear_resampler
+) -> Column:
+    """Packed chunk at another rate and in mono. Several channels come one after the
+    other; each is resampled before they are averaged. A payload that is not a whole
+    number of samples per channel becomes NULL."""
+
+    @F.arrow_udf(T.BinaryType())
+    def convert(payloads: pa.Array) -> pa.Array:
+        out = []
+        for raw in payloads.to_pylist():
+            if raw is None or len(raw) % (4 * channels):
+                out.append(None)
+                continue
+            parts = np.frombuffer(raw, "<f4").reshape(channels, -1)
+            if from_rate != to_rate:
+                parts = np.stack([resampler(part, from_rate, to_rate) for part in parts])
+            out.append(parts.mean(axis=0).astype("<f4").tobytes())
+        return pa.array(out, pa.binary())
+
+    return payload if from_rate == to_rate and channels == 1 else convert(payload)
+
+
 def downmix(channels: Column) -> Column:
     """Mean over channels of ``array<array<float>>``, channels first, JVM-side."""
     x = channels.cast("array<array<double>>")
@@ -121,3 +144,24 @@ def decode_wave(content: bytes) -> tuple[np.ndarray, int]:
     if channels > 1:
         samples = samples.reshape(-1, channels).mean(axis=1)
     return samples, rate
+
+
+AUDIO_CELL = T.StructType([T.StructField("array", SAMPLES), T.StructField("sampling_rate", T.IntegerType())])
+
+
+def decode_audio(content: Column, target_sr: int | None = None, resampler: Resampler = linear_resampler) -> Column:
+    """Bytes of a PCM WAV file held in a column to ``struct(array, sampling_rate)``."""
+
+    @F.arrow_udf(AUDIO_CELL)
+    def decode(files: pa.Array) -> pa.Array:
+        arrays, rates = [], []
+        for file in files.to_pylist():
+            samples, rate = (None, None) if file is None else decode_wave(file)
+            if samples is not None and target_sr and rate != target_sr:
+                samples, rate = resampler(samples, rate, target_sr), target_sr
+            arrays.append(samples)
+            rates.append(rate)
+        columns = [to_list_column(arrays), pa.array(rates, pa.int32())]
+        return pa.StructArray.from_arrays(columns, AUDIO_CELL.names)
+
+    return decode(content)

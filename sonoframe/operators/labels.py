@@ -59,7 +59,8 @@ def pad_features(
 ) -> DataFrame:
     """Give the one-dimensional inputs of a batch the length of the longest."""
     sized = batch_max_length(df, features, batch, rows_per_batch, "_target")
-    tail = F.array_repeat(F.lit(value).cast("float"), F.col("_target") - F.size(features))
+    element = df.schema[features].dataType.elementType
+    tail = F.array_repeat(F.lit(value).cast(element), F.col("_target") - F.size(features))
     return sized.withColumn(features, F.concat(features, tail)).drop("_target")
 
 

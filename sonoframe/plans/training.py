@@ -4,12 +4,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sonoframe.functions.arrays import argmax, ctc_collapse, unmask_labels
-from sonoframe.operators.columns import select_eval_split
+from sonoframe.functions.arrays import argmax, ctc_collapse, unmask_labels, zscore
+from sonoframe.operators.columns import declared_rate, select_eval_split
 from sonoframe.operators.joins import pair_hypotheses
-from sonoframe.operators.labels import assign_batches, pad_labels
+from sonoframe.operators.labels import assign_batches, pad_features, pad_labels
 from sonoframe.operators.lexicon import decode_ids, encode_characters
 from sonoframe.operators.metrics import corpus_wer, evaluate
+from sonoframe.sources.audio import read_audio
 
 
 def featurize(df: DataFrame, extract: Callable[[Column], Column], samples: str, name: str = "input_values") -> DataFrame:
@@ -18,6 +19,18 @@ def featurize(df: DataFrame, extract: Callable[[Column], Column], samples: str,
     return df.withColumn(name, extract(F.col(samples)))
 
 
+def load_audio(df: DataFrame, folders: str | list[str], column: str = "audio") -> DataFrame:
+    """Add ``array`` and ``sampling_rate`` at the rate declared for the audio column.
+
+    The folders are decoded once and joined by path. A recording that is not there
+    fails the job. Tables that hold the file content instead use ``decode_audio``.
+    """
+    decoded = read_audio(df.sparkSession, folders, declared_rate(df, column))
+    joined = df.join(decoded.withColumnRenamed("path", "_path"), F.col(column) == F.col("_path"), "left")
+    missing = F.raise_error(F.concat(F.lit("no such recording: "), F.col(column))).cast("array<float>")
+    return joined.withColumn("array", F.coalesce("array", missing)).drop("_path", "n_samples")
+
+
 def build_training_table(
     processed: DataFrame,
     vocab: DataFrame,
@@ -25,18 +38,23 @@ def build_training_table(
     mode: str = "ctc",
     pad_id: int | None = 0,
     eval_split: str | None = None,
+    samples: str | None = None,
+    extract: Callable[[Column], Column] = zscore,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """``(train, evaluation)`` with padded label batches: ``audio, labels, batch_id``.
+    """``(train, evaluation)`` with padded batches: ``audio, labels, batch_id`` and, if a
+    column of samples is named, ``input_values`` computed from it by ``extract``.
 
     Batches hold neighbouring rows of a task and at most ``batch_size`` of them. All
-    original columns but the audio path are gone.
+    other columns are gone.
     """
 
     def build(split: DataFrame) -> DataFrame:
-        coded = encode_characters(split, ["audio"], "transcript", vocab).select("audio", "labels")
-        return pad_labels(
-            assign_batches(coded, batch_size), mode=mode, pad_id=pad_id, rows_per_batch=batch_size
-        )
+        coded = encode_characters(split, ["audio"], "transcript", vocab)
+        if samples:
+            coded = featurize(coded, extract, samples)
+        kept = coded.select("audio", "labels", *(["input_values"] if samples else []))
+        padded = pad_labels(assign_batches(kept, batch_size), mode=mode, pad_id=pad_id, rows_per_batch=batch_size)
+        return pad_features(padded, "input_values", rows_per_batch=batch_size) if samples else padded
 
     train, evaluation = select_eval_split(processed, eval_split)
     return build(train), build(evaluation) if evaluation is not None else None

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonoframe.functions.audio import Resampler, linear_resampler, payload_is_whole, resample
+from sonoframe.functions.audio import Resampler, convert_payload, linear_resampler, payload_is_whole, resample
 from sonoframe.functions.recognise import RecogniserFactory, spread, transcribe_spans, transcribe_windows
 from sonoframe.functions.text import segment_label, strip
 from sonoframe.operators.concat import concat_segments
@@ -70,6 +70,9 @@ def replay_sessions(
     sampling_rate: int = 16000,
     chunk_s: float = 5.0,
     stride_s: float = 1.0,
+    source_rate: int | None = None,
+    channels: int = 1,
+    resampler: Resampler = linear_resampler,
 ) -> DataFrame:
     """Messages of finished sessions, computed from stored chunks in one batch job.
 
@@ -77,7 +80,8 @@ def replay_sessions(
     into spans that are worked on in parallel.
     """
     chunk, stride = window_sizes(chunk_s, stride_s, sampling_rate)
-    whole = F.when(payload_is_whole(F.col("payload")), F.col("payload"))
+    payload = convert_payload(F.col("payload"), source_rate or sampling_rate, sampling_rate, channels, resampler)
+    whole = F.when(payload_is_whole(payload), payload)
     stored = chunks.select("session", "seq", whole.alias("payload"), "eos")
     heard = transcribe_spans(chunk_spans(stored, chunk, stride), factory, sampling_rate, chunk, stride)
     # The windows that one chunk completes may lie in several spans.

@@ -842,7 +842,9 @@ def unmask(spark, folder):
 def training_table(spark, folder):
     """Training and evaluation labels; which rows share a batch is left open, so only
     the labels that are not padding are compared."""
-    ready = columns.prune_columns(columns.map_transcript(corpus(spark, folder)))
+    prepared = shared_path(spark, "prepared")
+    tables.write_processed(columns.prune_columns(columns.map_transcript(corpus(spark, folder))), prepared)
+    ready = corpora.read_processed(spark, prepared)
     vocab = lexicon.char_vocabulary(ready, "transcript")
     train, evaluation = training.build_training_table(ready, vocab)
     both = train.unionByName(evaluation)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sonoframe.functions.audio import payload_is_whole
+from sonoframe.functions.audio import Resampler, convert_payload, linear_resampler, payload_is_whole
 from sonoframe.functions.recognise import RecogniserFactory, spread, transcribe_spans
 from sonoframe.operators.windows import window_sizes
 from sonoframe.schemas import SPAN
@@ -143,10 +143,16 @@ def stream_transcribe(
     stride_s: float = 1.0,
     idle_timeout_ms: int | None = None,
     spread_work: bool = True,
+    source_rate: int | None = None,
+    channels: int = 1,
+    resampler: Resampler = linear_resampler,
 ) -> DataFrame:
     """Messages of all sessions: a ``partial`` per chunk that completes windows with
-    text, and a ``final`` when a session ends with samples left."""
+    text, and a ``final`` when a session ends with samples left. Chunks at another
+    rate, or with several channels, are converted one by one before they are buffered."""
     chunk, stride = window_sizes(chunk_s, stride_s, sampling_rate)
+    payload = convert_payload(F.col("payload"), source_rate or sampling_rate, sampling_rate, channels, resampler)
+    chunks = chunks.withColumn("payload", payload)
     spans = stream_spans(chunks, chunk, stride, idle_timeout_ms)
     if spread_work:
         spans = spread(spans, "session", "seq")

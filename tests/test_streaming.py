@@ -200,3 +200,55 @@ def test_recogniser_is_built_once_per_worker(spark):
     df = spark.range(40, numPartitions=20).select("id", F.array(F.lit(1.0)).cast("array<float>").alias("samples"))
     seen = {r["text"] for r in transcribe_windows(df, counting, 1).collect()}
     assert len({s.split("-")[0] for s in seen}) == len(seen)
+
+
+def test_converted_chunks(spark, tmp_path):
+    """Stereo at twice the rate: each chunk is resampled and averaged on its own."""
+    rng = np.random.default_rng(2)
+    sizes = [14, 0, 22, 9]
+    rows = [("a", i, None, rng.normal(size=(2, n)).astype("<f4").tobytes(), False) for i, n in enumerate(sizes)]
+    rows.append(("a", len(sizes), None, None, True))
+    want = [np.frombuffer(r[3], "<f4").reshape(2, -1)[:, ::2].mean(axis=0) for r in rows[:-1]]
+    x = np.concatenate(want)
+
+    def heard():
+        return lambda samples, rate: {"text": f"{len(samples)}@{rate}:{samples.sum():.3f}"}
+
+    df = spark.createDataFrame(rows, CHUNK)
+    df.write.parquet(str(tmp_path / "in"))
+    options = dict(sampling_rate=5, chunk_s=2, stride_s=1, source_rate=10, channels=2)
+    drain(stream_transcribe(read_pcm_stream(spark, str(tmp_path / "in")), heard, **options), tmp_path / "o", tmp_path / "c")
+    appended, rest = simulate([len(w) for w in want], 10, 5)
+    hear = heard()
+    expected_rows = [
+        ("a", i, "partial", " ".join(hear(x[s:e], 5)["text"] for seq, _, s, e in appended if seq == i))
+        for i in sorted({a[0] for a in appended})
+    ] + [("a", 4, "final", hear(x[rest[1] : rest[2]], 5)["text"])]
+    assert result(spark, tmp_path / "o") == sorted(expected_rows)
+    batch = replay_sessions(df, heard, **options)
+    assert sorted(tuple(r) for r in batch.select("session", "seq", "type", "text").collect()) == sorted(expected_rows)
+
+
+def test_training_table_with_audio(spark, tmp_path):
+    from sonoframe.functions.audio import decode_audio
+    from sonoframe.operators.columns import cast_audio
+    from sonoframe.operators.lexicon import char_vocabulary
+    from sonoframe.plans.training import build_training_table, load_audio
+
+    waves = {"a": np.arange(8), "b": np.arange(4) * 2, "c": np.arange(20)}
+    for name, x in waves.items():
+        make_wave(tmp_path / "w" / f"{name}.wav", x, rate=16000)
+    data = [("train", f"{tmp_path}/w/{n}.wav", n * 2) for n in waves]
+    df = cast_audio(spark.createDataFrame(data, "split string, audio string, transcript string").coalesce(1), sampling_rate=8000)
+    loaded = load_audio(df, str(tmp_path / "w"))
+    got = {r["transcript"]: (r["sampling_rate"], r["array"]) for r in loaded.collect()}
+    assert got["bb"] == (8000, [0.0, 4 / 32768]) and len(got["cc"][1]) == 10
+    train, evaluation = build_training_table(loaded, char_vocabulary(df, "transcript"), batch_size=3, samples="array")
+    assert evaluation is None and train.columns == ["audio", "labels", "input_values", "batch_id"]
+    for batch in train.groupBy("batch_id").agg(F.collect_set(F.size("input_values")).alias("n")).collect():
+        assert len(batch["n"]) == 1
+    gone = spark.createDataFrame([("train", "/none.wav", "x")], df.schema)
+    with pytest.raises(Exception, match="no such recording"):
+        load_audio(cast_audio(gone), str(tmp_path / "w")).collect()
+    files = spark.read.format("binaryFile").load(str(tmp_path / "w")).select("path", decode_audio(F.col("content"), 8000).alias("a"))
+    assert {len(r["a"]["array"]) for r in files.collect()} == {4, 2, 10}
