@@ -1,11 +1,16 @@
 """Joining the texts of ordered segments."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sonoframe.functions.text import strip
 
 MODES = ("strip_each", "strip_ends", "skip_empty")
 
+def _in_order(order: str, text: str) -> Column:
+    """Aggregate: texts by order, joined by a space."""
+    sorted_rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("text"))))
+    return F.array_join(F.transform(sorted_rows, lambda row: row["text"]), " ")
+
 
 def concat_segments(
     df: DataFrame,
@@ -36,8 +41,6 @@ def concat_segments(
     )
     if mode == "skip_empty":
         segments = segments.filter(F.col("_text") != "")
-    blocks = segments.groupBy(*keys, "_block").agg(
-        F.expr("listagg(_text, ' ') WITHIN GROUP (ORDER BY _order)").alias("_text")
-    )
-    joined = blocks.groupBy(*keys).agg(F.expr("listagg(_text, ' ') WITHIN GROUP (ORDER BY _block)").alias(name))
+    blocks = segments.groupBy(*keys, "_block").agg(_in_order("_order", "_text").alias("_text"))
+    joined = blocks.groupBy(*keys).agg(_in_order("_block", "_text").alias(name))
     return joined.withColumn(name, strip(F.col(name))) if mode == "strip_ends" else joined

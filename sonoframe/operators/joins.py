@@ -1,27 +1,81 @@
 """Joins on an utterance id.
 
 The right side of every join here has one row per id, so a join never grows the
-left side. An id that many left rows share lands in one shuffle partition; Spark's
-adaptive skew join, on by default, splits such a partition between tasks.
+left side. An id that very many left rows share is spread over tasks by
+``lookup_join``. The adaptive skew join of Spark cannot do that here: the right side
+is usually an aggregate by the same id, which it does not split.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
 
+from pyspark.sql import DataFrame, functions as F, types as T
 
-def join_prompts(waves: DataFrame, prompts: DataFrame) -> DataFrame:
+HOT_ROWS = 1_000_000  # an id with at least so many rows is hot
+MAX_HOT_KEYS = 10_000  # only the hottest ids are told apart; the others are joined as usual
+MAX_PIECES = 1024
+
+
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The ids with the most rows and ``_pieces``, the number of parts to cut each into.
+
+    Rows are counted with partial sums before the shuffle. At most ``MAX_HOT_KEYS``
+    rows come back, so the table can be broadcast. None if no id is hot.
+    """
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows)
+    hottest = counts.orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
+    if not hottest:
+        return None
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_pieces", T.LongType())])
+    rows = [(*[row[k] for k in keys], min(MAX_PIECES, 1 + row["_n"] // hot_rows)) for row in hottest]
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+    return df.sparkSession.createDataFrame(rows, nullable)
+
+
+def lookup_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``left`` with the one row of ``right`` that has its key.
+
+    Rows of a hot key are dealt to several tasks by a hash of their content, which a
+    repeated task computes again, and only the right rows of hot keys are copied.
+    Without hot keys this is a plain join.
+    """
+    hot = hot_keys(left, keys, hot_rows)
+    if hot is None:
+        return left.join(right, keys, how)
+    pieces = F.coalesce("_pieces", F.lit(1))
+    # Rows with a NULL key match nothing and may lie anywhere.
+    unmatchable = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    dealt = (
+        left.join(F.broadcast(hot), keys, "left")
+        .withColumn("_piece", F.pmod(F.xxhash64(*left.columns), F.when(unmatchable, MAX_PIECES).otherwise(pieces)))
+        .drop("_pieces")
+    )
+    copied = (
+        right.join(F.broadcast(hot), keys, "left")
+        .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
+        .drop("_pieces")
+    )
+    return dealt.join(copied, [*keys, "_piece"], how).drop("_piece")
+
+
+def join_prompts(waves: DataFrame, prompts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Waves that have a prompt. ``prompts`` has one row per ``utt_id``."""
-    return waves.join(prompts, "utt_id", "inner")
+    return lookup_join(waves, prompts, ["utt_id"], "inner", hot_rows)
 
 
-def unmatched_waves(waves: DataFrame, prompts: DataFrame) -> DataFrame:
+def unmatched_waves(waves: DataFrame, prompts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Waves without a prompt."""
-    return waves.join(prompts.select("utt_id"), "utt_id", "left_anti")
+    return lookup_join(waves, prompts.select("utt_id"), ["utt_id"], "left_anti", hot_rows)
 
 
 def pair_hypotheses(
     references: DataFrame, hypotheses: DataFrame, keys: list[str], reference: str, hypothesis: str
 ) -> DataFrame:
-    """Every reference with its hypothesis; a missing one reads as empty text."""
+    """Every reference with its hypothesis; a missing one reads as empty text.
+
+    Both sides have one row per key, so no key can be hot.
+    """
     right = hypotheses.select(*keys, F.col(hypothesis).alias("hypothesis"))
     return references.join(right, keys, "left").select(
         *keys,

@@ -1,14 +1,20 @@
 """Padded label batches as tables."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sonoframe.functions.arrays import IGNORED_LABEL
+from sonoframe.operators.joins import HOT_ROWS, lookup_join
 
 LABEL_MULTIPLE = 16  # fixed value: seq2seq label lengths are multiples of this
 
 
 def batch_max_length(
-    df: DataFrame, labels: str, batch: str, rows_per_batch: int | None = None, name: str = "max_length"
+    df: DataFrame,
+    labels: str,
+    batch: str,
+    rows_per_batch: int | None = None,
+    name: str = "max_length",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the longest label length of each row's batch.
 
@@ -18,8 +24,9 @@ def batch_max_length(
     """
     if rows_per_batch is not None:
         return df.withColumn(name, F.max(F.size(labels)).over(Window.partitionBy(batch)))
-    longest = df.groupBy(F.col(batch).alias("_batch")).agg(F.max(F.size(labels)).alias(name))
-    return df.join(longest, F.col(batch).eqNullSafe(F.col("_batch"))).drop("_batch")
+    keyed = df.withColumn("_batch", F.struct(batch))  # a struct with a NULL equals itself
+    longest = keyed.groupBy("_batch").agg(F.max(F.size(labels)).alias(name))
+    return lookup_join(keyed, longest, ["_batch"], "inner", hot_rows).drop("_batch")
 
 
 def pad_labels(
@@ -31,6 +38,7 @@ def pad_labels(
     multiple: int | None = LABEL_MULTIPLE,
     rows_per_batch: int | None = None,
     attention_mask: bool = True,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Give the labels of a batch one length and mask the padding.
 
@@ -43,7 +51,7 @@ def pad_labels(
         raise ValueError("mode must be ctc or seq2seq")
     if mode == "seq2seq" and pad_id is None:
         raise ValueError("seq2seq labels need pad_id")
-    sized = batch_max_length(df, labels, batch, rows_per_batch, "_target")
+    sized = batch_max_length(df, labels, batch, rows_per_batch, "_target", hot_rows)
     target = F.col("_target")
     if mode == "seq2seq" and multiple:
         target = (F.ceil(target / F.lit(multiple)) * multiple).cast("int")

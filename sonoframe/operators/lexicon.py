@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sonoframe.functions.audio import list_rows
+from sonoframe.operators.joins import HOT_ROWS, lookup_join
 from sonoframe.schemas import VOCAB
 
 SMALL_VOCABULARY = 20_000
@@ -68,7 +69,7 @@ def _decoder(tokens: list[str | None], separator: str):
 
 def encode_characters(
     df: DataFrame, keys: list[str], text: str, vocab: DataFrame, unknown: str = "<unk>", name: str = "labels",
-    limit: int = SMALL_VOCABULARY,
+    limit: int = SMALL_VOCABULARY, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Text to character ids, unknown characters to the id of ``unknown``.
 
@@ -83,9 +84,10 @@ def encode_characters(
         return df.withColumn(name, _encoder(table)(F.col(text)))
     unknown_id = vocab.filter(F.col("token") == unknown).select("token_id").first()["token_id"]
     characters = F.filter(F.split(text, ""), lambda c: c != "")
-    found = df.select(
+    spelled = df.select(
         *keys, F.col(text).isNull().alias("_missing"), F.posexplode_outer(characters).alias("_at", "token")
-    ).join(vocab.select("token", "token_id"), "token", "left")
+    )
+    found = lookup_join(spelled, vocab.select("token", "token_id"), ["token"], "left", hot_rows)
     coded = F.when(F.col("token").isNotNull(), F.struct("_at", F.coalesce("token_id", F.lit(unknown_id)).alias("id")))
     gathered = found.groupBy(*keys, "_missing").agg(F.sort_array(F.collect_list(coded)).alias("_coded"))
     ids = F.transform("_coded", lambda p: p["id"])
@@ -94,7 +96,7 @@ def encode_characters(
 
 def decode_ids(
     df: DataFrame, keys: list[str], ids: str, vocab: DataFrame, separator: str = "", name: str = "text",
-    limit: int = SMALL_VOCABULARY,
+    limit: int = SMALL_VOCABULARY, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Ids to text; special tokens are skipped, as are ids the vocabulary lacks."""
     rows = _small(vocab, limit)
@@ -106,9 +108,10 @@ def decode_ids(
                 tokens[row["token_id"]] = row["token"]
         return df.withColumn(name, _decoder(tokens, separator)(F.col(ids)))
     spoken = vocab.filter(~F.col("is_special")).select("token_id", "token")
-    found = df.select(
+    listed = df.select(
         *keys, F.col(ids).isNull().alias("_missing"), F.posexplode_outer(ids).alias("_at", "token_id")
-    ).join(spoken, "token_id", "left")
+    )
+    found = lookup_join(listed, spoken, ["token_id"], "left", hot_rows)
     token = F.when(F.col("token").isNotNull(), F.struct("_at", "token"))
     gathered = found.groupBy(*keys, "_missing").agg(F.sort_array(F.collect_list(token)).alias("_tokens"))
     joined = F.array_join(F.transform("_tokens", lambda p: p["token"]), separator)

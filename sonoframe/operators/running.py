@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-DEFAULT_BLOCK = 65536
+DEFAULT_BLOCK = 65536  # rows of a block are sorted by one task
 
 
 def running_sum(

@@ -157,7 +157,7 @@ def window_samples(windows: DataFrame, frames: DataFrame, keys: list[str], frame
 
 
 def chunk_spans(
-    chunks: DataFrame, chunk: int, stride: int, windows_per_span: int = 64
+    chunks: DataFrame, chunk: int, stride: int, windows_per_span: int = 64, block: int = 1024
 ) -> DataFrame:
     """Stored chunks of whole sessions as spans, the batch form of the live stream.
 
@@ -172,7 +172,7 @@ def chunk_spans(
         "session", "seq", "payload", "eos", F.coalesce(quotient(F.length("payload"), 4), F.lit(0)).alias("n")
     )
     offsets = chunk_offsets(
-        sized, ["session"], "seq", "n", total="total",
+        sized, ["session"], "seq", "n", total="total", block=block,  # small: rows carry samples
         key_max={"last_seq": F.col("seq"), "closed": F.coalesce("eos", F.lit(False))},
     )
     placed = offsets.filter("n > 0").withColumn("done", windows_done(F.col("total"), chunk, stride))

@@ -18,7 +18,7 @@ from sonoframe.operators.columns import (
     union_splits,
 )
 from sonoframe.operators.concat import concat_segments
-from sonoframe.operators.joins import join_prompts, pair_hypotheses, unmatched_waves
+from sonoframe.operators.joins import hot_keys, join_prompts, lookup_join, pair_hypotheses, unmatched_waves
 from sonoframe.operators.labels import assign_batches, pad_features, pad_labels
 from sonoframe.operators.lexicon import char_vocabulary, decode_ids, encode_characters
 from sonoframe.operators.metrics import best_checkpoint, corpus_wer, count_splits, evaluate, list_splits, score_pairs
@@ -97,6 +97,53 @@ def test_joins_stay_equi_joins(spark):
         assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
+def test_lookup_join_with_hot_and_null_keys(spark, how):
+    rng = np.random.default_rng(7)
+    keys = ["hot"] * 400 + ["warm"] * 60 + [None] * 80 + [f"k{i}" for i in rng.integers(0, 300, 500)] + ["lost"] * 90
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "utt_id string, i int").repartition(6)
+    right = spark.createDataFrame(
+        [("hot", "H"), ("warm", "W"), (None, "N"), *[(f"k{i}", str(i)) for i in range(0, 300, 2)]], "utt_id string, text string"
+    )
+    right = right.groupBy("utt_id").agg(F.max("text").alias("text"))
+    plain = left.join(right, "utt_id", how)
+    dealt = lookup_join(left, right, ["utt_id"], how, hot_rows=50)
+    assert dealt.columns == plain.columns
+    order = lambda rows: sorted(map(str, rows))
+    assert order(dealt.collect()) == order(plain.collect())
+    hot = {r["utt_id"]: r["_pieces"] for r in hot_keys(left, ["utt_id"], 50).collect()}
+    assert hot == {"hot": 9, None: 2, "lost": 2, "warm": 2}
+    assert hot_keys(left, ["utt_id"], 5000) is None
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(20000).select(F.lit("x").alias("a"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("utt_id"), "id")
+        right = left.groupBy("utt_id").agg(F.max("id").alias("m"))
+        out = lookup_join(left, right, ["utt_id"], hot_rows=500).filter("utt_id = 'hot'")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 6667 and len(sizes) >= 5 and max(sizes) < 3000
+
+
+def test_hot_batches_and_tokens(spark, docs):
+    df = spark.range(500).select((F.col("id") % 2).alias("batch_id"), F.sequence(F.lit(1), (F.col("id") % 7 + 1).cast("int")).alias("labels"))
+    out = pad_labels(df, hot_rows=100).groupBy("batch_id").agg(F.collect_set(F.size("labels")).alias("n"), F.count("*").alias("c"))
+    assert sorted((r["batch_id"], r["n"], r["c"]) for r in out.collect()) == [(0, [7], 250), (1, [7], 250)]
+    vocab = char_vocabulary(docs, "text").cache()
+    texts = docs.select("doc_id", "text")
+    a = encode_characters(texts, ["doc_id"], "text", vocab).select("doc_id", "labels")
+    b = encode_characters(texts, ["doc_id"], "text", vocab, limit=0, hot_rows=2000)
+    assert sorted(a.collect()) == sorted(b.collect())
+    back = decode_ids(a, ["doc_id"], "labels", vocab, limit=0, hot_rows=2000)
+    assert sorted(back.collect()) == sorted(texts.collect())
+
+
 def test_counts(spark):
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "split string")
     assert {tuple(r) for r in count_splits(df).collect()} == {("a", 2), ("b", 1), (None, 3)}
