@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sonoframe.functions.arrays import quotient
 from sonoframe.functions.text import strip
 
 MODES = ("strip_each", "strip_ends", "skip_empty")
@@ -35,7 +36,7 @@ def concat_segments(
     value = F.coalesce(F.col(text), F.lit(""))
     segments = df.select(
         *keys,
-        F.floor(F.col(order) / F.lit(block)).alias("_block"),
+        quotient(F.col(order), block).alias("_block"),
         F.col(order).alias("_order"),
         (value if mode == "strip_ends" else strip(value)).alias("_text"),
     )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sonoframe.functions.arrays import IGNORED_LABEL
+from sonoframe.functions.arrays import IGNORED_LABEL, quotient
 from sonoframe.operators.joins import HOT_ROWS, lookup_join
 
 LABEL_MULTIPLE = 16  # fixed value: seq2seq label lengths are multiples of this
@@ -80,4 +80,4 @@ def assign_batches(df: DataFrame, batch_size: int, name: str = "batch_id") -> Da
     """
     row = F.monotonically_increasing_id()
     task, at = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn(name, F.shiftleft(task, 33) + F.floor(at / F.lit(batch_size)))
+    return df.withColumn(name, F.shiftleft(task, 33) + quotient(at, batch_size))

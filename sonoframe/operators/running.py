@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sonoframe.functions.arrays import quotient
+
 DEFAULT_BLOCK = 65536  # rows of a block are sorted by one task
 
 
@@ -26,7 +28,7 @@ def running_sum(
     """
     key_max = key_max or {}
     group = [*keys, "_block"]
-    blocked = df.withColumn("_block", F.floor(F.col(order) / F.lit(block))).withColumn("_value", value.cast("bigint"))
+    blocked = df.withColumn("_block", quotient(F.col(order), block)).withColumn("_value", value.cast("bigint"))
 
     maxima = [F.max(column).alias(f"_key_{n}") for n, column in key_max.items()]
     blocks = blocked.groupBy(*group).agg(F.sum("_value").alias("_sum"), *maxima)

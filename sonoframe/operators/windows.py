@@ -8,6 +8,8 @@ All of it is arithmetic on offsets; samples are joined in at the end.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sonoframe.functions.arrays import quotient
+from sonoframe.functions.audio import payload_is_whole
 from sonoframe.operators.running import running_sum
 
 FINAL = -1  # block number of a session's last span
@@ -27,11 +29,6 @@ def window_sizes(chunk_s: float, stride_s: float, sampling_rate: int) -> tuple[i
     return chunk, stride
 
 
-def quotient(a: Column, b: int) -> Column:
-    """Exact integer division."""
-    return F.call_function("div", a.cast("bigint"), F.lit(b).cast("bigint"))
-
-
 def windows_done(n_samples: Column, chunk: int, stride: int) -> Column:
     return F.when(n_samples < chunk, F.lit(0).cast("bigint")).otherwise(quotient(n_samples - chunk, stride) + 1)
 
@@ -122,15 +119,53 @@ def slice_recordings(df: DataFrame, samples: str, chunk: int, stride: int | None
 
 
 def to_frames(df: DataFrame, samples: str, frame: int) -> DataFrame:
-    """Recordings as frames of ``frame`` samples: adds ``frame_idx``, replaces ``samples``."""
+    """Recordings as frames of ``frame`` samples: ``frame_idx``, ``samples`` and the
+    recording's ``n_samples`` in place of the array."""
     bare = [c for c in df.columns if c != samples]
     pieces = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(samples) - 1) / F.lit(frame)).cast("int")),
-        lambda i: F.struct(i.alias("frame_idx"), F.slice(samples, i * frame + 1, F.lit(frame)).alias("samples")),
+        F.sequence(F.lit(0).cast("bigint"), quotient(F.size(samples) - 1, frame)),
+        lambda i: F.struct(
+            i.alias("frame_idx"),
+            F.size(samples).cast("bigint").alias("n_samples"),
+            F.slice(samples, (i * frame + 1).cast("int"), F.lit(frame)).alias("samples"),
+        ),
     )
     return df.filter(F.size(samples) > 0).select(*bare, F.inline(pieces))
 
 
+def cut_frames(frames: DataFrame, keys: list[str], frame: int, chunk: int, stride: int | None = None) -> DataFrame:
+    """Windows of long recordings from frames that carry ``n_samples``, in one shuffle.
+
+    A frame computes the windows it lies in and sends each of them the part it
+    needs, so there is no table of windows and no join. Windows are those of
+    ``recording_windows``: ``win_idx, start, end, samples``.
+    """
+    stride = stride or chunk
+    n = F.col("n_samples")
+    begin = F.col("frame_idx").cast("bigint") * frame
+    placed = frames.withColumn("_from", begin).withColumn("_to", F.least(begin + frame, n)).withColumn(
+        "_done", windows_done(n, chunk, stride)
+    )
+    # Complete windows k with k*stride < _to and k*stride + chunk > _from.
+    first = F.greatest(F.lit(0).cast("bigint"), quotient(F.greatest(F.col("_from") - chunk, F.lit(-stride)) + stride, stride))
+    last = F.least(quotient(F.col("_to") - 1, stride), F.col("_done") - 1)
+    none = F.array().cast("array<bigint>")
+    complete = F.when(last >= first, F.sequence(first, last)).otherwise(none)
+    rest = F.when(F.col("_to") > F.col("_done") * stride, F.array(F.col("_done"))).otherwise(none)
+    reached = placed.withColumn("win_idx", F.explode(F.concat(complete, rest)))
+    start = F.col("win_idx") * stride
+    cut = reached.withColumn("start", start).withColumn("end", F.least(start + chunk, n))
+    low, high = F.greatest("_from", "start"), F.least("_to", "end")
+    part = F.slice("samples", (low - F.col("_from") + 1).cast("int"), (high - low).cast("int"))
+    parts = cut.filter(high > low).select(*keys, "win_idx", "start", "end", low.alias("at"), part.alias("part"))
+    gathered = parts.groupBy(*keys, "win_idx", "start", "end").agg(
+        F.sort_array(F.collect_list(F.struct("at", "part"))).alias("_parts")
+    )
+    return gathered.select(
+        *keys, "win_idx", "start", "end", F.flatten(F.transform("_parts", lambda p: p["part"])).alias("samples")
+    )
+
+
 def window_samples(windows: DataFrame, frames: DataFrame, keys: list[str], frame: int) -> DataFrame:
     """Samples of any table of windows (``win_idx, start, end``) from a frame table.
 
@@ -156,6 +191,12 @@ def window_samples(windows: DataFrame, frames: DataFrame, keys: list[str], frame
     return gathered.select(*keys, "win_idx", "start", "end", F.slice(joined, begin, length).alias("samples"))
 
 
+def count_samples(chunks: DataFrame) -> DataFrame:
+    """Add ``n_samples``: the samples in each payload, none if it is broken or missing."""
+    whole = F.when(payload_is_whole(F.col("payload")), quotient(F.length("payload"), 4))
+    return chunks.withColumn("n_samples", F.coalesce(whole, F.lit(0).cast("bigint")))
+
+
 def chunk_spans(
     chunks: DataFrame, chunk: int, stride: int, windows_per_span: int = 64, block: int = 1024
 ) -> DataFrame:
@@ -166,11 +207,11 @@ def chunk_spans(
     shuffled about once and not once per overlapping window; what is left of a
     closed session is its ``final`` span. Sessions are cut everywhere, so a long one
     is spread over many tasks. ``seqs`` and ``ends`` list the chunks in a span and
-    the offsets at which they end: they tell which chunk completes a window.
+    the offsets at which they end: they tell which chunk completes a window. Chunks
+    stored with ``n_samples`` spare the offsets a second read of the payload.
     """
-    sized = chunks.select(
-        "session", "seq", "payload", "eos", F.coalesce(quotient(F.length("payload"), 4), F.lit(0)).alias("n")
-    )
+    counted = chunks if "n_samples" in chunks.columns else count_samples(chunks)
+    sized = counted.select("session", "seq", "payload", "eos", F.col("n_samples").alias("n"))
     offsets = chunk_offsets(
         sized, ["session"], "seq", "n", total="total", block=block,  # small: rows carry samples
         key_max={"last_seq": F.col("seq"), "closed": F.coalesce("eos", F.lit(False))},

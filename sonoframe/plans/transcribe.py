@@ -6,7 +6,7 @@ from sonoframe.functions.audio import Resampler, convert_payload, linear_resampl
 from sonoframe.functions.recognise import RecogniserFactory, spread, transcribe_spans, transcribe_windows
 from sonoframe.functions.text import segment_label, strip
 from sonoframe.operators.concat import concat_segments
-from sonoframe.operators.windows import chunk_spans, window_sizes
+from sonoframe.operators.windows import chunk_spans, cut_frames, window_sizes
 from sonoframe.sources.audio import read_audio_windows
 
 
@@ -45,6 +45,21 @@ def transcribe_files(
     )
 
 
+def transcribe_frames(
+    frames: DataFrame,
+    keys: list[str],
+    frame: int,
+    factory: RecogniserFactory,
+    chunk_length_s: float = 30.0,
+    sampling_rate: int = 16000,
+) -> DataFrame:
+    """Recordings of any length, stored as frames (``frame_idx, n_samples, samples``), to
+    ``(keys, text)``. No row and no group holds more than one window of samples."""
+    chunk, _ = window_sizes(chunk_length_s, chunk_length_s, sampling_rate)
+    heard = transcribe_windows(cut_frames(frames, keys, frame, chunk), factory, sampling_rate)
+    return concat_segments(heard, keys, "win_idx", mode="strip_each")
+
+
 def segment_lines(transcripts: DataFrame) -> DataFrame:
     """One printable line per chunk: ``(path, pos, line)``."""
     chunks = transcripts.select("path", F.posexplode("chunks").alias("pos", "c"))
@@ -82,7 +97,9 @@ def replay_sessions(
     chunk, stride = window_sizes(chunk_s, stride_s, sampling_rate)
     payload = convert_payload(F.col("payload"), source_rate or sampling_rate, sampling_rate, channels, resampler)
     whole = F.when(payload_is_whole(payload), payload)
-    stored = chunks.select("session", "seq", whole.alias("payload"), "eos")
+    stored = chunks.withColumn("payload", whole)
+    if source_rate not in (None, sampling_rate) or channels > 1:
+        stored = stored.drop("n_samples")  # it counted other samples
     heard = transcribe_spans(chunk_spans(stored, chunk, stride), factory, sampling_rate, chunk, stride)
     # The windows that one chunk completes may lie in several spans.
     return concat_segments(heard, ["session", "seq", "type"], "win_idx")

@@ -576,21 +576,41 @@ def window_samples(spark, folder):
     return described(windows.slice_recordings(waves, "embedding", 16, 4), "vec_id")
 
 
-@query(
-    SLICED_SQL.format(
-        key="label", c=400, s=160,
-        source="SELECT label, flatten(list(embedding ORDER BY vec_id)) AS x FROM embeddings GROUP BY label",
-    )
-)
-def window_frames(spark, folder):
-    """Long recordings: all vectors of a label, in order, are its frames."""
+LONG_SQL = "SELECT label, flatten(list(embedding ORDER BY vec_id)) AS x FROM embeddings GROUP BY label"
+
+
+def long_recordings(spark, folder) -> DataFrame:
+    """Frames of long recordings: all vectors of a label, in order."""
     stored = read(spark, folder, "embeddings").select("label", "vec_id", F.col("embedding").alias("samples"))
-    frames = running.sequence_numbers(stored, ["label"], "vec_id", "frame_idx")
-    lengths = frames.groupBy("label").agg(F.sum(long(F.size("samples"))).alias("n"))
+    placed = running.running_sum(stored, ["label"], "vec_id", F.size("samples"), "upto", total="n_samples")
+    return placed.withColumn("frame_idx", arrays.quotient(F.col("upto"), 64) - 1).drop("upto", "vec_id")
+
+
+@query(SLICED_SQL.format(key="label", c=400, s=160, source=LONG_SQL))
+def window_frames(spark, folder):
+    """A table of windows joined with the frames it touches."""
+    frames = long_recordings(spark, folder)
+    lengths = frames.groupBy("label").agg(F.max("n_samples").alias("n"))
     wanted = windows.recording_windows(lengths, "n", 400, 160).drop("n")
     return described(windows.window_samples(wanted, frames, ["label"], 64), "label")
 
 
+@query(SLICED_SQL.format(key="label", c=400, s=160, source=LONG_SQL))
+def frames_cut(spark, folder):
+    """The same windows without a join."""
+    return described(windows.cut_frames(long_recordings(spark, folder), ["label"], 64, 400, 160), "label")
+
+
+@query(
+    f"""SELECT label, string_agg(len(w) || ':' || list_sum(list_transform(w, lambda v: floor(v::DOUBLE * 1000)))::BIGINT,
+        ' ' ORDER BY k) AS text FROM (SELECT label, k, x[k * 300 + 1 : least(k * 300 + 300, len(x))] AS w FROM
+        (SELECT *, unnest(range(0, (len(x) + 299) // 300)) AS k FROM ({LONG_SQL}))) GROUP BY label"""
+)
+def transcribe_recordings(spark, folder):
+    """Long recordings cut, recognised and stitched."""
+    return transcribe.transcribe_frames(long_recordings(spark, folder), ["label"], 64, sample_sums, 3.0, RATE)
+
+
 # --- samples ----------------------------------------------------------------------------------
 
 POINTS_SQL = """SELECT vec_id, u.i AS i, round(u.v, 6) AS v FROM (SELECT vec_id,
@@ -787,7 +807,7 @@ IDS_SQL = """SELECT doc_id, ids, max(len(ids)) OVER (PARTITION BY doc_id // 4) A
 def label_batches(spark, folder) -> DataFrame:
     ids = F.transform(F.split("text", " "), lambda w: F.length(w))
     return read(spark, folder, "documents").select(
-        "doc_id", windows.quotient(F.col("doc_id"), 4).alias("batch_id"), ids.alias("labels")
+        "doc_id", arrays.quotient(F.col("doc_id"), 4).alias("batch_id"), ids.alias("labels")
     )
 
 
@@ -940,6 +960,6 @@ def stream_finals(spark, folder):
 def replayed_sessions(spark, folder):
     """The same messages from stored chunks, without a stream."""
     path = shared_path(spark, "chunks")
-    chunk_table(spark, folder).write.parquet(path)
-    stored = spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    windows.count_samples(chunk_table(spark, folder)).write.parquet(path)
+    stored = spark.read.schema(f"{CHUNK_SCHEMA.toDDL()}, n_samples bigint").parquet(path)
     return transcribe.replay_sessions(stored, sample_sums, RATE, CHUNK / RATE, STRIDE / RATE)

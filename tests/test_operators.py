@@ -324,7 +324,7 @@ def test_pad_labels(spark, bound):
     with pytest.raises(ValueError):
         pad_labels(labels(spark), mode="seq2seq")
     with pytest.raises(ValueError):
-        pad_labels(labels(spark), mode="whisper")
+        pad_labels(labels(spark), mode="other")
 
 
 def test_pad_features_and_batches(spark):

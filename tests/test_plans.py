@@ -93,3 +93,16 @@ def test_slices_need_no_shuffle(spark):
     assert shuffles(windows.slice_recordings(df.select("vec_id", "embedding"), "embedding", 16, 4)) == []
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "n_chars")
     assert shuffles(windows.recording_windows(docs, "n_chars", 480)) == []
+
+
+def test_replay_reads_payloads_once(spark):
+    text = plan(Q.QUERIES["replayed_sessions"].build(spark, SF))
+    scans = re.findall(r"FileScan parquet \[(.*?)\]", text)
+    assert sorted("payload" in scan for scan in scans) == [False, True]
+    assert "Join" not in text
+
+
+def test_frames_are_cut_in_one_shuffle(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", F.col("embedding").alias("x"))
+    cut = windows.cut_frames(windows.to_frames(df, "x", 10), ["vec_id"], 10, 16, 4)
+    assert len(shuffles(cut)) == 1 and "Join" not in plan(cut)

@@ -98,10 +98,13 @@ def test_frames(spark, frame):
     df = spark.createDataFrame([("u", [float(i) for i in range(53)]), ("v", [1.0] * 3), ("w", [])], "utt_id string, x array<float>")
     frames = W.to_frames(df, "x", frame)
     windows = W.recording_windows(df.select("utt_id", F.size("x").alias("n")), "n", 16, 4).drop("n")
-    out = W.window_samples(windows, frames.withColumnRenamed("x", "samples") if "x" in frames.columns else frames, ["utt_id"], frame)
+    out = W.window_samples(windows, frames, ["utt_id"], frame)
     direct = W.slice_recordings(df, "x", 16, 4)
     key = lambda rows: sorted((r["utt_id"], r["win_idx"], r["start"], r["end"], r["samples"]) for r in rows)
     assert key(out.collect()) == key(direct.collect())
+    for chunk, stride in ((16, 4), (16, None), (7, 7), (100, 3), (1, 1)):
+        cut = W.cut_frames(frames, ["utt_id"], frame, chunk, stride)
+        assert key(cut.collect()) == key(W.slice_recordings(df, "x", chunk, stride).collect())
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
