@@ -674,6 +674,32 @@ def pcm_payload(spark, folder):
     )
 
 
+# Header of a mono WAV file with 64 samples of 16 bits at 8 kHz.
+WAVE_HEADER = "52494646a400000057415645666d74201000000001000100401f0000803e0000020010006461746180000000"
+
+
+@query(
+    """SELECT vec_id, 8000 AS sampling_rate, 64::BIGINT AS n_samples, round(list_sum(list_transform(embedding,
+        lambda v: (floor(v::DOUBLE * 1000) / 32768)::FLOAT::DOUBLE)), 6) AS total FROM embeddings"""
+)
+def wave_decode(spark, folder):
+    """PCM WAV contents, 16 bits, made from the vectors and decoded."""
+    hexed = F.transform(
+        F.col("embedding").cast("array<double>"),
+        lambda v: F.lpad(F.hex(F.floor(v * 1000).bitwiseAND(F.lit(0xFFFF))), 4, "0"),
+    )
+    little_endian = F.transform(hexed, lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)))
+    content = F.unhex(F.concat(F.lit(WAVE_HEADER), F.array_join(little_endian, "")))
+    decoded = read(spark, folder, "embeddings").select("vec_id", audio.decode_audio(content).alias("cell"))
+    samples = F.col("cell.array")
+    return decoded.select(
+        "vec_id",
+        F.col("cell.sampling_rate").alias("sampling_rate"),
+        long(F.size(samples)).alias("n_samples"),
+        array_sum(samples).alias("total"),
+    )
+
+
 def stored_payload(events: DataFrame) -> DataFrame:
     """A chunk of constant level, packed: the level is the length of the event's name."""
     level = F.length("event_type").cast("float")

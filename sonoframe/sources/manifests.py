@@ -1,5 +1,8 @@
 """JSON manifests: one object per line, or one array of objects."""
 
+import re
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sonoframe.functions.text import strip
@@ -10,43 +13,60 @@ from sonoframe.sources.files import expand, load_existing
 # An array written with an indent of two closes each of its objects like this.
 # Line feeds are always escaped inside JSON strings, so no text can contain it.
 _INDENTED_OBJECT_END = "\n  }"
+_OBJECT_START = '{"'
+_PIECES_LOOKED_AT = 64
+
+
+class Layout(NamedTuple):
+    """How the objects of a manifest are told apart."""
 
+    kind: str  # "lines", "indented", "compact" or "array"
+    separator: str | None = None
 
-def _layout(spark: SparkSession, path: str) -> str:
-    """``lines``, ``indented`` or ``array``, told from the first lines of the first block."""
-    raw = load_existing(lambda: spark.read.text(path), f"manifest not found: {path}")
-    head = raw.filter(F.col("_metadata.file_block_start") == 0).filter(strip(F.col("value")) != "").head(2)
-    lines = [row["value"].lstrip("\ufeff") for row in head]
-    if not lines or not lines[0].lstrip().startswith("["):
-        return "lines"
-    indented = len(lines) == 2 and lines[0].strip() == "[" and lines[1].rstrip() == "  {"
-    return "indented" if indented else "array"
 
+def _layout(spark: SparkSession, path: str) -> Layout:
+    """Told from the start of the file, cut at opening braces.
 
-def _records(spark: SparkSession, path: str, layout: str) -> DataFrame:
-    """One JSON object text per row, column ``value``."""
-    if layout == "lines":
+    A brace followed by a quote is never inside a string, where the quote would be
+    escaped. So whatever stands between two flat objects, up to that quote, separates
+    all of them. An array of no or one object has no separator and is parsed whole.
+    """
+    cut = load_existing(lambda: spark.read.option("lineSep", "{").text(path), f"manifest not found: {path}")
+    head = cut.filter(F.col("_metadata.file_block_start") == 0).head(_PIECES_LOOKED_AT)
+    pieces = [row["value"] for row in head]
+    opening = pieces[0].lstrip("\ufeff") if pieces else ""
+    if not opening.lstrip().startswith("["):
+        return Layout("lines")
+    if re.fullmatch(r"\s*\[\r?\n  ", opening):
+        return Layout("indented", _INDENTED_OBJECT_END)
+    for piece, following in zip(pieces[1:], pieces[2:]):
+        between = re.search(r"\},\s*$", piece)
+        if between and following.startswith('"'):
+            return Layout("compact", between[0] + _OBJECT_START)
+    return Layout("array")
+
+
+def _records(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
+    """One JSON object text per row, column ``value``; files are split over tasks."""
+    if layout.kind == "lines":
         return spark.read.text(path).filter(strip(F.col("value")) != "")
-    pieces = spark.read.option("lineSep", _INDENTED_OBJECT_END).text(path)
-    body = F.regexp_replace("value", r"^[\s\x{feff}]*[\[,]?\s*", "")
-    # What follows the last object is the closing bracket alone.
-    return pieces.select(body.alias("value")).filter(~F.col("value").rlike(r"^\s*\]?\s*$")).select(
-        F.concat("value", F.lit("}")).alias("value")
-    )
+    pieces = spark.read.option("lineSep", layout.separator).text(path)
+    if layout.kind == "indented":
+        body = F.regexp_replace("value", r"^[\s\x{feff}]*[\[,]?\s*", "")
+        # What follows the last object is the closing bracket alone.
+        objects = pieces.select(body.alias("value")).filter(~F.col("value").rlike(r"^\s*\]?\s*$"))
+        return objects.select(F.concat("value", F.lit("}")).alias("value"))
+    inner = F.regexp_replace("value", r'^[\s\x{feff}]*\[\s*\{"', "")
+    inner = F.regexp_replace(inner, r"\}\s*\]\s*\z", "")
+    return pieces.select(F.concat(F.lit(_OBJECT_START), inner, F.lit("}")).alias("value"))
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType = MANIFEST) -> DataFrame:
-    """One manifest with a declared schema; a malformed record fails the job.
-
-    Lines and indented arrays are split over tasks. Only an array in some other
-    layout has to be parsed by a single task.
-    """
+    """One manifest with a declared schema; a malformed record fails the job."""
     path = expand(path)
     layout = _layout(spark, path)
-    if layout == "array":
-        return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
-    if layout == "lines":
-        return spark.read.schema(schema).json(path, mode="FAILFAST")
+    if layout.kind in ("lines", "array"):
+        return spark.read.schema(schema).json(path, multiLine=layout.kind == "array", mode="FAILFAST")
     parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
     return _records(spark, path, layout).select(parsed.alias("record")).select("record.*")
 
@@ -55,7 +75,7 @@ def manifest_keys(spark: SparkSession, path: str) -> set[str]:
     """Distinct top-level keys of a manifest (a handful, whatever its size)."""
     path = expand(path)
     layout = _layout(spark, path)
-    if layout == "array":
+    if layout.kind == "array":
         return set(spark.read.json(path, multiLine=True).columns)
     keys = _records(spark, path, layout).select(F.explode(F.json_object_keys("value")).alias("key"))
     return {row["key"] for row in keys.distinct().collect()}

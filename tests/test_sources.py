@@ -12,7 +12,7 @@ from sonoframe.sinks.tables import write_manifest_jsonl, write_processed, write_
 from sonoframe.sources.audio import read_audio, read_audio_windows
 from sonoframe.sources.corpora import list_waves, read_common_voice, read_processed, read_vivos_corpus, read_vivos_table
 from sonoframe.sources.lines import read_prompts, read_sentences
-from sonoframe.sources.manifests import read_manifest, read_manifests
+from sonoframe.sources.manifests import manifest_keys, read_manifest, read_manifests
 
 
 def rows(df, *columns):
@@ -88,28 +88,51 @@ def test_prompts_last_wins_over_many_blocks(spark, tmp_path, small_blocks):
 RECORDS = [
     {"audio_filepath": "/a/1.wav", "text": "Xin } chào", "speaker_id": "s1"},
     {"audio_filepath": "/a/2.wav", "text": 'quote " ], [ {', "speaker_id": "s2"},
+    {"audio_filepath": "/a/3.wav", "text": 'a"},{"b"}, {"c {{ }]', "speaker_id": None},
 ]
 
 
-@pytest.mark.parametrize("layout", ["lines", "indented", "crlf", "compact", "bom"])
+def dumped(records, layout):
+    def dump(**how):
+        return json.dumps(records, ensure_ascii=False, **how)
+
+    return {
+        "lines": "\n".join(json.dumps(r, ensure_ascii=False) for r in records) + "\n",
+        "blank first": "\n \n" + "\n\n".join(json.dumps(r) for r in records),
+        "indented": dump(indent=2),
+        "crlf": dump(indent=2).replace("\n", "\r\n"),
+        "bom": "\ufeff" + dump(indent=2),
+        "one line": dump(),
+        "compact": dump(separators=(",", ":")) + "\n",
+        "compact bom": "\ufeff" + dump(),
+        "indent four": dump(indent=4),
+    }[layout]
+
+
+LAYOUTS = ["lines", "blank first", "indented", "crlf", "bom", "one line", "compact", "compact bom", "indent four"]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
 def test_manifest_layouts_agree(spark, tmp_path, layout):
     f = tmp_path / "m.json"
-    indented = json.dumps(RECORDS, ensure_ascii=False, indent=2)
-    text = {
-        "lines": "\n".join(json.dumps(r, ensure_ascii=False) for r in RECORDS) + "\n",
-        "indented": indented,
-        "crlf": indented.replace("\n", "\r\n"),
-        "compact": json.dumps(RECORDS),
-        "bom": "﻿" + indented,
-    }[layout]
-    f.write_bytes(text.encode("utf-8"))
-    assert rows(read_manifest(spark, str(f))) == [tuple(r.values()) for r in RECORDS]
+    for n in (3, 2, 1):
+        f.write_bytes(dumped(RECORDS[:n], layout).encode("utf-8"))
+        order = lambda rs: sorted(rs, key=str)
+        assert order(tuple(r) for r in read_manifest(spark, str(f)).collect()) == order(tuple(r.values()) for r in RECORDS[:n])
+        assert manifest_keys(spark, str(f)) == {"audio_filepath", "text", "speaker_id"}
+
+
+@pytest.mark.parametrize("text", ["", "[]", "[\n]\n"])
+def test_empty_manifests(spark, tmp_path, text):
+    (tmp_path / "m.json").write_text(text)
+    assert read_manifest(spark, str(tmp_path / "m.json")).count() == 0
 
 
-def test_indented_manifest_is_split_over_tasks(spark, tmp_path, small_blocks):
-    records = [{"audio_filepath": f"/a/{i}.wav", "text": f"câu { {} } số {i}"} for i in range(3000)]
+@pytest.mark.parametrize("layout", ["lines", "indented", "one line", "compact"])
+def test_manifests_are_split_over_tasks(spark, tmp_path, small_blocks, layout):
+    records = [{"audio_filepath": f"/a/{i}.wav", "text": 'câu { "} },{" số ' + "}" * (i % 5) + str(i)} for i in range(3000)]
     f = tmp_path / "m.json"
-    f.write_text(json.dumps(records, ensure_ascii=False, indent=2), encoding="utf-8")
+    f.write_text(dumped(records, layout), encoding="utf-8")
     df = read_manifest(spark, str(f))
     assert rows(df, "audio_filepath", "text") == sorted(tuple(r.values()) for r in records)
     assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 3
@@ -135,7 +158,7 @@ def write_lines(path, records):
 
 
 def test_custom_corpus(spark, tmp_path):
-    train = write_lines(tmp_path / "t", RECORDS)
+    train = write_lines(tmp_path / "t", RECORDS[:2])
     dev = write_lines(tmp_path / "d", [{"audio_filepath": "/b/1.wav", "text": "X"}])
     df = read_custom(spark, {"train": train, "eval": dev})
     assert set(df.columns) == {"audio", "transcript", "speaker_id", "split"}
