@@ -5,7 +5,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonoframe.llm import line_rules
+from sonoframe.llm import language, line_rules, mixing, packing, sharding
+from sonoframe.llm.samples import held_out
 
 
 class Query(NamedTuple):
@@ -74,3 +75,64 @@ FROM base"""
 def op9_line_rules(spark, folder):
     judged = line_rules.clean_lines(read(spark, folder, "documents").select("doc_id", "text"))
     return judged.drop("text", "clean_text")
+
+
+@query()
+def op6_sharding(spark, folder):
+    shuffled = sharding.two_pass_shuffle(read(spark, folder, "documents").select("doc_id", "text"))
+    return shuffled.select(
+        "doc_id",
+        sharding.size_of(F.col("text")).alias("size"),
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        "grown_shard",
+    )
+
+
+def uniform_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5({' || chr(58) || '.join(parts)}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0"
+
+
+# The tables have no rate above 16, so one draw per document is enough here.
+MIXING_SQL = f"""
+WITH RECURSIVE sums AS (
+    SELECT coalesce('=' || source, '-') AS s, sum(coalesce(length(text), 0) + 1)::BIGINT AS n FROM documents GROUP BY 1),
+rates AS (
+    SELECT s, 1.0::DOUBLE * (SELECT sum(n)::BIGINT FROM sums) / ((SELECT count(*) FROM sums) * n) AS rate FROM sums),
+steps AS (
+    SELECT s, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM rates
+    UNION ALL
+    SELECT s, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM steps WHERE k < {mixing.STEPS}),
+tables AS (SELECT s, rate, list(cdf ORDER BY k) AS cdf FROM steps GROUP BY s, rate),
+drawn AS (
+    SELECT d.*, t.rate, len(list_filter(t.cdf, lambda c: c <= u))::INTEGER AS n_copies
+    FROM (SELECT *, coalesce('=' || source, '-') AS s, {uniform_sql("'11'", "doc_id", "'1'")} AS u FROM documents) d
+    JOIN tables t USING (s)),
+copies AS (SELECT *, unnest(range(0, n_copies))::INTEGER AS copy FROM drawn WHERE n_copies > 0)
+SELECT doc_id, source, text, n_copies, copy, rate,
+    md5('11:order:' || doc_id || chr(58) || copy) AS shuffle_key FROM copies"""
+
+
+@query(MIXING_SQL)
+def op7_mixing(spark, folder):
+    return mixing.poisson_mix(read(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
+@query()
+def op2_packing(spark, folder):
+    return packing.pack_documents(read(spark, folder, "documents").select("doc_id", "text"), keep_ids=False).drop("ids")
+
+
+@query()
+def op3_language(spark, folder):
+    docs = read(spark, folder, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.fit_on(docs.select("doc_id", "text", "lang")))
+    return found.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        "switched",
+    )
