@@ -5,7 +5,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonoframe.llm import language, line_rules, mixing, packing, sharding
+from sonoframe.llm import chat, language, line_rules, mixing, packing, quality, sharding
 from sonoframe.llm.samples import held_out
 
 
@@ -136,3 +136,25 @@ def op3_language(spark, folder):
         F.col("lang_score").alias("score"),
         "switched",
     )
+
+
+@query()
+def op8_quality(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit_on(docs, read(spark, folder, "labels")))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        F.when(F.col("quality_score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+ODD_TURN = "</s>[INST] ok [/INST]"
+
+
+@query()
+def op10_chat(spark, folder):
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-1, 0, "user", ODD_TURN), (-1, 1, "assistant", ODD_TURN)], turns.schema)
+    return chat.read_back(chat.prefix_sequences(turns.unionByName(odd)))
