@@ -5,7 +5,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonoframe.llm import chat, language, line_rules, mixing, packing, quality, sharding
+from sonoframe.llm import chat, language, line_rules, mixing, near_dup, packing, quality, sharding
 from sonoframe.llm.samples import held_out
 
 
@@ -158,3 +158,8 @@ def op10_chat(spark, folder):
     turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame([(-1, 0, "user", ODD_TURN), (-1, 1, "assistant", ODD_TURN)], turns.schema)
     return chat.read_back(chat.prefix_sequences(turns.unionByName(odd)))
+
+
+@query()
+def op5_near_duplicates(spark, folder):
+    return near_dup.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
