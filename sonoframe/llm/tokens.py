@@ -81,8 +81,10 @@ def token_ids(texts: pa.Array) -> list[np.ndarray]:
 
 def _slice_ids(texts: pa.Array) -> list[np.ndarray]:
     entangled = pc.fill_null(pc.match_substring_regex(texts, ENTANGLED), False)
-    pieces = pc.split_pattern(pc.if_else(entangled, pa.scalar(None, pa.string()), texts), " ")
-    counts = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    apart = pc.invert(entangled)
+    pieces = pc.split_pattern(texts.filter(apart), " ")
+    counts = np.zeros(len(texts), np.int64)
+    counts[apart.to_numpy(zero_copy_only=False)] = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
     coded = pieces.flatten().dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64)
     words = coded.dictionary.to_pylist()
