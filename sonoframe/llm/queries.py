@@ -5,7 +5,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonoframe.llm import chat, language, line_rules, mixing, near_dup, packing, quality, sharding
+from sonoframe.llm import ann, chat, language, line_rules, mixing, near_dup, packing, quality, sharding
 from sonoframe.llm.samples import held_out
 
 
@@ -163,3 +163,8 @@ def op10_chat(spark, folder):
 @query()
 def op5_near_duplicates(spark, folder):
     return near_dup.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query()
+def op1_nearest(spark, folder):
+    return ann.neighbours(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
