@@ -33,6 +33,7 @@ AFFIXES = (1, 2, 3, 4)
 LEXICON_COUNT = 3  # uses of a word in the sample before the lexicon lists it
 LEXICON_SHARE = 0.9  # of its uses that one language has
 UNDETERMINED = "und"
+SLICE_BYTES = 3 << 20  # of text labelled at once: chains take some 40 bytes a word and language
 
 
 class Model(NamedTuple):
@@ -213,7 +214,7 @@ def label_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     best[:] = -1
     if not model.labels:
         return best, score, mixed
-    for found in words(texts):
+    for found in words(texts, SLICE_BYTES):
         bounds, codes, distinct = lettered(found)
         number, owner = features(distinct, model.lexicon, model.listed)
         scores = word_scores(model.emissions, number, owner, len(distinct))[codes]

@@ -29,9 +29,9 @@ def row_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield begin, len(texts)
 
 
-def words(texts: pa.Array) -> Iterator[Words]:
+def words(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Words]:
     """Maximal runs of characters other than space and U+0009 to U+000D. A null text has none."""
-    for begin, end in row_slices(texts):
+    for begin, end in row_slices(texts, limit):
         pieces = pc.ascii_split_whitespace(pc.fill_null(texts.slice(begin, end - begin), ""))
         counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pieces.flatten().dictionary_encode()
