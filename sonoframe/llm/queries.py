@@ -5,7 +5,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sonoframe.llm import ann, chat, language, line_rules, mixing, near_dup, packing, quality, sharding
+from sonoframe.llm import ann, chat, language, licenses, line_rules, mixing, near_dup, packing, quality, sharding
 from sonoframe.llm.samples import held_out
 
 
@@ -168,3 +168,16 @@ def op5_near_duplicates(spark, folder):
 @query()
 def op1_nearest(spark, folder):
     return ann.neighbours(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op4_licenses(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.fit_on(docs))
+
+
+@query()
+def pipeline(spark, folder):
+    import corpus_pipeline  # it imports the operators of this subpackage
+
+    return corpus_pipeline.run(spark, folder)
