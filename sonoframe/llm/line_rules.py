@@ -109,7 +109,7 @@ RESULTS = [
 
 def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the counts, ``clean_text`` (the lines that pass, in order) and the verdict ``kept``."""
-    own = [c for c in df.columns if c.lower() not in {*RESULTS, "_t", "_w", "_judged"}]
+    own = [c for c in df.columns if c.lower() not in {*RESULTS, "_t", "_w", "_r"}]
     df = df.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     df = df.withColumn("_w", words_of(F.col("_t")))
     df = repeated_words(df, "_w", "n_repeat_words")
@@ -139,4 +139,6 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
     )
     df = df.withColumn("kept_chars", letters(F.col("clean_text")).cast("bigint"))
     enough = F.col("kept_chars") * 100 >= F.col("word_chars") * MIN_KEPT_PERCENT
-    return df.withColumn("kept", ~F.col("base_failed") & enough).select(*own, *RESULTS)
+    df = df.withColumn("kept", ~F.col("base_failed") & enough)
+    # A generator ends the projection: a later filter on a result is not rewritten into all that made it.
+    return df.select(*own, F.explode(F.array(F.struct(*RESULTS))).alias("_r")).select(*own, *[f"_r.{c}" for c in RESULTS])
