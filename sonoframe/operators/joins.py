@@ -10,25 +10,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-HOT_ROWS = 1_000_000  # an id with at least so many rows is hot
-MAX_HOT_KEYS = 10_000  # only the hottest ids are told apart; the others are joined as usual
-MAX_PIECES = 1024
+HOT_ROWS = 1_000_000  # an id with at least so many rows is hot, and is cut into pieces of that size
+NULL_PIECES = 1024  # rows without an id match nothing; they may lie anywhere
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """The ids with the most rows and ``_pieces``, the number of parts to cut each into.
 
-    Rows are counted with partial sums before the shuffle. At most ``MAX_HOT_KEYS``
-    rows come back, so the table can be broadcast. None if no id is hot.
+    Part of the plan, over the key columns only. There is at most one such id for
+    every ``hot_rows`` rows, and rows are counted with partial sums before the shuffle.
     """
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows)
-    hottest = counts.orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
-    if not hottest:
-        return None
-    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("_pieces", T.LongType())])
-    rows = [(*[row[k] for k in keys], min(MAX_PIECES, 1 + row["_n"] // hot_rows)) for row in hottest]
-    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
-    return df.sparkSession.createDataFrame(rows, nullable)
+    return counts.select(*keys, (1 + F.floor(F.col("_n") / F.lit(hot_rows))).cast("bigint").alias("_pieces"))
 
 
 def lookup_join(
@@ -37,22 +30,19 @@ def lookup_join(
     """``left`` with the one row of ``right`` that has its key.
 
     Rows of a hot key are dealt to several tasks by a hash of their content, which a
-    repeated task computes again, and only the right rows of hot keys are copied.
-    Without hot keys this is a plain join.
+    repeated task computes again, and only the right rows of hot keys are copied. Nothing
+    runs before the result is asked for; Spark decides by size whether it broadcasts the hot keys.
     """
     hot = hot_keys(left, keys, hot_rows)
-    if hot is None:
-        return left.join(right, keys, how)
-    pieces = F.coalesce("_pieces", F.lit(1))
-    # Rows with a NULL key match nothing and may lie anywhere.
+    pieces = F.coalesce("_pieces", F.lit(1).cast("bigint"))
     unmatchable = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     dealt = (
-        left.join(F.broadcast(hot), keys, "left")
-        .withColumn("_piece", F.pmod(F.xxhash64(*left.columns), F.when(unmatchable, MAX_PIECES).otherwise(pieces)))
+        left.join(hot, keys, "left")
+        .withColumn("_piece", F.pmod(F.xxhash64(*left.columns), F.when(unmatchable, NULL_PIECES).otherwise(pieces)))
         .drop("_pieces")
     )
     copied = (
-        right.join(F.broadcast(hot), keys, "left")
+        right.join(hot, keys, "left")
         .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
         .drop("_pieces")
     )

@@ -1,8 +1,8 @@
 """Tokens and their ids.
 
-A vocabulary is a table ``(token_id, token, is_special)``. While it is small (as
-every character vocabulary is) it travels with the function that looks it up: no
-join, no row per character. A larger one is joined.
+A vocabulary is a table ``(token_id, token, is_special)``. It travels with the function that
+looks tokens up: no join, no row per token. Its size does not grow with the corpus: Unicode
+bounds a character vocabulary, and a recogniser's output layer any other.
 """
 
 import numpy as np
@@ -10,11 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from sonoframe.functions.audio import list_rows
-from sonoframe.operators.joins import HOT_ROWS, lookup_join
 from sonoframe.schemas import VOCAB
 
-SMALL_VOCABULARY = 20_000
-
 
 def char_vocabulary(df: DataFrame, text: str, specials: tuple[str, ...] = ("<blank>", "<unk>")) -> DataFrame:
     """Special tokens first, then every character of the text in code point order.
@@ -28,10 +25,8 @@ def char_vocabulary(df: DataFrame, text: str, specials: tuple[str, ...] = ("<bla
     return df.sparkSession.createDataFrame(rows, VOCAB)
 
 
-def _small(vocab: DataFrame, limit: int):
-    """The rows of a vocabulary, or None if it has more than ``limit``."""
-    rows = vocab.select("token_id", "token", "is_special").limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def _rows(vocab: DataFrame) -> list:
+    return vocab.select("token_id", "token", "is_special").collect()
 
 
 def _encoder(table: np.ndarray):
@@ -49,70 +44,37 @@ def _encoder(table: np.ndarray):
     return encode
 
 
-def _decoder(tokens: list[str | None], separator: str):
-    """Arrow function from ids to text; None stands for tokens that are skipped."""
+def _decoder(spoken_ids: np.ndarray, tokens: list[str], separator: str):
+    """Arrow function from ids to text; ids that are not listed are skipped."""
 
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
-        spoken = np.array([t is not None for t in tokens])
         out = []
         for row in list_rows(ids, fill=-1):
             if row is None:
                 out.append(None)
                 continue
-            known = row[(row >= 0) & (row < len(tokens))]
-            out.append(separator.join([tokens[i] for i in known[spoken[known]].tolist()]))
+            at = np.minimum(np.searchsorted(spoken_ids, row), max(0, len(tokens) - 1))
+            found = at[spoken_ids[at] == row] if tokens else []
+            out.append(separator.join([tokens[i] for i in found]))
         return pa.array(out, pa.string())
 
     return decode
 
 
 def encode_characters(
-    df: DataFrame, keys: list[str], text: str, vocab: DataFrame, unknown: str = "<unk>", name: str = "labels",
-    limit: int = SMALL_VOCABULARY, hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Text to character ids, unknown characters to the id of ``unknown``.
-
-    With a small vocabulary the result keeps all columns of ``df``; otherwise it has keys and ids.
-    """
-    rows = _small(vocab, limit)
-    if rows is not None:
-        ids = {row["token"]: row["token_id"] for row in rows}
-        by_code = {ord(t): i for t, i in ids.items() if len(t) == 1}
-        table = np.full(max(by_code, default=0) + 2, ids[unknown], np.int32)
-        table[list(by_code)] = list(by_code.values())
-        return df.withColumn(name, _encoder(table)(F.col(text)))
-    unknown_id = vocab.filter(F.col("token") == unknown).select("token_id").first()["token_id"]
-    characters = F.filter(F.split(text, ""), lambda c: c != "")
-    spelled = df.select(
-        *keys, F.col(text).isNull().alias("_missing"), F.posexplode_outer(characters).alias("_at", "token")
-    )
-    found = lookup_join(spelled, vocab.select("token", "token_id"), ["token"], "left", hot_rows)
-    coded = F.when(F.col("token").isNotNull(), F.struct("_at", F.coalesce("token_id", F.lit(unknown_id)).alias("id")))
-    gathered = found.groupBy(*keys, "_missing").agg(F.sort_array(F.collect_list(coded)).alias("_coded"))
-    ids = F.transform("_coded", lambda p: p["id"])
-    return gathered.select(*keys, F.when(~F.col("_missing"), ids).alias(name))
-
-
-def decode_ids(
-    df: DataFrame, keys: list[str], ids: str, vocab: DataFrame, separator: str = "", name: str = "text",
-    limit: int = SMALL_VOCABULARY, hot_rows: int = HOT_ROWS,
+    df: DataFrame, text: str, vocab: DataFrame, unknown: str = "<unk>", name: str = "labels"
 ) -> DataFrame:
-    """Ids to text; special tokens are skipped, as are ids the vocabulary lacks."""
-    rows = _small(vocab, limit)
-    top = max((row["token_id"] for row in rows), default=0) if rows is not None else 0
-    if rows is not None and top <= 16 * limit:
-        tokens: list[str | None] = [None] * (top + 1)
-        for row in rows:
-            if not row["is_special"]:
-                tokens[row["token_id"]] = row["token"]
-        return df.withColumn(name, _decoder(tokens, separator)(F.col(ids)))
-    spoken = vocab.filter(~F.col("is_special")).select("token_id", "token")
-    listed = df.select(
-        *keys, F.col(ids).isNull().alias("_missing"), F.posexplode_outer(ids).alias("_at", "token_id")
-    )
-    found = lookup_join(listed, spoken, ["token_id"], "left", hot_rows)
-    token = F.when(F.col("token").isNotNull(), F.struct("_at", "token"))
-    gathered = found.groupBy(*keys, "_missing").agg(F.sort_array(F.collect_list(token)).alias("_tokens"))
-    joined = F.array_join(F.transform("_tokens", lambda p: p["token"]), separator)
-    return gathered.select(*keys, F.when(~F.col("_missing"), joined).alias(name))
+    """Text to character ids, unknown characters to the id of ``unknown``. Rows and columns of ``df`` are kept."""
+    ids = {row["token"]: row["token_id"] for row in _rows(vocab)}
+    by_code = {ord(t): i for t, i in ids.items() if len(t) == 1}
+    table = np.full(max(by_code, default=0) + 2, ids[unknown], np.int32)
+    table[list(by_code)] = list(by_code.values())
+    return df.withColumn(name, _encoder(table)(F.col(text)))
+
+
+def decode_ids(df: DataFrame, ids: str, vocab: DataFrame, separator: str = "", name: str = "text") -> DataFrame:
+    """Ids to text; special tokens are skipped, as are ids the vocabulary lacks. Rows and columns of ``df`` are kept."""
+    spoken = sorted((row["token_id"], row["token"]) for row in _rows(vocab) if not row["is_special"])
+    numbers = np.array([i for i, _ in spoken], np.int64)
+    return df.withColumn(name, _decoder(numbers, [t for _, t in spoken], separator)(F.col(ids)))

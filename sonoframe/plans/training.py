@@ -49,7 +49,7 @@ def build_training_table(
     """
 
     def build(split: DataFrame) -> DataFrame:
-        coded = encode_characters(split, ["audio"], "transcript", vocab)
+        coded = encode_characters(split, "transcript", vocab)
         if samples:
             coded = featurize(coded, extract, samples)
         kept = coded.select("audio", "labels", *(["input_values"] if samples else []))
@@ -61,22 +61,21 @@ def build_training_table(
 
 
 def decode_predictions(
-    df: DataFrame, keys: list[str], scores: str, vocab: DataFrame, blank_id: int = 0, name: str = "text"
+    df: DataFrame, scores: str, vocab: DataFrame, blank_id: int = 0, name: str = "text"
 ) -> DataFrame:
     """Frame scores (``array<array<float>>``) to text: best token per frame, CTC collapse, tokens."""
     ids = ctc_collapse(F.transform(scores, lambda frame: argmax(frame).cast("int")), blank_id)
-    return decode_ids(df.withColumn("_ids", ids), keys, "_ids", vocab, name=name).drop("_ids")
+    return decode_ids(df.withColumn("_ids", ids), "_ids", vocab, name=name).drop("_ids")
 
 
 def decode_labels(
-    df: DataFrame, keys: list[str], labels: str, vocab: DataFrame, pad_id: int, blank_id: int | None = None,
-    name: str = "text",
+    df: DataFrame, labels: str, vocab: DataFrame, pad_id: int, blank_id: int | None = None, name: str = "text"
 ) -> DataFrame:
     """Label batches back to text. CTC decoders apply their collapse to labels, too."""
     ids = unmask_labels(F.col(labels), pad_id)
     if blank_id is not None:
         ids = ctc_collapse(ids, blank_id)
-    return decode_ids(df.withColumn("_ids", ids), keys, "_ids", vocab, name=name).drop("_ids")
+    return decode_ids(df.withColumn("_ids", ids), "_ids", vocab, name=name).drop("_ids")
 
 
 def evaluate_wer(

@@ -756,7 +756,7 @@ def spoken(spark, folder, change: Callable[[Column], Column]) -> DataFrame:
         F.sequence(F.lit(0), F.lit(15)), lambda f: F.transform(F.slice("embedding", f * 4 + 1, F.lit(4)), change)
     )
     scored = read(spark, folder, "embeddings").select("vec_id", frames.alias("scores"))
-    return training.decode_predictions(scored, ["vec_id"], "scores", vocab).select("vec_id", "text")
+    return training.decode_predictions(scored, "scores", vocab).select("vec_id", "text")
 
 
 @query(frame_sql("v"))
@@ -792,10 +792,10 @@ def id_digest(df: DataFrame, ids: Column) -> DataFrame:
     )
 
 
-def encoded(spark, folder, **options) -> tuple[DataFrame, DataFrame]:
+def encoded(spark, folder) -> tuple[DataFrame, DataFrame]:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     vocab = lexicon.char_vocabulary(docs, "text")
-    return lexicon.encode_characters(docs, ["doc_id"], "text", vocab, **options), vocab
+    return lexicon.encode_characters(docs, "text", vocab), vocab
 
 
 @query(f"SELECT token_id::INTEGER AS token_id, c AS token FROM ({VOCAB_SQL})")
@@ -812,14 +812,16 @@ def vocab_encode(spark, folder):
 @query("SELECT doc_id, length(text)::BIGINT AS n, md5(text) AS text_md5 FROM documents")
 def vocab_decode(spark, folder):
     ids, vocab = encoded(spark, folder)
-    back = lexicon.decode_ids(ids.select("doc_id", "labels"), ["doc_id"], "labels", vocab)
+    back = lexicon.decode_ids(ids.select("doc_id", "labels"), "labels", vocab)
     return back.select("doc_id", long(F.length("text")).alias("n"), F.md5("text").alias("text_md5"))
 
 
 @query(ENCODED_SQL)
 def vocab_encode_joined(spark, folder):
-    """The path for vocabularies too large for the plan."""
-    return id_digest(encoded(spark, folder, limit=0)[0], F.col("labels"))
+    """Rows that share a key, here the source, stay rows of their own with all their columns."""
+    docs = read(spark, folder, "documents").select("source", "doc_id", "text")
+    coded = lexicon.encode_characters(docs, "text", lexicon.char_vocabulary(docs, "text"))
+    return id_digest(coded, F.col("labels"))
 
 
 # --- label batches: word lengths as ids, four documents to a batch --------------------------------------

@@ -1,6 +1,7 @@
 """Recordings as tables."""
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,23 @@ AUDIO_WINDOW = T.StructType(
 )
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(place) and files.getFileStatus(place).isFile()
+
+
 def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Every file that is named, whatever its name, and the WAV files below every folder."""
     paths = [expand(p) for p in ([paths] if isinstance(paths, str) else paths)]
+    named = [p for p in paths if _is_file(spark, p)]
+    folders = [p for p in paths if p not in set(named)]
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if not all(p.lower().endswith(".wav") for p in paths):
-        reader = reader.option("pathGlobFilter", "*.wav")
-    files = load_existing(lambda: reader.load(paths), f"no audio at {', '.join(paths)}")
-    return files.select("path", "content")
+    parts = [load_existing(lambda: reader.load(named), f"no audio at {', '.join(named)}")] if named else []
+    if folders:
+        wanted = reader.option("pathGlobFilter", "*.wav")
+        parts.append(load_existing(lambda: wanted.load(folders), f"no audio at {', '.join(folders)}"))
+    return reduce(DataFrame.union, [p.select("path", "content") for p in parts])
 
 
 def _decoded(

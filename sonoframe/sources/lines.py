@@ -32,12 +32,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def number_lines(lines: DataFrame) -> DataFrame:
     """Add ``n``: 1, 2, 3, ... in file order, per file, without shuffling lines.
 
-    Every block contributes one row (its first ``row`` and its line count) to a
-    small table; a running sum over it gives the number at which each block
-    starts. That table is written once, so that Spark knows its size and
-    broadcasts it only while it is small, and so that an empty input is noticed.
+    Where the blocks of a file begin depends on settings that may change between building and
+    running a plan, so the lines are stored once with their blocks and only those are numbered. Every
+    block contributes one row (its first ``row`` and its line count) to a small table; a running sum over
+    it gives the number at which each block starts. It is stored too, so that Spark knows its size and
+    broadcasts it only while it is small.
     """
     spark = lines.sparkSession
+    target = shared_path(spark, "lines")
+    lines.select("file", "block", "row", "line").write.parquet(target)
+    lines = spark.read.parquet(target)
     target = shared_path(spark, "line-blocks")
     per_block = lines.groupBy("file", "block").agg(F.min("row").alias("first_row"), F.count("*").alias("n_lines"))
     per_block.write.parquet(target)

@@ -113,7 +113,18 @@ def test_lookup_join_with_hot_and_null_keys(spark, how):
     assert order(dealt.collect()) == order(plain.collect())
     hot = {r["utt_id"]: r["_pieces"] for r in hot_keys(left, ["utt_id"], 50).collect()}
     assert hot == {"hot": 9, None: 2, "lost": 2, "warm": 2}
-    assert hot_keys(left, ["utt_id"], 5000) is None
+    assert hot_keys(left, ["utt_id"], 5000).collect() == []
+    many = spark.range(30_000).select((F.col("id") % 15_000).cast("string").alias("utt_id"))
+    assert hot_keys(many, ["utt_id"], 2).count() == 15_000
+
+
+def test_building_a_lookup_join_runs_nothing(spark):
+    left = spark.range(1000).select(F.col("id").cast("string").alias("utt_id"))
+    right = spark.range(10).select(F.col("id").cast("string").alias("utt_id"), F.lit("t").alias("text"))
+    group = "lookup-join-plan"
+    spark.sparkContext.setJobGroup(group, "")
+    lookup_join(left, right, ["utt_id"], hot_rows=5)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
 
 
 def test_hot_key_is_spread_over_tasks(spark):
@@ -137,10 +148,8 @@ def test_hot_batches_and_tokens(spark, docs):
     assert sorted((r["batch_id"], r["n"], r["c"]) for r in out.collect()) == [(0, [7], 250), (1, [7], 250)]
     vocab = char_vocabulary(docs, "text").cache()
     texts = docs.select("doc_id", "text")
-    a = encode_characters(texts, ["doc_id"], "text", vocab).select("doc_id", "labels")
-    b = encode_characters(texts, ["doc_id"], "text", vocab, limit=0, hot_rows=2000)
-    assert sorted(a.collect()) == sorted(b.collect())
-    back = decode_ids(a, ["doc_id"], "labels", vocab, limit=0, hot_rows=2000)
+    a = encode_characters(texts, "text", vocab).select("doc_id", "labels")
+    back = decode_ids(a, "labels", vocab).select("doc_id", "text")
     assert sorted(back.collect()) == sorted(texts.collect())
 
 
@@ -335,24 +344,21 @@ def test_pad_features_and_batches(spark):
     assert sizes.filter("count < 4").count() <= 7
 
 
-def test_vocabulary_paths_agree(spark, docs):
+def test_vocabulary_round_trip(spark, docs):
     vocab = char_vocabulary(docs, "text").cache()
     texts = docs.select("doc_id", "text").unionByName(
         spark.createDataFrame([(-1, ""), (-2, "a\U0001f600b"), (-3, None)], "doc_id long, text string")
     )
-    small = encode_characters(texts, ["doc_id"], "text", vocab)
-    joined = encode_characters(texts, ["doc_id"], "text", vocab, limit=3)
+    small = encode_characters(texts, "text", vocab)
     a = {r["doc_id"]: r["labels"] for r in small.collect()}
-    b = {r["doc_id"]: r["labels"] for r in joined.collect()}
-    assert a == b and a[-1] == [] and a[-3] is None and a[-2][1] == 1
+    assert a[-1] == [] and a[-3] is None and a[-2][1] == 1
     ids = {r["token"]: r["token_id"] for r in vocab.collect()}
     for r in texts.filter("doc_id >= 0").collect():
         assert a[r["doc_id"]] == [ids[c] for c in r["text"]]
-    for limit in (20000, 3):
-        back = {r["doc_id"]: r["text"] for r in decode_ids(small.drop("text"), ["doc_id"], "labels", vocab, limit=limit).select("doc_id", "text").collect()}
-        want = {r["doc_id"]: r["text"] for r in texts.collect()}
-        want[-2] = "ab"
-        assert back == want
+    back = {r["doc_id"]: r["text"] for r in decode_ids(small.drop("text"), "labels", vocab).select("doc_id", "text").collect()}
+    want = {r["doc_id"]: r["text"] for r in texts.collect()}
+    want[-2] = "ab"
+    assert back == want
     plan = small._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Exchange" not in plan and "Join" not in plan
 
@@ -360,8 +366,14 @@ def test_vocabulary_paths_agree(spark, docs):
 def test_decoding_large_sparse_ids(spark):
     vocab = spark.createDataFrame([(0, "<pad>", True), (5, "xin", False), (300, "chào", False)], "token_id int, token string, is_special boolean")
     df = spark.createDataFrame([(1, [5, 0, 300, 99, -1, None])], "i int, ids array<int>")
-    for limit in (20000, 2):
-        assert decode_ids(df, ["i"], "ids", vocab, " ", limit=limit).first()["text"] == "xin chào"
+    assert decode_ids(df, "ids", vocab, " ").first()["text"] == "xin chào"
+
+
+def test_large_vocabulary_keeps_rows_that_share_a_key(spark):
+    vocab = spark.range(100_000).select(F.col("id").cast("int").alias("token_id"), F.concat(F.lit("t"), "id").alias("token"), F.lit(False).alias("is_special"))
+    df = spark.createDataFrame([("p", [2, 3], 1), ("p", [3, 99_999], 2)], "audio string, ids array<int>, n int")
+    rows = decode_ids(df, "ids", vocab, " ").orderBy("n").collect()
+    assert [(r["audio"], r["text"], r["n"]) for r in rows] == [("p", "t2 t3", 1), ("p", "t3 t99999", 2)]
 
 
 def test_training_and_scoring_jobs(spark):
@@ -374,10 +386,10 @@ def test_training_and_scoring_jobs(spark):
     for batch in {r["batch_id"] for r in out}:
         assert len({len(r["labels"]) for r in out if r["batch_id"] == batch}) == 1
     assert ev.first()["labels"] == [3, 2]
-    text = decode_labels(train, ["audio"], "labels", vocab, pad_id=0)
+    text = decode_labels(train, "labels", vocab, pad_id=0)
     assert {r["audio"]: r["text"] for r in text.collect()} == {a: t for s, a, t in data if s == "train"}
 
     scores = [[0.0, 0.1, 0.9, 0.2], [0.0, 0.1, 0.9, 0.2], [0.9, 0.0, 0.0, 0.0], [0.0, 0.0, 0.9, 0.9], [0.0, 0.0, 0.0, 1.0]]
     frames = spark.createDataFrame([("x", scores)], "audio string, s array<array<double>>")
-    assert decode_predictions(frames, ["audio"], "s", vocab).first()["text"] == "aab"
+    assert decode_predictions(frames, "s", vocab).first()["text"] == "aab"
     assert featurize(frames, lambda c: F.size(c), "s").first()["input_values"] == 5

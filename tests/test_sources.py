@@ -351,3 +351,66 @@ def test_read_audio_windows(spark, tmp_path):
     over = rows(read_audio_windows(spark, str(tmp_path / "w"), 1.0, 0.5), "win_idx", "start", "end")
     assert over == [(0, 0, 10), (1, 5, 15), (2, 10, 20), (3, 15, 25), (4, 20, 25)]
     assert rows(read_audio_windows(spark, str(tmp_path / "w"), 0), "start", "end") == [(0, 25)]
+
+
+ARRAYS = {
+    "one-per-line": '[\n  {"audio_filepath": "a", "text": "x"},\n  {"audio_filepath": "b", "text": "y"}\n]',
+    "mixed": '[{"audio_filepath": "a", "text": "x"}, {"audio_filepath": "b", "text": "y"},{"audio_filepath": "c", "text": "z"}]',
+    "braces": json.dumps([{"audio_filepath": "a", "text": "{" * 80}, {"audio_filepath": "b", "text": "x"}]),
+    **{f"indent-{n}": json.dumps([{"audio_filepath": str(i), "text": "é {} ["} for i in range(5)], indent=n) for n in (1, 2, 4)},
+    "one": '[{"audio_filepath": "a", "text": "x"}]',
+    "none": "[]",
+}
+
+
+@pytest.mark.parametrize("name", ARRAYS)
+def test_no_array_loses_a_row(spark, tmp_path, name):
+    path = tmp_path / "m.json"
+    path.write_text(ARRAYS[name])
+    expected = [(r["audio_filepath"], r["text"]) for r in json.loads(ARRAYS[name])]
+    found = read_manifest(spark, str(path)).select("audio_filepath", "text").collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_text_like_a_separator_never_loses_a_row(spark, tmp_path):
+    path = tmp_path / "m.json"
+    path.write_text(json.dumps([{"audio_filepath": "a", "text": "x"}, {"audio_filepath": "b", "text": "ends in }, {"}, {"audio_filepath": "c", "text": "z"}]))
+    try:
+        assert read_manifest(spark, str(path)).count() == 3 and len(read_manifest(spark, str(path)).collect()) == 3
+    except Exception as error:
+        assert "MALFORMED" in str(error)
+
+
+def test_folder_of_both_kinds(spark, tmp_path):
+    (tmp_path / "a.json").write_text(ARRAYS["mixed"])
+    (tmp_path / "b.json").write_text('{"audio_filepath": "d", "text": "w"}\n{"audio_filepath": "e", "text": "v"}\n')
+    assert {r["audio_filepath"] for r in read_manifest(spark, str(tmp_path)).collect()} == set("abcde")
+
+
+def test_numbers_survive_another_split_size(spark, tmp_path):
+    from sonoframe.sources.lines import read_sentences
+
+    path = tmp_path / "s.txt"
+    path.write_text("".join(f"sentence {i}\n" for i in range(1, 3001)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        numbered = read_sentences(spark, str(path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        rows = {r["n"]: r["text"] for r in numbered.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert rows == {i: f"sentence {i}" for i in range(1, 3001)}
+
+
+def test_every_named_recording_is_read(spark, tmp_path):
+    import wave
+
+    from sonoframe.sources.audio import read_audio
+
+    for name in ("a.wav", "b.dat"):
+        with wave.open(str(tmp_path / name), "wb") as out:
+            out.setparams((1, 2, 16000, 0, "NONE", ""))
+            out.writeframes(b"\0\0" * 8)
+    assert read_audio(spark, [str(tmp_path / "a.wav"), str(tmp_path / "b.dat")]).count() == 2
+    assert read_audio(spark, str(tmp_path / "b.dat")).count() == 1
+    assert read_audio(spark, str(tmp_path)).count() == 1
