@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sonoframe.functions.arrays import quotient
 from sonoframe.functions.audio import payload_is_whole
-from sonoframe.operators.running import running_sum
+from sonoframe.operators.joins import lookup_join
+from sonoframe.operators.running import running_sum, sequence_numbers
 
 FINAL = -1  # block number of a session's last span
 
@@ -197,6 +198,23 @@ def count_samples(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("n_samples", F.coalesce(whole, F.lit(0).cast("bigint")))
 
 
+def heard_chunks(chunks: DataFrame) -> DataFrame:
+    """The chunks a live stream would take: one of each number, up to the first that closes the
+    session and not beyond the first number that is missing.
+
+    Where a session ends is found on numbers alone; payloads are shuffled to drop repeats
+    and to meet their session's end, which is dealt out for long sessions.
+    """
+    once = chunks.dropDuplicates(["session", "seq"]).withColumn("_session", F.struct("session"))
+    numbered = sequence_numbers(once.select("_session", "seq", "eos"), ["_session"], "seq", "_n")
+    ends = numbered.groupBy("_session").agg(
+        F.min(F.when(F.col("eos"), F.col("seq"))).alias("_last"), F.min(F.when(F.col("seq") != F.col("_n"), F.col("seq"))).alias("_gap")
+    )
+    placed = lookup_join(once, ends, ["_session"])
+    in_time = (F.col("seq") <= F.coalesce("_last", "seq")) & (F.col("_gap").isNull() | (F.col("seq") < F.col("_gap")))
+    return placed.filter(in_time).select(*chunks.columns)
+
+
 def chunk_spans(
     chunks: DataFrame, chunk: int, stride: int, windows_per_span: int = 64, block: int = 1024
 ) -> DataFrame:

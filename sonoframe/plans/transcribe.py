@@ -6,7 +6,7 @@ from sonoframe.functions.audio import Resampler, convert_payload, linear_resampl
 from sonoframe.functions.recognise import RecogniserFactory, spread, transcribe_spans, transcribe_windows
 from sonoframe.functions.text import segment_label, strip
 from sonoframe.operators.concat import concat_segments
-from sonoframe.operators.windows import chunk_spans, cut_frames, window_sizes
+from sonoframe.operators.windows import chunk_spans, cut_frames, heard_chunks, window_sizes
 from sonoframe.sources.audio import read_audio_windows
 
 
@@ -91,13 +91,14 @@ def replay_sessions(
 ) -> DataFrame:
     """Messages of finished sessions, computed from stored chunks in one batch job.
 
-    The same messages as the live stream sends, without its state: a session is cut
+    The same messages as the live stream sends, without its state: repeated rows, rows after the end of
+    a session and rows beyond a missing number count as little as there. A session is cut
     into spans that are worked on in parallel.
     """
     chunk, stride = window_sizes(chunk_s, stride_s, sampling_rate)
     payload = convert_payload(F.col("payload"), source_rate or sampling_rate, sampling_rate, channels, resampler)
     whole = F.when(payload_is_whole(payload), payload)
-    stored = chunks.withColumn("payload", whole)
+    stored = heard_chunks(chunks).withColumn("payload", whole)
     if source_rate not in (None, sampling_rate) or channels > 1:
         stored = stored.drop("n_samples")  # it counted other samples
     heard = transcribe_spans(chunk_spans(stored, chunk, stride), factory, sampling_rate, chunk, stride)

@@ -124,6 +124,18 @@ def test_open_session_has_no_final(spark, tmp_path):
     assert sorted(tuple(r) for r in batch.select("session", "seq", "type", "text").collect()) == want
 
 
+def test_replay_takes_what_the_stream_takes(spark, tmp_path):
+    rows = chunk_rows({"a": [12, 4, 9, 8], "b": [15, 11, 7], "c": [20, 20, 20]})
+    payload = np.arange(30, dtype="<f4").tobytes()
+    rows = [r for r in rows if r[:2] != ("c", 1)]  # a missing number
+    rows += [rows[0], rows[2], ("a", 9, None, payload, False), ("b", 8, None, payload, True)]  # repeats and late rows
+    df = spark.createDataFrame(rows[::-1], CHUNK)
+    df.write.parquet(str(tmp_path / "in"))
+    drain(stream_transcribe(read_pcm_stream(spark, str(tmp_path / "in")), first_and_sum, 1, 10, 3), tmp_path / "o", tmp_path / "c")
+    batch = replay_sessions(df, first_and_sum, 1, 10, 3)
+    assert sorted(tuple(r) for r in batch.select("session", "seq", "type", "text").collect()) == result(spark, tmp_path / "o")
+
+
 def test_broken_chunk_leaves_the_session_intact(spark, tmp_path):
     rows = chunk_rows({"a": [12, 0, 9]})
     rows[1] = ("a", 1, None, b"12345", False)
