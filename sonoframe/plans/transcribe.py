@@ -7,6 +7,7 @@ from sonoframe.functions.recognise import RecogniserFactory, spread, transcribe_
 from sonoframe.functions.text import segment_label, strip
 from sonoframe.operators.concat import concat_segments
 from sonoframe.operators.windows import chunk_spans, cut_frames, heard_chunks, window_sizes
+from sonoframe.shared import shared_path
 from sonoframe.sources.audio import read_audio_windows
 
 
@@ -98,7 +99,10 @@ def replay_sessions(
     chunk, stride = window_sizes(chunk_s, stride_s, sampling_rate)
     payload = convert_payload(F.col("payload"), source_rate or sampling_rate, sampling_rate, channels, resampler)
     whole = F.when(payload_is_whole(payload), payload)
-    stored = heard_chunks(chunks).withColumn("payload", whole)
+    # Written once, so that repeats are dropped once; offsets then read numbers only.
+    path = shared_path(chunks.sparkSession, "heard-chunks")
+    heard_chunks(chunks).write.parquet(path)
+    stored = chunks.sparkSession.read.schema(chunks.schema).parquet(path).withColumn("payload", whole)
     if source_rate not in (None, sampling_rate) or channels > 1:
         stored = stored.drop("n_samples")  # it counted other samples
     heard = transcribe_spans(chunk_spans(stored, chunk, stride), factory, sampling_rate, chunk, stride)
