@@ -33,7 +33,7 @@ AFFIXES = (1, 2, 3, 4)
 LEXICON_COUNT = 3  # uses of a word in the sample before the lexicon lists it
 LEXICON_SHARE = 0.9  # of its uses that one language has
 UNDETERMINED = "und"
-SLICE_BYTES = 3 << 20  # of text labelled at once: chains take some 40 bytes a word and language
+SLICE_BYTES = 1 << 20  # of text labelled at once: features and chains take up to 100 times as much
 
 
 class Model(NamedTuple):

@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 
 JSON_FILE = "byte_bpe_50k.json"
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-REMEMBERED = 800_000  # pieces whose ids a worker keeps (about 200 MB); then it starts anew
+REMEMBERED = 200_000  # pieces whose ids a worker keeps (about 50 MB, also after its stage); then it starts anew
 SLICE_BYTES = 8 << 20  # of text encoded at once, or one text
 
 # The characters that count as white space for the vocabulary's pre-tokens.
