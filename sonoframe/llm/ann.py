@@ -8,19 +8,24 @@ neighbouring cell whose border is near, and sets of moves are ranked by the expe
 distances to those borders. The candidates of all tables are merged and scored exactly.
 
 The number of probes is fitted: the exact neighbours of ``FIT_QUERIES`` queries are found over all rows,
-and probes are added until the tables reach ``RECALL`` of them (or ``MOST_PROBES``). K grows with the logarithm of
-the number of rows. Every row is indexed.
+and probes are added until the tables reach ``RECALL`` of them, or until they cost more than a scan. K grows with the
+logarithm of the number of rows. Every row is indexed.
+
+The fit holds on average only. After the search, the chance that a row as near as a query's last hit is in one of
+its buckets is computed from the hashes. Queries with a chance under ``LEAST_CHANCE``, or with too few hits, are
+compared with all rows instead, in blocks of queries and rows.
 
 Equal vectors are one class: it is searched once, and each keeps its smallest ids, enough for any answer. A
 query's best scores within a bounded sample of rows are a lower bound for its answer, below which no
 candidate leaves a task. Buckets are dealt to groups of about ``GROUP_ROWS`` rows; larger groups are cut.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part; ties go to the smaller id; a query with fewer candidates than ``k`` gets those found;
+components take no part; ties go to the smaller id; a query with fewer candidates than ``k`` gets all of them;
 an empty table gives an empty table.
 """
 
 import heapq
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,12 +37,14 @@ from sonoframe.llm.stored import stored
 
 TABLES = 6
 WIDTH = 2.0  # of a hash's cell, in lengths of the longest vector
-MOST_PROBES = 2048
+FIRST_PROBES = 2048  # tried by the fit, then twice as many, and so on
 RECALL = 0.94
+LEAST_CHANCE = 0.9  # of finding a row as near as the last hit, below which a query is answered exactly
 FIT_QUERIES = 96
 SAMPLE_ROWS = 8192
 SPARE = 5  # times k: so many rows should lie above a query's bound, as not all of them are found
 GROUP_ROWS = 16_384
+EXACT_QUERIES, EXACT_ROWS, EXACT_BLOCKS = 16_384, 65_536, 24  # of a block, and blocks of rows at least
 SEED = 31
 
 
@@ -97,10 +104,35 @@ def probes(hashes: Hashes, table: int, vectors: np.ndarray, order: list[tuple[in
     inside = cells - np.floor(cells)
     ranked = np.argsort(np.concatenate((inside, 1 - inside), axis=1), axis=1, kind="stable")
     step = np.concatenate((-hashes.mixers[table], hashes.mixers[table]))[ranked]
+    return hashes.buckets(table, cells)[:, None] + step @ move_table(k, order).T
+
+
+def move_table(k: int, order: list[tuple[int, ...]]) -> np.ndarray:
     chosen = np.zeros((len(order), 2 * k), np.int64)
     for i, moves in enumerate(order):
         chosen[i, list(moves)] = 1
-    return hashes.buckets(table, cells)[:, None] + step @ chosen.T
+    return chosen
+
+
+def chances(hashes: Hashes, x: np.ndarray, scores: np.ndarray, order: list[tuple[int, ...]]) -> np.ndarray:
+    """For each query the probability, over directions, that a row with this score lies in a probed bucket.
+
+    Given a query's own hashes, those of a row at distance d are independent normals about them."""
+    longest, lengths = hashes.longest, np.sqrt((x**2).sum(axis=1))
+    far = np.clip(2 - 2 * scores / lengths / longest, 1e-12, 4 - 1e-12)[:, None]  # squared distance, in squared lengths
+    spread = np.sqrt(far * (1 - far / 4)) / WIDTH
+    normal, lifted, missed = np.frompyfunc(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), 1, 1), hashes.queries(x), np.ones(len(x))
+    k = hashes.shifts.shape[1]
+    chosen = move_table(k, order).T.astype(np.float64)
+    for t in range(TABLES):
+        cells = hashes.cells(t, lifted)
+        inside, drift = cells - np.floor(cells), -far / 2 * (cells - hashes.shifts[t])
+        edges = [normal((e - inside - drift) / spread).astype(np.float64) for e in (-1, 0, 1, 2)]
+        down, stay, up = (np.log(np.maximum(b - a, 1e-300)) for a, b in zip(edges[:-1], edges[1:], strict=True))
+        ranked = np.argsort(np.concatenate((inside, 1 - inside), axis=1), axis=1, kind="stable")
+        moved = np.take_along_axis(np.concatenate((down - stay, up - stay), axis=1), ranked, axis=1)
+        missed *= 1 - np.minimum(np.exp(moved @ chosen + stay.sum(axis=1)[:, None]).sum(axis=1), 1)
+    return 1 - missed
 
 
 def matrix(batch: pa.RecordBatch, name: str, dimensions: int) -> np.ndarray:
@@ -143,26 +175,87 @@ def exact_best(classes: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int)
     return found
 
 
-def fitted_probes(hashes: Hashes, classes: DataFrame, queries: DataFrame, k: int, recall: float) -> int:
-    """How many probes reach ``recall`` of the exact neighbours of a bounded number of queries."""
+def fitted_order(hashes: Hashes, classes: DataFrame, queries: DataFrame, k: int, recall: float, n_rows: int) -> list[tuple[int, ...]]:
+    """The probes that reach ``recall`` of the exact neighbours of a bounded number of queries. Where they would cost
+    more than a scan, as many as cost a scan: queries they do not serve are answered exactly."""
     rows = queries.orderBy(F.xxhash64(F.lit(SEED), "rep")).limit(FIT_QUERIES).collect()
+    size, most = hashes.shifts.shape[1], FIRST_PROBES
     if not rows:
-        return 1
+        return probing_order(size, 1)
     ids, vectors = np.array([r["rep"] for r in rows]), np.array([r["vec"] for r in rows])
-    order = probing_order(hashes.shifts.shape[1], MOST_PROBES)
     truth = exact_best(classes, ids, vectors, k)
-    visits = [probes(hashes, t, hashes.queries(vectors), order) for t in range(TABLES)]
-    needed = []
-    for i, query in enumerate(ids.tolist()):
-        if query in truth:
-            near = hashes.rows(np.array(truth[query]))
-            first = np.full(len(near), MOST_PROBES)
-            for t in range(TABLES):
-                hit = visits[t][i][None, :] == hashes.buckets(t, hashes.cells(t, near))[:, None]
-                first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
-            needed.append(first)
-    every = np.sort(np.concatenate(needed)) if needed else np.zeros(1, np.int64)
-    return int(min(every[int(np.ceil(recall * len(every))) - 1] + 1, len(order)))
+    known = [i for i, query in enumerate(ids.tolist()) if query in truth]
+    if not known:
+        return probing_order(size, 1)
+    near = [hashes.rows(np.array(truth[ids[i]])) for i in known]
+    while True:
+        order = probing_order(size, most)
+        needed = [np.full(len(x), len(order)) for x in near]
+        for t in range(TABLES):
+            visits = probes(hashes, t, hashes.queries(vectors[known]), order)
+            for i, x in enumerate(near):
+                hit = visits[i][None, :] == hashes.buckets(t, hashes.cells(t, x))[:, None]
+                needed[i] = np.minimum(needed[i], np.where(hit.any(axis=1), hit.argmax(axis=1), len(order)))
+        every = np.sort(np.concatenate(needed))
+        enough = int(every[int(np.ceil(recall * len(every))) - 1]) + 1
+        return order[:enough]
+
+
+def scanned(unsure: DataFrame, n_unsure: int, classes: DataFrame, n_rows: int, n_dims: int, n_best: int) -> DataFrame:
+    """``(query, rep, score)`` with the ``n_best`` best classes of each query ``(rep, vec)``: every block of queries meets
+    every block of classes in a task of its own. Queries of a block are held, classes pass by."""
+    n_asked, n_given = -(-n_unsure // EXACT_QUERIES), max(EXACT_BLOCKS, -(-n_rows // EXACT_ROWS))
+
+    def block(n: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.lit(n)).cast("int")
+
+    asks = unsure.select("rep", "vec", block(n_asked).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_given - 1))).alias("c"), F.lit(0).alias("given"))
+    given = classes.select("rep", "vec", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("q"), block(n_given).alias("c"), F.lit(1).alias("given"))
+    both = asks.unionByName(given).repartition("q", "c").sortWithinPartitions("q", "c", "given", "rep")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, best = None, [], []  # held: (ids, vectors); best: of each, places, ids and scores of the best so far
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            for (ids, _), (i, reps, scores) in zip(held, best, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(reps), pa.array(scores)], names=["query", "rep", "score"])
+
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("q", "c", "given")])
+            turns = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *turns.tolist()], [*turns.tolist(), batch.num_rows], strict=True):
+                if tuple(keys[a, :2]) != place:
+                    yield from answers()
+                    place, held, best = tuple(keys[a, :2]), [], []
+                part = batch.slice(a, b - a)
+                x, reps = matrix(part, "vec", n_dims), part.column("rep").to_numpy()
+                for begin in range(0, len(x), 256):
+                    if not keys[a, 2]:
+                        held.append((reps[begin : begin + 256], x[begin : begin + 256]))
+                        best.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
+                if keys[a, 2]:
+                    best = [merged(y, x, reps, so_far, n_best) for (_, y), so_far in zip(held, best, strict=True)]
+        yield from answers()
+
+    return both.mapInArrow(compare, "query bigint, rep bigint, score double")
+
+
+def merged(y: np.ndarray, x: np.ndarray, reps: np.ndarray, so_far: tuple[np.ndarray, ...], n_best: int) -> tuple[np.ndarray, ...]:
+    """The best so far of queries ``y``, and those of ``x``; equal scores by the smaller id."""
+    scores = y @ x.T
+    n = min(n_best, len(x))
+    least = np.partition(scores, -n, axis=1)[:, -n]
+    counts, ends = np.bincount(so_far[0], minlength=len(y)), np.cumsum(np.bincount(so_far[0], minlength=len(y)))
+    full = counts == n_best
+    least[full] = np.maximum(least[full], so_far[2][ends[full] - 1])
+    # A little below, as blocks of another shape may round differently.
+    i, j = np.nonzero(scores >= (least - 1e-9 * np.abs(least))[:, None])
+    places, ids = np.concatenate((so_far[0], i)), np.concatenate((so_far[1], reps[j]))
+    exact = np.concatenate((so_far[2], (y[i] * x[j]).sum(axis=1)))
+    by = np.lexsort((ids, -exact, places))
+    begins = np.searchsorted(places[by], np.arange(len(y)))
+    by = by[np.arange(len(by)) - begins[places[by]] < n_best]
+    return places[by], ids[by], exact[by]
 
 
 def neighbours(
@@ -178,7 +271,7 @@ def neighbours(
     queries = stored(asked.select("rep").distinct().join(classes, "rep"), "query-classes")
 
     hashes = make_hashes(n_dims, n_rows, longest)
-    order = probing_order(hashes.shifts.shape[1], fitted_probes(hashes, classes, queries, k, recall))
+    order = fitted_order(hashes, classes, queries, k, recall, n_rows)
     sample = classes.orderBy(F.xxhash64(F.lit(SEED + 1), "rep")).limit(SAMPLE_ROWS).collect()
     known = np.array([r["rep"] for r in sample], np.int64), np.array([r["vec"] for r in sample], np.float64).reshape(-1, n_dims)
     shared = df.sparkSession.sparkContext.broadcast((hashes, order, known))
@@ -204,8 +297,9 @@ def neighbours(
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, order, (known_ids, known_vectors) = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            size = max(1, min(1024, (1 << 21) // len(order)))
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
                 x, reps = matrix(part, "vec", n_dims), part.column("rep").to_numpy()
                 least = np.full(len(x), -np.inf)
                 if len(known_ids) > bound:
@@ -286,11 +380,30 @@ def neighbours(
     hits = both.mapInArrow(search, "query bigint, rep bigint, score double").groupBy("query", "rep").agg(F.max("score").alias("score"))
 
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))
-    hits = hits.withColumn("best", best).filter(F.col("best") <= k + 1)
-    expanded = hits.join(members.select("rep", "vec_id"), "rep")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    lists = expanded.withColumn("place", place).filter(F.col("place") <= k + 1)
-    lists = stored(lists.select(F.col("query").alias("rep"), "place", "vec_id", "score"), "nearest")
+
+    def listed(hits: DataFrame) -> DataFrame:
+        expanded = hits.withColumn("best", best).filter(F.col("best") <= k + 1).join(members.select("rep", "vec_id"), "rep")
+        lists = expanded.withColumn("place", place).filter(F.col("place") <= k + 1)
+        return lists.select(F.col("query").alias("rep"), "place", "vec_id", "score")
+
+    def unsafe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, order, _ = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, max(1, (1 << 21) // len(order))):
+                part = batch.slice(at, max(1, (1 << 21) // len(order)))
+                last = part.column("last").to_numpy(zero_copy_only=False).astype(np.float64)
+                x, few = matrix(part, "vec", n_dims), ~np.isfinite(last)
+                few[~few] = chances(h, x[~few], last[~few], order) < LEAST_CHANCE
+                yield part.select(["rep", "vec"]).filter(pa.array(few))
+
+    lists = stored(listed(hits), "nearest")
+    last = lists.filter(F.col("place") == min(k + 1, n_rows)).select("rep", F.col("score").alias("last"))
+    unsure = stored(queries.join(last, "rep", "left").mapInArrow(unsafe, "rep bigint, vec array<double>"), "unsure")
+    n_unsure = unsure.count()
+    if n_unsure:
+        rest = listed(scanned(unsure, n_unsure, classes, n_rows, n_dims, k + 1))
+        lists = stored(lists.join(unsure.select("rep"), "rep", "left_anti").unionByName(rest), "all-nearest")
     answers = asked.withColumnRenamed("vec_id", "query_id").join(lists, "rep").filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
     return answers.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -219,6 +219,47 @@ def test_neighbours_reach_their_recall(spark):
     assert ann.neighbours(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def clustered(spark, n=4000):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 24))
+    near = centres[rng.integers(40, size=n)] + 0.1 * rng.normal(size=(n, 24))
+    vectors = np.where((np.arange(n) % 20 == 7)[:, None], rng.normal(size=(n, 24)), near)
+    vectors /= np.sqrt((vectors**2).sum(axis=1))[:, None]
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    return vectors, df
+
+
+def recalls(vectors, found):
+    """Of every query, the share of its 20 nearest; all have 20 rows."""
+    by = defaultdict(dict)
+    for r in found:
+        by[r["query_id"]][r["rank"]] = r["vec_id"]
+    out = {}
+    for q, rows in by.items():
+        assert sorted(rows) == list(range(1, 21)) and len(set(rows.values())) == 20
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        out[q] = len(set(np.argsort(-scores)[:20].tolist()) & set(rows.values())) / 20
+    return out
+
+
+def test_scattered_queries_are_answered_too(spark):
+    vectors, df = clustered(spark)
+    found = recalls(vectors, ann.neighbours(df, F.col("vec_id") % 10 == 7).collect())
+    scattered = [r for q, r in found.items() if q % 20 == 7]
+    assert len(found) == 400 and np.mean(scattered) >= 0.9 and min(found.values()) >= 0.7
+    three = ann.neighbours(df.filter("vec_id IN (0, 7, 27)"), F.col("vec_id") == 7).collect()
+    assert [r["rank"] for r in sorted(three, key=lambda r: r["rank"])] == [1, 2]
+
+
+def test_recall_holds_whatever_the_probes(spark, monkeypatch):
+    vectors, df = clustered(spark)
+    monkeypatch.setattr(ann, "fitted_order", lambda hashes, *_: ann.probing_order(hashes.shifts.shape[1], 1))
+    monkeypatch.setattr(ann, "EXACT_QUERIES", 50)
+    found = recalls(vectors, ann.neighbours(df, F.col("vec_id") % 10 == 7).collect())
+    assert len(found) == 400 and np.mean(list(found.values())) >= 0.9
+
+
 def test_probes_are_ordered_and_valid():
     order = ann.probing_order(5, 200)
     assert order[0] == () and order[1] == (0,) and len(set(order)) == len(order)
