@@ -198,7 +198,9 @@ def fitted_order(hashes: Hashes, classes: DataFrame, queries: DataFrame, k: int,
                 needed[i] = np.minimum(needed[i], np.where(hit.any(axis=1), hit.argmax(axis=1), len(order)))
         every = np.sort(np.concatenate(needed))
         enough = int(every[int(np.ceil(recall * len(every))) - 1]) + 1
-        return order[:enough]
+        if enough <= len(order) or len(order) < most or TABLES * most >= n_rows:
+            return order[:enough]
+        most *= 2
 
 
 def scanned(unsure: DataFrame, n_unsure: int, classes: DataFrame, n_rows: int, n_dims: int, n_best: int) -> DataFrame:

@@ -260,6 +260,23 @@ def test_recall_holds_whatever_the_probes(spark, monkeypatch):
     assert len(found) == 400 and np.mean(list(found.values())) >= 0.9
 
 
+def test_probes_grow_until_the_fit_is_reached(spark, monkeypatch):
+    vectors, df = clustered(spark, 1000)
+    classes = df.select(F.col("vec_id").alias("rep"), F.col("embedding").alias("vec"))
+    hashes = ann.make_hashes(24, 1 << 20, 1.0)
+    monkeypatch.setattr(ann, "FIRST_PROBES", 2)
+    order = ann.fitted_order(hashes, classes, classes.filter("rep % 20 = 7"), 20, 0.94, 1 << 20)
+    found = []
+    for q in range(7, 1000, 20):
+        best = [v for v in np.argsort(-(vectors @ vectors[q]))[:21].tolist() if v != q][:20]
+        hit = np.zeros(len(best), bool)
+        for t in range(ann.TABLES):
+            visited = ann.probes(hashes, t, hashes.queries(vectors[[q]]), order)
+            hit |= np.isin(hashes.buckets(t, hashes.cells(t, hashes.rows(vectors[best]))), visited)
+        found.append(hit.mean())
+    assert len(order) > 2 and np.mean(found) >= 0.94
+
+
 def test_probes_are_ordered_and_valid():
     order = ann.probing_order(5, 200)
     assert order[0] == () and order[1] == (0,) and len(set(order)) == len(order)
