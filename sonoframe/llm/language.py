@@ -5,8 +5,8 @@ learned lexicon; learned transition scores join neighbouring words. Forward-back
 into the probability of each language at each word, so text that switches language is labelled
 word by word. A document's language is the one with the largest mean probability.
 
-The model is fitted on the driver, on a bounded sample (``PER_LABEL`` documents of each of the
-``MAX_LABELS`` commonest languages, at most ``MAX_TEXT_BYTES`` each). Training sequences splice runs of
+The model is fitted on the driver, on a bounded sample (``PER_LABEL`` documents of each language, fewer each beyond
+``FULL_LABELS`` languages, at most ``MAX_TEXT_BYTES`` each). Training sequences splice runs of
 words of different languages, which is what the transitions are learned from. The fitted model has
 a fixed size and is broadcast; whole texts are labelled where they are read.
 
@@ -23,11 +23,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from sonoframe.llm.samples import MAX_TEXT_BYTES, held_out, sampled_ids
+from sonoframe.llm.samples import excerpt, held_out, sampled_ids
 from sonoframe.llm.words import Words, code_points, mix, word_hashes, words
 
 PER_LABEL = 300
-MAX_LABELS = 64
+FULL_LABELS = 64
 BUCKETS = 1 << 15
 AFFIXES = (1, 2, 3, 4)
 LEXICON_COUNT = 3  # uses of a word in the sample before the lexicon lists it
@@ -202,8 +202,9 @@ def fit(sample: list[tuple[str, str]], seed: int = 3, rounds: int = 6, batch: in
 
 def fit_on(docs: DataFrame, per_label: int = PER_LABEL, seed: int = 3) -> Model:
     """Fit on a sample of the documents of ``(doc_id, text, lang)`` that are not held out."""
-    usable = docs.filter(F.octet_length("text").between(1, MAX_TEXT_BYTES))
-    rows = sampled_ids(usable, "doc_id", "lang", per_label, MAX_LABELS, seed).select("text", "lang").collect()
+    usable = docs.filter(F.octet_length("text") > 0).withColumn("text", F.col("text").cast("string"))
+    drawn = sampled_ids(usable, "doc_id", "lang", per_label, FULL_LABELS, seed)
+    rows = drawn.select(excerpt(F.col("text"), F.col("doc_id"), seed).alias("text"), "lang").collect()
     return fit([(r["text"], r["lang"]) for r in rows], seed)
 
 

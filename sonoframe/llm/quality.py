@@ -7,7 +7,7 @@ sum over all pairs is taken in linear time: half of (the square of the sum less
 squares), per factor.
 
 The model is fitted on the driver by AdaGrad, on a bounded sample of labelled documents
-(``PER_LABEL`` of either label, at most ``MAX_TEXT_BYTES`` each), weighted back to the labels' shares. It has
+(``PER_LABEL`` of either label, the words of at most ``MAX_TEXT_BYTES`` each but the statistics of the whole text), weighted back to the labels' shares. It has
 a fixed size and is broadcast; whole texts are scored where they are read.
 
 Defined results: a null or empty text is scored from its (empty) statistics; without usable
@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from sonoframe.llm.samples import MAX_TEXT_BYTES, sampled_ids
+from sonoframe.llm.samples import excerpt, sampled_ids
 from sonoframe.llm.words import Words, segment_sums, word_hashes, words
 
 PER_LABEL = 1500
@@ -103,7 +103,7 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: list[tuple[str, int, float]], seed: int = 5, rounds: int = 12, batch: int = 64, rate: float = 0.05, penalty: float = 1e-4) -> Model:
-    """Learn from ``(text, label, weight)`` rows."""
+    """Learn from ``(text, label, weight)`` rows; a fourth value holds the statistics if the text is only a part."""
     rng = np.random.default_rng(seed)
     size = BUCKETS + STATISTICS
     start = Model(0.0, np.zeros(size), rng.normal(0, 0.02, (size, FACTORS)), np.zeros(STATISTICS), np.ones(STATISTICS))
@@ -116,7 +116,8 @@ def fit(sample: list[tuple[str, int, float]], seed: int = 5, rounds: int = 12, b
     for found in words(texts):
         bounds, number, value, statistics = vectors(found, lines[found.begin : found.end])
         for i in range(len(bounds) - 1):
-            parts.append((number[bounds[i] : bounds[i + 1]], value[bounds[i] : bounds[i + 1]], statistics[i]))
+            whole = np.array(sample[found.begin + i][3]) if len(sample[found.begin + i]) > 3 else statistics[i]
+            parts.append((number[bounds[i] : bounds[i + 1]], value[bounds[i] : bounds[i + 1]], whole))
     table = np.array([p[2] for p in parts])
     centre, spread = table.mean(axis=0), table.std(axis=0) + 1e-3
     z = np.clip((table - centre) / spread, -8, 8)
@@ -152,11 +153,24 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label
     counts = {r[label]: r["n"] for r in labels.groupBy(label).agg(F.count("*").alias("n")).filter(F.col(label).isin(0, 1)).collect()}
     # The sample is bounded by its parameters, so the few ids may be broadcast.
     ids = sampled_ids(labels.filter(F.col(label).isin(0, 1)), "doc_id", label, per_label, 2, seed).select("doc_id", label)
-    texts = docs.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TEXT_BYTES).select("doc_id", "text")
-    rows = texts.join(F.broadcast(ids), "doc_id").select("text", label).collect()
+    drawn = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+
+    @F.arrow_udf("array<double>")
+    def statistics_of(texts: pa.Array) -> pa.Array:
+        return whole_statistics(texts)
+
+    part = excerpt(F.col("text"), F.col("doc_id"), seed).alias("part")
+    rows = drawn.select(part, label, statistics_of(F.col("text")).alias("statistics")).collect()
     drawn = {y: sum(r[label] == y for r in rows) for y in (0, 1)}
     weights = {y: counts[y] / drawn[y] for y in (0, 1) if drawn[y]}
-    return fit([(r["text"], r[label], weights[r[label]]) for r in rows], seed)
+    return fit([(r["part"], r[label], weights[r[label]], r["statistics"]) for r in rows], seed)
+
+
+def whole_statistics(texts: pa.Array) -> pa.Array:
+    out, lines = np.zeros((len(texts), STATISTICS)), line_counts(texts)
+    for found in words(texts):
+        out[found.begin : found.end] = vectors(found, lines[found.begin : found.end])[3]
+    return pa.array(list(out), pa.list_(pa.float64()))
 
 
 def score_texts(model: Model, texts: pa.Array) -> np.ndarray:

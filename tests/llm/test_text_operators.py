@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sonoframe.llm import language, licenses, line_rules, near_dup, quality
+from sonoframe.llm import language, licenses, line_rules, near_dup, quality, samples
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLDER = "/root/testdata/sf0.001"
@@ -126,6 +126,29 @@ def test_language_of_odd_rows(odd, language_model):
     assert {r["lang_pred"] for r in language.identify(odd, unfitted).collect()} == {"und"}
 
 
+def test_languages_of_long_texts_and_of_many_labels_are_learned(spark):
+    rng = np.random.default_rng(3)
+    names = [chr(0x4E00 + 40 * i) for i in range(70)]
+    rows = []
+    for i in range(70):
+        for j in range(6):
+            n = 6000 if i < 2 else 30
+            text = " ".join("".join(chr(0x4E00 + 40 * i + int(c)) for c in rng.integers(0, 30, 4)) for _ in range(n))
+            rows.append((10 * i + j, text, f"l{names[i]}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_on(docs)
+    learned = {lang for d, _, lang in rows if zlib.crc32(str(d).encode()) % 3 != 1}
+    assert set(model.labels) == learned and len(learned) > 64
+    found = language.identify(docs.filter("doc_id < 20"), model).collect()
+    assert len(found) == 12 and all(r["lang_pred"] == r["lang"] for r in found)
+
+
+def test_every_text_of_a_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "é" * n) for i, n in enumerate((0, 9, 10_000, 10_001, 300_000))], "doc_id long, text string")
+    rows = docs.select(samples.excerpt(docs["text"], docs["doc_id"], 1).alias("t")).collect()
+    assert [len(r["t"]) for r in rows] == [0, 9, 10_000, 5000, 5000]
+
+
 # --- quality
 
 
@@ -151,6 +174,15 @@ def test_quality_of_held_out_documents(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.95
 
 
+def test_quality_of_long_texts_is_learned(spark):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"{'good' if i % 2 else 'bad'}{w}" for w in rng.integers(0, 50, 5000)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    rows = quality.score(docs, quality.fit_on(docs, labels)).collect()
+    assert all((r["quality_score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in rows)
+
+
 def test_quality_of_odd_rows(odd, tables):
     model = quality.fit_on(tables["documents"], tables["labels"])
     rows = quality.score(odd, model, "score").collect()
