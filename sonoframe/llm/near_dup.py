@@ -149,17 +149,18 @@ class Forest:
 
 def forest_of(n: int, linked: Callable[[int], np.ndarray]) -> list[int]:
     """For each place the first place of its component. ``linked`` gives the places linked to one."""
-    forest, waiting = Forest(n), list(range(n))
+    forest, waiting, skipped = Forest(n), list(range(n)), []
     while waiting:
-        later = []
         for p in waiting:
             if forest.root(p) == forest.root(forest.largest) and forest.size[forest.root(p)] > 1:
-                later.append(p)  # need not be a pivot while it is in the largest component
+                skipped.append(p)  # need not be a pivot while it is in the largest component
                 continue
             for q in linked(p).tolist():
                 forest.join(p, q)
+        # Another component may have become the largest, in this pass or an earlier one.
         largest = forest.root(forest.largest)
-        waiting = [p for p in later if forest.root(p) != largest]
+        waiting = [p for p in skipped if forest.root(p) != largest]
+        skipped = [p for p in skipped if forest.root(p) == largest]
     return [forest.root(i) for i in range(n)]
 
 

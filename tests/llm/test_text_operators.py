@@ -240,6 +240,14 @@ def test_chains_and_hot_groups(spark, block):
     assert near(near_dup.near_duplicates(docs, block=block)) == brute_components(rows)
 
 
+def test_forest_keeps_links_between_overtaken_components():
+    links = [(4, 1), (14, 12), (5, 9), (14, 15), (3, 12), (5, 11), (9, 4), (15, 9)]
+    near = [[b for a, b in links + [(b, a) for a, b in links] if a == i] for i in range(16)]
+    found = near_dup.forest_of(16, lambda p: np.array(near[p], np.int64))
+    joined = {1, 3, 4, 5, 9, 11, 12, 14, 15}
+    assert found == [1 if i in joined else i for i in range(16)]
+
+
 def test_near_duplicates_of_odd_rows(odd):
     rows = near_dup.near_duplicates(odd).collect()
     assert len(rows) == 8
