@@ -28,7 +28,8 @@ def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines that fail."""
-    judged = line_rules.clean_lines(docs.select(*COLUMNS)).filter("kept")
+    rules = {"sentence_end": line_rules.ANY_SENTENCE_END, "boilerplate_phrase": line_rules.WHOLE_BOILERPLATE}
+    judged = line_rules.clean_lines(docs.select(*COLUMNS), **rules).filter("kept")
     text = F.col("clean_text")
     return judged.withColumns({"text": text, "n_chars": F.length(text).cast("bigint")}).select(*COLUMNS)
 

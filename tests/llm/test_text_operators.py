@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from sonoframe.llm import language, licenses, line_rules, near_dup, quality, samples
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,6 +71,17 @@ def test_lines_fail_by_their_own_rule(spark):
     assert not line_rules.clean_lines(spark.createDataFrame([(1, lost)], "doc_id long, text string")).first()["kept"]
 
 
+def test_pipeline_keeps_lines_of_all_scripts(spark):
+    ends = "।॥؟۔።။។։？｡"
+    lines = [" ".join(f"{'कखगघ'[i % 4]}{i}" for i in range(45)) + end for end in ends]
+    said = ["They had to resign in the spring of that year.", "Spread more of it over the catalog in June.", "The team would design up to nine cars."]
+    gone = ["Sign in", "Subscribe to our newsletters", "Please log in", "Share on Facebook"]
+    texts = [*lines, "\n".join([*lines[:1], *said, *gone])]
+    docs = spark.createDataFrame([(i, t, "x", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.clean_lines(spark, docs, "").collect()}
+    assert found == {**dict(enumerate(lines)), len(lines): "\n".join([lines[0], *said])}
+
+
 # --- language
 
 
