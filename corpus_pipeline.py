@@ -13,16 +13,16 @@ from sonoframe.llm import language, line_rules, mixing, near_dup, packing
 from sonoframe.llm.stored import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_LANGUAGE_SCORE = 0.5  # mean probability of the best language over a document's words
+LEAST_CERTAINTY = 0.5  # mean, over a document's words, of the probability of each word's own best language
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
 
 
 def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told go on; those without letters or of mixed language are rejected."""
+    """Documents whose language is told go on; those without letters or of unclear words are rejected."""
     model = language.fit_on(docs.select("doc_id", "text", "lang"))
-    found = language.identify(docs.select(*COLUMNS), model)
-    passes = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)
+    found = language.identify(docs.select(*COLUMNS), model, certain="_certain")
+    passes = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("_certain") >= LEAST_CERTAINTY)
     return found.filter(passes).select(*COLUMNS)
 
 

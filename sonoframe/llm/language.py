@@ -211,10 +211,15 @@ def fit_on(docs: DataFrame, per_label: int = PER_LABEL, seed: int = 3) -> Model:
 def label_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every text the number of its language (-1: none), the score, and the share of
     words whose own best language differs from it."""
-    best, score, mixed = (np.zeros(len(texts), t) for t in (np.int64, np.float64, np.float64))
+    return label_words(model, texts)[:3]
+
+
+def label_words(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``label_texts``, and the mean of each word's largest probability."""
+    best, score, mixed, certain = (np.zeros(len(texts), t) for t in (np.int64, np.float64, np.float64, np.float64))
     best[:] = -1
     if not model.labels:
-        return best, score, mixed
+        return best, score, mixed, certain
     for found in words(texts, SLICE_BYTES):
         bounds, codes, distinct = lettered(found)
         number, owner = features(distinct, model.lexicon, model.listed)
@@ -228,28 +233,30 @@ def label_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
         best[found.begin : found.end] = top
         score[found.begin : found.end] = np.where(n > 0, np.clip(means[np.arange(len(n)), top], 0, 1), 0.0)
         mixed[found.begin : found.end] = (own[bounds[1:]] - own[bounds[:-1]]) / np.maximum(n, 1)
-    return best, score, mixed
+        largest = np.concatenate(([0], np.cumsum(marginals.max(axis=1))))
+        certain[found.begin : found.end] = np.clip((largest[bounds[1:]] - largest[bounds[:-1]]) / np.maximum(n, 1), 0, 1)
+    return best, score, mixed, certain
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+def identify(docs: DataFrame, model: Model, certain: str | None = None) -> DataFrame:
     """``(doc_id, text)`` rows, and further columns, with ``lang_pred``, ``lang_score`` and ``switched``,
-    the share of words in another language."""
-    own = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "lang_score", "switched")]
+    the share of words in another language. ``certain`` names a column for the mean of each word's largest probability."""
+    own = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "lang_score", "switched", (certain or "").lower())]
     docs = docs.select(*[f.name for f in own])
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<pred string, score double, switched double>")
+    @F.arrow_udf("struct<pred string, score double, switched double, certain double>")
     def predict(texts: pa.Array) -> pa.Array:
         m = shipped.value
-        best, score, switched = label_texts(m, texts)
+        best, score, switched, sure = label_words(m, texts)
         names = pa.array([*m.labels, UNDETERMINED]).take(pa.array(np.where(best < 0, len(m.labels), best)))
-        return pa.StructArray.from_arrays([names, pa.array(score), pa.array(switched)], ["pred", "score", "switched"])
+        return pa.StructArray.from_arrays([names, pa.array(score), pa.array(switched), pa.array(sure)], ["pred", "score", "switched", "certain"])
 
     found = docs.withColumn("_found", predict(F.col("text").cast("string")))
     names = [f.name for f in own]
     return found.select(
         *names, F.col("_found.pred").alias("lang_pred"), F.col("_found.score").alias("lang_score"),
-        F.col("_found.switched").alias("switched"),
+        F.col("_found.switched").alias("switched"), *([F.col("_found.certain").alias(certain)] if certain else []),
     )
 
 

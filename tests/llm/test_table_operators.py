@@ -303,6 +303,16 @@ def test_pipeline_stages(spark):
     assert set(r["doc_id"] for r in packed.select("doc_id").distinct().collect()) == set(r["doc_id"] for r in mixed.select("doc_id").distinct().collect())
 
 
+def test_pipeline_keeps_texts_of_several_languages(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    by = {r["lang"]: r["text"].split() for r in docs.filter("length(text) between 800 and 3000").orderBy("doc_id").collect()}
+    words = [w for lang in sorted(by)[:4] for w in by[lang][:50]]
+    assert len(by) >= 3
+    mixed = spark.createDataFrame([(-1, " ".join(words), None, "a", 9), (-2, "12 %%", None, "a", 5)], docs.schema)
+    found = corpus_pipeline.identified_language(spark, docs.unionByName(mixed), FOLDER)
+    assert [r["doc_id"] for r in found.filter("doc_id < 0").collect()] == [-1]
+
+
 def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
