@@ -1,11 +1,16 @@
 """The registered queries of this subpackage: each applies one operator to its whole table."""
 
+import re
 from collections.abc import Callable
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
-from sonoframe.llm import ann, chat, language, licenses, line_rules, mixing, near_dup, packing, quality, sharding
+from sonoframe.llm import (
+    ann, chat, language, licenses, line_rules, mixing, near_dup, packing, periods, quality, sharding, structure, toxicity,
+)
 from sonoframe.llm.samples import held_out
 
 
@@ -176,6 +181,74 @@ def op4_licenses(spark, folder):
     return licenses.scan(docs, licenses.fit_on(docs))
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@F.arrow_udf(StringType())
+def looped(codes: pa.Array, texts: pa.Array) -> pa.Array:
+    """The text; where its document's code ends in 0, the words from some word on are replaced by a loop over the first of them."""
+    made = texts.to_pylist()
+    for i, code in enumerate(codes.to_pylist()):
+        words = WORD.findall(made[i] or "") if code is not None and code % 10 == 0 else []
+        if words:
+            g, n = code // 10, len(words)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            made[i] = " ".join(words[:a] + [words[a + k % p] for k in range(n - a)])
+    return pa.array(made, pa.string())
+
+
+@query()
+def op11_periodic_runs(spark, folder):
+    docs = read(spark, folder, "documents")
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periods.periodic_runs(docs.select("doc_id", looped(code, F.col("text")).alias("text")))
+    run = "struct<start:bigint,length:bigint,period:bigint>"
+    best = F.aggregate(
+        "runs",
+        F.lit(None).cast(run),
+        lambda a, r: F.when(a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a),
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        digest(F.array_join(lines, "")).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+@query()
+def op12_structure(spark, folder):
+    turns = read(spark, folder, "conversations")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    fate = F.crc32(name.cast("binary")) % 20
+    text, role = (F.coalesce(F.col(c), F.lit(" ")) for c in ("text", "role"))
+    damaged = turns.select(
+        "conv_id",
+        "turn",
+        F.when(fate == 4, "user").otherwise(role).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(fate == 0, 0).when(fate == 3, 2).otherwise(1).alias("copies"),
+    )
+    return structure.summary(structure.repaired(damaged, F.col("copies")))
+
+
+@query()
+def op13_toxicity(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit_on(docs, read(spark, folder, "labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity_score").alias("score"),
+        F.when(F.col("toxicity_score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query()
 def pipeline(spark, folder):
     import corpus_pipeline  # it imports the operators of this subpackage

@@ -1,5 +1,7 @@
 """Bounded, repeatable samples of labelled documents to fit a classifier on."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -19,14 +21,16 @@ def excerpt(text: Column, record_id: Column, seed: int) -> Column:
     return F.when(F.octet_length(text) <= MAX_TEXT_BYTES, text).otherwise(F.substring(text, begin.cast("int"), F.lit(n)))
 
 
-def sampled_ids(labelled: DataFrame, record_id: str, label: str, per_label: int, full_labels: int, seed: int) -> DataFrame:
-    """About ``per_label`` rows ``(record_id, label)`` of each label. With more than ``full_labels`` labels, each gets
-    fewer, but about ``LEAST_PER_LABEL`` at least.
+def sampled_ids(
+    labelled: DataFrame, record_id: str, label: str, per_label: int, full_labels: int, seed: int, apart: Callable[[Column], Column] = held_out
+) -> DataFrame:
+    """About ``per_label`` rows ``(record_id, label)`` of each label, of ids that are not set ``apart``. With more than
+    ``full_labels`` labels, each gets fewer, but about ``LEAST_PER_LABEL`` at least.
 
     Rows are counted per label first; a hash of the id against the wanted share then chooses, so
     no label is gathered in one task. The sample's size does not grow with the table.
     """
-    usable = labelled.filter(F.col(label).isNotNull() & F.col(record_id).isNotNull() & ~held_out(F.col(record_id)))
+    usable = labelled.filter(F.col(label).isNotNull() & F.col(record_id).isNotNull() & ~apart(F.col(record_id)))
     counts = [(r[label], r["n"]) for r in usable.groupBy(label).agg(F.count("*").alias("n")).collect()]
     wanted = per_label * min(1.0, full_labels / max(1, len(counts)))
     wanted = max(wanted, min(per_label, LEAST_PER_LABEL))
