@@ -1,125 +1,33 @@
-"""JSON manifests: one object per line, or one array of objects."""
-
-import re
-from functools import reduce
-from typing import NamedTuple
+"""JSON manifests: one object per line, or arrays of objects, in any layout."""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sonoframe.functions.text import strip
 from sonoframe.operators.columns import union_splits
 from sonoframe.schemas import MANIFEST
-from sonoframe.sources.files import expand, load_existing
-
-# An array written with an indent of two closes each of its objects like this.
-# Line feeds are always escaped inside JSON strings, so no text can contain it.
-_INDENTED_OBJECT_END = "\n  }"
-_OBJECT_START = '{"'
-_PIECES_LOOKED_AT = 64
-
-
-class Layout(NamedTuple):
-    """How the objects of a manifest are told apart."""
-
-    kind: str  # "lines", "indented", "compact" or "array"
-    separator: str | None = None
-
-
-def _cut(spark: SparkSession, path: str | list[str], missing: str) -> DataFrame:
-    """The pieces between opening braces of the first block of every file."""
-    cut = load_existing(lambda: spark.read.option("lineSep", "{").text(path), f"manifest not found: {missing}")
-    return cut.filter(F.col("_metadata.file_block_start") == 0)
-
-
-def _array_layout(spark: SparkSession, file: str) -> Layout:
-    """Told from the first objects of an array.
-
-    Whatever stands between two flat objects, from brace to quote, is taken for what separates all.
-    This only decides how a file is split: a piece may hold several objects, and one that holds no
-    whole object fails the job. Without a separator in sight the array is parsed whole.
-    """
-    pieces = [row["value"] for row in _cut(spark, file, file).head(_PIECES_LOOKED_AT)]
-    if re.fullmatch(r"[\s\ufeff]*\[\r?\n  ", pieces[0]) and len(pieces) > 1 and re.match(r"\r?\n", pieces[1]):
-        return Layout("indented", _INDENTED_OBJECT_END)
-    for piece, following in zip(pieces[1:], pieces[2:]):
-        between = re.search(r"\},\s*$", piece)
-        if between and following.startswith('"'):
-            return Layout("compact", between[0] + _OBJECT_START)
-    return Layout("array")
-
-
-def _arrays(spark: SparkSession, path: str) -> tuple[list[str], bool]:
-    """The files below a path that hold an array, and whether there are others."""
-    first = _cut(spark, path, path).select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value"
-    )
-    opening = first.groupBy("file").agg(F.min_by("value", "at").alias("value"))
-    is_array = F.regexp_replace("value", r"^[\s\x{feff}]+", "").startswith("[")
-    kinds = opening.groupBy(is_array.alias("array")).agg(F.collect_list(F.when(is_array, F.col("file"))).alias("files"), F.count("*").alias("n"))
-    rows = {row["array"]: row for row in kinds.collect()}
-    return (sorted(rows[True]["files"]) if True in rows else []), False in rows or not rows
-
-
-def _texts(spark: SparkSession, file: str, layout: Layout) -> DataFrame:
-    """JSON arrays of one or more whole objects, column ``value``; the file is split over tasks."""
-    pieces = spark.read.option("lineSep", layout.separator).text(file)
-    if layout.kind == "indented":
-        body = F.regexp_replace("value", r"^[\s\x{feff}]*[\[,]?\s*", "")
-        # What follows the last object is the closing bracket alone.
-        objects = pieces.select(body.alias("value")).filter(~F.col("value").rlike(r"^\s*\]?\s*$"))
-        return objects.select(F.concat(F.lit("["), "value", F.lit("}]")).alias("value"))
-    inner = F.regexp_replace("value", r'^[\s\x{feff}]*\[\s*\{"', "")
-    inner = F.regexp_replace(inner, r"\}\s*\]\s*\z", "")
-    return pieces.select(F.concat(F.lit("[" + _OBJECT_START), inner, F.lit("}]")).alias("value"))
-
-
-def _parts(spark: SparkSession, path: str) -> tuple[DataFrame | None, list[tuple[str, Layout]], list[str]]:
-    """JSON lines as texts, the arrays with their layouts, and the files of JSON lines ([]: all of them)."""
-    arrays, others = _arrays(spark, path)
-    if not arrays:
-        return spark.read.text(path).filter(strip(F.col("value")) != ""), [], []
-    files: list[str] = []
-    if others:
-        known = set(arrays)
-        rows = _cut(spark, path, path).select(F.col("_metadata.file_path").alias("file")).distinct().collect()
-        files = sorted(row["file"] for row in rows if row["file"] not in known)
-    lines = spark.read.text(files).filter(strip(F.col("value")) != "") if files else None
-    return lines, [(file, _array_layout(spark, file)) for file in arrays], files
+from sonoframe.sources.files import expand
+from sonoframe.sources.json_records import holds_arrays, json_objects
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType = MANIFEST) -> DataFrame:
     """One manifest with a declared schema, a file or a folder of files of either kind. A malformed record
     fails the job; no record is left out."""
     path = expand(path)
-    lines, arrays, files = _parts(spark, path)
-    tables = []
-    if lines is not None:
-        tables.append(spark.read.schema(schema).json(files or path, mode="FAILFAST"))
-    for file, layout in arrays:
-        if layout.kind == "array":
-            tables.append(spark.read.schema(schema).json(file, multiLine=True, mode="FAILFAST"))
-        else:
-            parsed = F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})
-            tables.append(_texts(spark, file, layout).select(F.explode(parsed).alias("record")).select("record.*"))
-    return reduce(DataFrame.union, tables)
+    if not holds_arrays(spark, path):
+        return spark.read.schema(schema).json(path, mode="FAILFAST")
+    record = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return json_objects(spark, path).select(record.alias("record")).select("record.*")
 
 
 def manifest_keys(spark: SparkSession, path: str) -> set[str]:
     """Distinct top-level keys of a manifest (a handful, whatever its size)."""
     path = expand(path)
-    lines, arrays, _ = _parts(spark, path)
-    texts = [lines.select("value")] if lines is not None else []
-    keys: set[str] = set()
-    for file, layout in arrays:
-        if layout.kind == "array":
-            keys |= set(spark.read.json(file, multiLine=True).columns)
-        else:
-            objects = F.explode(F.from_json("value", "array<string>"))
-            texts.append(_texts(spark, file, layout).select(objects.alias("value")))
-    for table in texts:
-        found = table.select(F.explode(F.json_object_keys("value")).alias("key"))
-        keys |= {row["key"] for row in found.distinct().collect()}
-    return keys
+    if holds_arrays(spark, path):
+        objects = json_objects(spark, path)
+    else:
+        objects = spark.read.text(path).filter(strip(F.col("value")) != "")
+    found = objects.select(F.explode(F.json_object_keys("value")).alias("key"))
+    return {row["key"] for row in found.distinct().collect()}
 
 
 def read_manifest_splits(

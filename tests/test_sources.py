@@ -1,14 +1,16 @@
 import json
+import random
 import wave
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from sonoframe.plans.manifests import build_manifest, build_sentence_manifest, unmatched_report
 from sonoframe.plans.prepare import prepare, read_custom, registry
 from sonoframe.registry import CorpusRegistry
-from sonoframe.sinks.tables import write_manifest_jsonl, write_processed, write_transcripts
+from sonoframe.sinks.tables import write_manifest_arrays, write_manifest_jsonl, write_processed, write_transcripts
+from sonoframe.sources import json_records
 from sonoframe.sources.audio import read_audio, read_audio_windows
 from sonoframe.sources.corpora import list_waves, read_common_voice, read_processed, read_vivos_corpus, read_vivos_table
 from sonoframe.sources.lines import read_prompts, read_sentences
@@ -115,7 +117,7 @@ LAYOUTS = ["lines", "blank first", "indented", "crlf", "bom", "one line", "compa
 @pytest.mark.parametrize("layout", LAYOUTS)
 def test_manifest_layouts_agree(spark, tmp_path, layout):
     f = tmp_path / "m.json"
-    for n in (3, 2, 1):
+    for n in (3, 1):
         f.write_bytes(dumped(RECORDS[:n], layout).encode("utf-8"))
         order = lambda rs: sorted(rs, key=str)
         assert order(tuple(r) for r in read_manifest(spark, str(f)).collect()) == order(tuple(r.values()) for r in RECORDS[:n])
@@ -135,7 +137,89 @@ def test_manifests_are_split_over_tasks(spark, tmp_path, small_blocks, layout):
     f.write_text(dumped(records, layout), encoding="utf-8")
     df = read_manifest(spark, str(f))
     assert rows(df, "audio_filepath", "text") == sorted(tuple(r.values()) for r in records)
-    assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    # A few kilobytes would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+NESTED = T.StructType().add("id", "long").add("text", "string").add("meta", T.MapType(T.StringType(), T.StringType())).add(
+    "words", T.ArrayType(T.StructType().add("w", "string").add("at", T.ArrayType(T.IntegerType())))
+)
+
+
+def nested_records(n, seed=1):
+    rng = random.Random(seed)
+    texts = [" }, {", '"', "\\", '\\"}]', "{{[[", "câu ]}", "", '", "id": 7}, {"id": 8', "\\" * 5, "\u2028 \n \t", "}" * 9]
+    return [
+        {
+            "id": i, "text": "".join(rng.choice(texts) for _ in range(rng.randint(0, 6))),
+            "meta": {rng.choice(texts): rng.choice(texts) for _ in range(rng.randint(0, 2))},
+            "words": [{"w": rng.choice(texts), "at": [1, 2][: rng.randint(0, 2)]} for _ in range(rng.randint(0, 3))],
+        }
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("layout", [l for l in LAYOUTS if l != "blank first"] + ["joined"])
+def test_nested_records_equal_the_json_module(spark, tmp_path, small_blocks, layout):
+    records, ascii = nested_records(400), layout in ("compact", "indented")
+    texts = "".join(json.dumps(r, ensure_ascii=ascii) for r in records) if layout == "joined" else dumped(records, layout)
+    f = tmp_path / "m.json"
+    f.write_bytes(texts.encode())
+    got = json_records.json_objects(spark, str(f), chunk_bytes=300).collect()
+    assert sorted((json.loads(r.value) for r in got), key=lambda r: r["id"]) == records
+    if layout != "joined":  # the built-in reader takes one object a line
+        parsed = read_manifest(spark, str(f), NESTED).collect()
+        assert sorted((r.asDict(recursive=True) for r in parsed), key=lambda r: r["id"]) == records
+
+
+def test_records_larger_than_chunks(spark, tmp_path):
+    records = [{"id": i, "text": "x{" * n, "meta": {}, "words": [{"w": "}{", "at": [i]}] * 40} for i, n in enumerate([0, 5000, 1, 3])]
+    f = tmp_path / "m.json"
+    f.write_text(json.dumps(records))
+    got = json_records.json_objects(spark, str(f), chunk_bytes=64).collect()
+    assert sorted((json.loads(r.value) for r in got), key=lambda r: r["id"]) == records
+
+
+def test_structure_is_the_same_from_every_cut(tmp_path):
+    content = json.dumps(nested_records(12)).encode()
+    whole = json_records.scan(np.frombuffer(content, np.uint8), json_records.OUTSIDE)
+    assert whole.exit == json_records.OUTSIDE and whole.steps.sum() == 0
+    for cut in range(1, len(content)):
+        first = json_records.scan(np.frombuffer(content[:cut], np.uint8), json_records.OUTSIDE)
+        second = json_records.scan(np.frombuffer(content[cut:], np.uint8), first.exit)
+        assert np.array_equal(np.concatenate((first.places, second.places + cut)), whole.places)
+
+
+def test_many_array_files_in_one_folder(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(60):
+        record = {"audio_filepath": f"/a/{i}.wav", "text": " }, {", "speaker_id": "s"}
+        layout = [json.dumps([record]), json.dumps([record], indent=2), json.dumps(record) + "\n", "[]", ""][i % 5]
+        (folder / f"{i}.json").write_text(layout)
+    got = rows(read_manifest(spark, str(folder)), "audio_filepath")
+    assert got == sorted((f"/a/{i}.wav",) for i in range(60) if i % 5 < 3)
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}', '[{"a": "1}]', '[{"a": 1}]]', '[{"a": 1}, 7]', '[[{"a": 1}]]', '[{"a": 1}] x', '[{"a": 1}{]'])
+def test_broken_arrays_fail(spark, tmp_path, text):
+    (tmp_path / "m.json").write_text(text)
+    with pytest.raises(Exception):
+        read_manifest(spark, str(tmp_path / "m.json"), T.StructType().add("a", "string")).collect()
+
+
+def test_array_sink(spark, tmp_path):
+    records = nested_records(50)
+    df = spark.createDataFrame([tuple(r.values()) for r in records], NESTED).repartition(3)
+    write_manifest_arrays(df, str(tmp_path / "out"))
+    files = [f for f in (tmp_path / "out").iterdir() if f.name.startswith("part-")]
+    assert sorted((r for f in files for r in json.loads(f.read_text())), key=lambda r: r["id"]) == records
+    write_manifest_arrays(df.limit(0), str(tmp_path / "none"))
+    assert read_manifest(spark, str(tmp_path / "none"), NESTED).count() == 0
 
 
 def test_malformed_manifest_fails(spark, tmp_path):
@@ -210,7 +294,7 @@ def test_list_waves(spark, corpus):
         ("R.wav", "R"), ("SP 1", "a%b é"), ("SP1", "A"), ("SP1", "Z"), ("SP2", "A"),
     ]
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<path:string>" in plan
+    assert "content" not in plan and "binaryFile" not in plan  # names are listed by tasks, nothing is opened
     with pytest.raises(FileNotFoundError):
         list_waves(spark, str(corpus))
 
