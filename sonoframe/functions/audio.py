@@ -66,11 +66,23 @@ def linear_resampler(samples: np.ndarray, from_rate: int, to_rate: int) -> np.nd
     n = len(samples)
     if from_rate == to_rate or n == 0:
         return samples
+    return interpolated(samples, 0, n, 0, -(-n * to_rate // from_rate), from_rate, to_rate)
+
+
+def sources_of(start: int, end: int, total: int, from_rate: int, to_rate: int) -> tuple[int, int]:
+    """The samples of a recording of ``total`` that its samples ``start .. end - 1`` at another rate are made of."""
+    if from_rate == to_rate or end <= start:
+        return start, end
+    return int(np.floor(start * from_rate / to_rate)), min(int(np.floor((end - 1) * from_rate / to_rate)) + 2, total)
+
+
+def interpolated(samples: np.ndarray, first: int, total: int, start: int, end: int, from_rate: int, to_rate: int) -> np.ndarray:
+    """Samples ``start .. end - 1`` at another rate, from the part of a recording that begins at its sample ``first``."""
     x = samples.astype(np.float64)
-    position = np.arange(-(-n * to_rate // from_rate), dtype=np.int64) * from_rate / to_rate
+    position = np.arange(start, end, dtype=np.int64) * from_rate / to_rate
     low = np.floor(position).astype(np.int64)
-    high = np.minimum(low + 1, n - 1)
-    return (x[low] + (position - low) * (x[high] - x[low])).astype(np.float32)
+    high = np.minimum(low + 1, total - 1)
+    return (x[low - first] + (position - low) * (x[high - first] - x[low - first])).astype(np.float32)
 
 
 def resample(
@@ -127,11 +139,8 @@ def downmix(channels: Column) -> Column:
     return F.transform(added, lambda v: (v / F.size(channels)).cast("float"))
 
 
-def decode_wave(content: bytes) -> tuple[np.ndarray, int]:
-    """PCM WAV of 8, 16, 24 or 32 bits to mono float32 in [-1, 1) and its rate."""
-    with wave.open(io.BytesIO(content)) as reader:
-        width, channels, rate = reader.getsampwidth(), reader.getnchannels(), reader.getframerate()
-        raw = reader.readframes(reader.getnframes())
+def decode_frames(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """PCM frames of 8, 16, 24 or 32 bits a sample to mono float32 in [-1, 1)."""
     if width == 1:
         samples = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / np.float32(128)
     elif width == 3:
@@ -141,9 +150,14 @@ def decode_wave(content: bytes) -> tuple[np.ndarray, int]:
         samples = (shifted.view("<i4").reshape(-1) / 2.0**31).astype(np.float32)
     else:
         samples = (np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)).astype(np.float32)
-    if channels > 1:
-        samples = samples.reshape(-1, channels).mean(axis=1)
-    return samples, rate
+    return samples.reshape(-1, channels).mean(axis=1) if channels > 1 else samples
+
+
+def decode_wave(content: bytes) -> tuple[np.ndarray, int]:
+    """A PCM WAV file to mono float32 in [-1, 1) and its rate."""
+    with wave.open(io.BytesIO(content)) as reader:
+        raw = reader.readframes(reader.getnframes())
+        return decode_frames(raw, reader.getsampwidth(), reader.getnchannels()), reader.getframerate()
 
 
 AUDIO_CELL = T.StructType([T.StructField("array", SAMPLES), T.StructField("sampling_rate", T.IntegerType())])

@@ -23,11 +23,11 @@ def transcribe_files(
 ) -> DataFrame:
     """Recordings to ``(path, text, chunks, metadata)``.
 
-    Windows are recognised one by one, wherever there is a free task, and stitched
-    by position. A file read as a whole is at most 2 GB, which bounds its chunks.
+    Recordings of any size are read in ranges, which tasks all over the cluster read, cut and recognise; samples are not
+    shuffled. ``spread_work`` deals out the windows of files that have to be read as a whole (see ``read_audio_windows``).
     """
     windows = read_audio_windows(spark, paths, chunk_length_s, target_sr=sampling_rate, resampler=resampler)
-    if spread_work:
+    if spread_work and resampler is not linear_resampler:
         windows = spread(windows, "path", "win_idx")
     heard = transcribe_windows(windows, factory, sampling_rate)
     piece = F.struct(

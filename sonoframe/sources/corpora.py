@@ -3,6 +3,7 @@
 import os
 from collections.abc import Callable
 
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -21,6 +22,7 @@ from sonoframe.operators.columns import (
 from sonoframe.operators.joins import join_prompts
 from sonoframe.sources.files import expand, load_existing
 from sonoframe.sources.lines import read_prompts
+from sonoframe.sources.listing import is_known, list_files, opened
 
 CORPUS_SPLITS = ("train", "test", "validation")  # fixed values
 WAVES, PROMPTS = "waves", "prompts.txt"  # fixed values
@@ -34,13 +36,12 @@ def _absolute(path: str) -> str:
 def list_waves(spark: SparkSession, split_dir: str) -> DataFrame:
     """``*.wav`` below ``waves/``: ``(audio, utt_id, speaker_id)``.
 
-    Only names are listed; the content column is pruned from the scan. The speaker
+    Only names are listed, folder by folder, by tasks. The speaker
     is the first folder below ``waves/``, or the file name of a wave that lies there.
     """
     root = f"{_absolute(split_dir)}/{WAVES}"
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav")
-    files = load_existing(lambda: reader.load(root), f"no folder {root}")
     path = local_path(F.col("path"))
+    files = list_files(spark, root, ".wav", f"no folder {root}")
     return files.select(
         path.alias("audio"), path_stem(path).alias("utt_id"), first_part_below(path, root).alias("speaker_id")
     )
@@ -54,17 +55,20 @@ def read_waves_and_prompts(spark: SparkSession, split_dir: str) -> tuple[DataFra
 def corpus_split_dirs(spark: SparkSession, root: str) -> dict[str, str]:
     """The split folders that exist below a corpus root."""
     root = _absolute(root)
-    found = {}
-    for split in CORPUS_SPLITS:
-        folder = f"{root}/{split}"
-        try:
-            spark.read.format("binaryFile").load(folder)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-        else:
-            found[split] = folder
-    return found
+    return {split: f"{root}/{split}" for split in CORPUS_SPLITS if _is_folder(spark, f"{root}/{split}")}
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    if is_known(path):
+        system, inner, _ = opened(path)
+        return system.get_file_info(inner).type == fs.FileType.Directory
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
 
 
 def read_vivos_corpus(spark: SparkSession, root: str) -> DataFrame:
