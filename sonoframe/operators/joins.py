@@ -6,22 +6,54 @@ left side. An id that very many left rows share is spread over tasks by
 is usually an aggregate by the same id, which it does not split.
 """
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 HOT_ROWS = 1_000_000  # an id with at least so many rows is hot, and is cut into pieces of that size
+HEAVY = 1024  # counters of the sketch: an id with more than this part of all rows is in it
 NULL_PIECES = 1024  # rows without an id match nothing; they may lie anywhere
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The ids with the most rows and ``_pieces``, the number of parts to cut each into.
+def reduced_counters(hashes: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Misra-Gries counters brought down to ``most``: the largest, each less the first that is left out."""
+    names, at = np.unique(hashes, return_inverse=True)
+    total = np.bincount(at, counts, len(names)).astype(np.int64)
+    if len(names) <= most:
+        return names, total
+    order = np.lexsort((names, -total))
+    over = total[order[most]]
+    kept = order[:most][total[order[:most]] > over]
+    return names[kept], total[kept] - over
 
-    Part of the plan, over the key columns only. There is at most one such id for
-    every ``hot_rows`` rows, and rows are counted with partial sums before the shuffle.
+
+def heavy_hitters(df: DataFrame, keys: list[str], least: int = 1, most: int = HEAVY) -> dict[int, int]:
+    """Hashes of the keys that many rows share, with counts that fall short by a ``most``-th of all rows at worst.
+
+    A task keeps ``most`` counters for all of its rows. Those of all tasks are added up, and the ``most`` largest
+    of at least ``least`` reach the driver.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows)
-    return counts.select(*keys, (1 + F.floor(F.col("_n") / F.lit(hot_rows))).cast("bigint").alias("_pieces"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            hashes, counts = reduced_counters(np.concatenate((hashes, own)), np.concatenate((counts, np.ones(len(own), np.int64))), most)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts)], ["hash", "n"])
+
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    local = df.filter(present).select(F.xxhash64(*keys).alias("hash")).mapInArrow(counted, "hash bigint, n bigint")
+    added = local.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return {row["hash"]: row["n"] for row in added.orderBy(F.desc("n"), "hash").limit(most).collect()}
+
+
+def hot_pieces(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> dict[int, int]:
+    """The number of pieces each hot key is to be cut into, by its hash: ``HEAVY`` entries at most, mostly none. A key
+    that is not among them has less than a ``HEAVY``-th of all rows."""
+    return {h: 1 + n // hot_rows for h, n in heavy_hitters(df, keys, hot_rows).items()}
 
 
 def lookup_join(
@@ -29,23 +61,18 @@ def lookup_join(
 ) -> DataFrame:
     """``left`` with the one row of ``right`` that has its key.
 
-    Rows of a hot key are dealt to several tasks by a hash of their content, which a
-    repeated task computes again, and only the right rows of hot keys are copied. Nothing
-    runs before the result is asked for; Spark decides by size whether it broadcasts the hot keys.
+    One pass over the left keys finds the hot ones, before the join is planned. If there are none, it is an ordinary join. Otherwise
+    rows of a hot key are dealt to several tasks by a hash of their content, which a repeated task computes again, and only
+    the right rows of hot keys are copied. Either side moves once.
     """
-    hot = hot_keys(left, keys, hot_rows)
-    pieces = F.coalesce("_pieces", F.lit(1).cast("bigint"))
+    hot = hot_pieces(left, keys, hot_rows)
+    if not hot:
+        return left.join(right, keys, how)
+    table = F.create_map(*[F.lit(v) for pair in hot.items() for v in pair])
+    pieces = F.coalesce(F.try_element_at(table, F.xxhash64(*keys)), F.lit(1)).cast("bigint")
     unmatchable = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    dealt = (
-        left.join(hot, keys, "left")
-        .withColumn("_piece", F.pmod(F.xxhash64(*left.columns), F.when(unmatchable, NULL_PIECES).otherwise(pieces)))
-        .drop("_pieces")
-    )
-    copied = (
-        right.join(hot, keys, "left")
-        .withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
-        .drop("_pieces")
-    )
+    dealt = left.withColumn("_piece", F.pmod(F.xxhash64(*left.columns), F.when(unmatchable, NULL_PIECES).otherwise(pieces)))
+    copied = right.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
     return dealt.join(copied, [*keys, "_piece"], how).drop("_piece")
 
 

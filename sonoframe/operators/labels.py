@@ -1,4 +1,4 @@
-"""Padded label batches as tables."""
+"""Padding of batches that are named by a column. Batches of neighbouring rows are formed by ``batches.form_batches``."""
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -18,12 +18,16 @@ def batch_max_length(
 ) -> DataFrame:
     """Add the longest label length of each row's batch.
 
-    With a known bound on the rows of a batch a window does it in one shuffle.
+    With a known bound on the rows of a batch a window does it in one shuffle; a batch with more rows fails the job.
     Without one, lengths are reduced before the shuffle and joined back, so that
     a batch of any size is spread over tasks.
     """
     if rows_per_batch is not None:
-        return df.withColumn(name, F.max(F.size(labels)).over(Window.partitionBy(batch)))
+        same = Window.partitionBy(batch)
+        told = F.lit(f"a batch has more than {rows_per_batch} rows: ")
+        too_many = F.raise_error(F.concat(told, F.coalesce(F.col(batch).cast("string"), F.lit("NULL")))).cast("int")
+        longest = F.when(F.count(F.lit(1)).over(same) <= rows_per_batch, F.max(F.size(labels)).over(same))
+        return df.withColumn(name, longest.otherwise(too_many))
     keyed = df.withColumn("_batch", F.struct(batch))  # a struct with a NULL equals itself
     longest = keyed.groupBy("_batch").agg(F.max(F.size(labels)).alias(name))
     return lookup_join(keyed, longest, ["_batch"], "inner", hot_rows).drop("_batch")

@@ -4,7 +4,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from sonoframe.functions.arrays import let
 from sonoframe.functions.distance import word_edits, words
 from sonoframe.functions.text import strip
 
@@ -30,12 +29,9 @@ def list_splits(df: DataFrame) -> DataFrame:
 def score_pairs(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """Add ``edits`` and ``ref_words`` to pairs of texts."""
 
-    def score(w):
-        return F.struct(word_edits(w["r"], w["h"]).alias("edits"), F.size(w["r"]).alias("ref_words"))
-
-    cut = F.struct(words(strip(F.col(reference))).alias("r"), words(strip(F.col(hypothesis))).alias("h"))
-    scored = pairs.withColumn("_score", let(cut, score))
-    return scored.withColumns({"edits": F.col("_score.edits"), "ref_words": F.col("_score.ref_words")}).drop("_score")
+    cut = pairs.withColumns({"_r": words(strip(F.col(reference))), "_h": words(strip(F.col(hypothesis)))})
+    scored = cut.withColumns({"edits": word_edits(F.col("_r"), F.col("_h")), "ref_words": F.size("_r")})
+    return scored.drop("_r", "_h")
 
 
 def corpus_wer(pairs: DataFrame) -> DataFrame:

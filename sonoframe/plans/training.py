@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sonoframe.functions.arrays import argmax, ctc_collapse, unmask_labels, zscore
 from sonoframe.operators.columns import declared_rate, select_eval_split
+from sonoframe.operators.batches import form_batches
 from sonoframe.operators.joins import pair_hypotheses
-from sonoframe.operators.labels import assign_batches, pad_features, pad_labels
 from sonoframe.operators.lexicon import decode_ids, encode_characters
 from sonoframe.operators.metrics import corpus_wer, evaluate
 from sonoframe.sources.audio import read_audio
@@ -41,20 +41,21 @@ def build_training_table(
     samples: str | None = None,
     extract: Callable[[Column], Column] = zscore,
 ) -> tuple[DataFrame, DataFrame | None]:
-    """``(train, evaluation)`` with padded batches: ``audio, labels, batch_id`` and, if a
-    column of samples is named, ``input_values`` computed from it by ``extract``.
+    """``(train, evaluation)`` with padded batches: ``audio, labels, batch_id, label_length`` and, if a
+    column of samples is named, ``input_values`` computed from it by ``extract`` and ``input_length``.
+    Features may have one value per frame, or a list of them.
 
-    Batches hold neighbouring rows of a task and at most ``batch_size`` of them. All
-    other columns are gone.
+    Batches hold neighbouring rows of a task and at most ``batch_size`` of them, so they are formed and padded
+    without a shuffle. All other columns are gone.
     """
 
     def build(split: DataFrame) -> DataFrame:
         coded = encode_characters(split, "transcript", vocab)
+        features = "input_values" if samples else None
         if samples:
             coded = featurize(coded, extract, samples)
-        kept = coded.select("audio", "labels", *(["input_values"] if samples else []))
-        padded = pad_labels(assign_batches(kept, batch_size), mode=mode, pad_id=pad_id, rows_per_batch=batch_size)
-        return pad_features(padded, "input_values", rows_per_batch=batch_size) if samples else padded
+        kept = coded.select("audio", "labels", *([features] if features else []))
+        return form_batches(kept, batch_size, features=features, mode=mode, pad_id=pad_id)
 
     train, evaluation = select_eval_split(processed, eval_split)
     return build(train), build(evaluation) if evaluation is not None else None

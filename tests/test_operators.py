@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sonoframe.functions import arrays as A
 from sonoframe.functions.audio import downmix, linear_resampler, pack_samples, resample, unpack_samples
-from sonoframe.functions.distance import word_edits, words
+from sonoframe.functions.distance import band_distance, edit_distance, word_edits, words
 from sonoframe.operators.columns import (
     drop_empty_transcripts,
     map_transcript,
@@ -18,7 +19,9 @@ from sonoframe.operators.columns import (
     union_splits,
 )
 from sonoframe.operators.concat import concat_segments
-from sonoframe.operators.joins import hot_keys, join_prompts, lookup_join, pair_hypotheses, unmatched_waves
+from sonoframe.operators.joins import heavy_hitters, hot_pieces, join_prompts, lookup_join, pair_hypotheses, unmatched_waves
+from sonoframe.operators import batches
+from sonoframe.operators.batches import form_batches
 from sonoframe.operators.labels import assign_batches, pad_features, pad_labels
 from sonoframe.operators.lexicon import char_vocabulary, decode_ids, encode_characters
 from sonoframe.operators.metrics import best_checkpoint, corpus_wer, count_splits, evaluate, list_splits, score_pairs
@@ -111,20 +114,36 @@ def test_lookup_join_with_hot_and_null_keys(spark, how):
     assert dealt.columns == plain.columns
     order = lambda rows: sorted(map(str, rows))
     assert order(dealt.collect()) == order(plain.collect())
-    hot = {r["utt_id"]: r["_pieces"] for r in hot_keys(left, ["utt_id"], 50).collect()}
-    assert hot == {"hot": 9, None: 2, "lost": 2, "warm": 2}
-    assert hot_keys(left, ["utt_id"], 5000).collect() == []
-    many = spark.range(30_000).select((F.col("id") % 15_000).cast("string").alias("utt_id"))
-    assert hot_keys(many, ["utt_id"], 2).count() == 15_000
-
-
-def test_building_a_lookup_join_runs_nothing(spark):
-    left = spark.range(1000).select(F.col("id").cast("string").alias("utt_id"))
-    right = spark.range(10).select(F.col("id").cast("string").alias("utt_id"), F.lit("t").alias("text"))
-    group = "lookup-join-plan"
-    spark.sparkContext.setJobGroup(group, "")
-    lookup_join(left, right, ["utt_id"], hot_rows=5)
-    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
+    hash_of = {r[0]: r[1] for r in left.select("utt_id", F.xxhash64("utt_id")).distinct().collect()}
+    assert hot_pieces(left, ["utt_id"], 50) == {hash_of["hot"]: 9, hash_of["lost"]: 2, hash_of["warm"]: 2}
+    assert hot_pieces(left, ["utt_id"], 5000) == {}
+
+
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_heavy_hitters_keep_their_bound(spark, tasks):
+    rng = np.random.default_rng(4)
+    keys = np.concatenate((np.repeat([7, 8, 9], [4000, 900, 130]), rng.integers(100, 50_000, 9000)))
+    rng.shuffle(keys)
+    df = spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(tasks)
+    names = {r[0]: r[1] for r in df.select(F.xxhash64("k"), "k").distinct().collect()}
+    found = {names[h]: n for h, n in heavy_hitters(df, ["k"], most=100).items()}
+    truth = dict(zip(*(v.tolist() for v in np.unique(keys, return_counts=True)), strict=True))
+    assert len(found) <= 100 and {7, 8} <= set(found)
+    assert all(truth[k] - len(keys) / 100 <= n <= truth[k] for k, n in found.items())
+    assert set(hot_pieces(df, ["k"], 800)) == {h for h, k in names.items() if k in (7, 8)}
+
+
+def test_lookup_joins_move_each_side_once(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(1000).select((F.col("id") % 10).cast("string").alias("utt_id"), "id")
+        right = spark.range(10).select(F.col("id").cast("string").alias("utt_id"), F.lit("t").alias("text"))
+        for hot_rows in (5, 10_000):
+            plan = lookup_join(left, right, ["utt_id"], hot_rows=hot_rows)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 2, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_hot_key_is_spread_over_tasks(spark):
@@ -288,6 +307,34 @@ def test_edits_against_brute_force(spark):
     check()
 
 
+def test_bands_never_fall_short(spark):
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        m = int(rng.integers(1, 40))
+        r = rng.integers(0, 4, m).tolist()
+        h = [w for w in r if rng.random() < 0.85] + rng.integers(0, 4, rng.integers(0, 4)).tolist()
+        h = h[:m] or [9]
+        positions: dict = {}
+        for i, w in enumerate(r):
+            positions[w] = positions.get(w, 0) | 1 << i
+        want = brute_edits(r, h)
+        for band in range(max(1, m - len(h)), 12):
+            got = band_distance(positions, m, h, band)
+            assert got >= want and (want > band or got == want)
+        assert edit_distance(r, h) == edit_distance(h, r) == want
+
+
+def test_edits_of_long_texts(spark):
+    rng = np.random.default_rng(9)
+    r = [f"w{i}" for i in rng.integers(0, 200_000, 50_000)]
+    h = [w for i, w in enumerate(r) if i % 997] + ["end"] * 3
+    df = spark.createDataFrame([(r, h), (r[:20_000], h[::-1][:20_000]), (None, h)], "r array<string>, h array<string>")
+    began = time.perf_counter()
+    got = [row[0] for row in df.select(word_edits(F.col("r"), F.col("h"))).collect()]
+    assert got[0] == 54 and got[1] > 19_000 and got[2] is None
+    assert time.perf_counter() - began < 30
+
+
 def test_edits_with_many_distinct_words(spark):
     r, h = [f"w{i}" for i in range(3000)], [f"w{i}" for i in range(1, 3000)] + ["end"]
     assert one(spark, "r array<string>, h array<string>", (r, h), word_edits(F.col("r"), F.col("h"))) == [2]
@@ -376,13 +423,76 @@ def test_large_vocabulary_keeps_rows_that_share_a_key(spark):
     assert [(r["audio"], r["text"], r["n"]) for r in rows] == [("p", "t2 t3", 1), ("p", "t3 t99999", 2)]
 
 
+def plainly_padded(rows, size, multiple, pad_id, masked):
+    """(labels, features) rows of one task, batch by batch."""
+    out = []
+    for at in range(0, len(rows), size):
+        part = rows[at : at + size]
+        longest = max(len(l or []) for l, _ in part)
+        longest += -longest % multiple
+        frames = max(len(x or []) for _, x in part)
+        for l, x in part:
+            cells = None if l is None else [-100 if masked and v == pad_id else v for v in l] + [-100] * (longest - len(l))
+            width = next((len(f) for _, y in part for f in y or []), 0) if any(isinstance(f, list) for _, y in rows for f in y or []) else None
+            blank = 0.5 if width is None else [0.5] * width
+            out.append((at // size, cells, None if x is None else x + [blank] * (frames - len(x)), None if l is None else len(l), None if x is None else len(x)))
+    return out
+
+
+@pytest.mark.parametrize("mode", ["ctc", "ctc without masks", "seq2seq"])
+@pytest.mark.parametrize("shape", ["array<float>", "array<array<float>>"])
+def test_batches_are_formed_and_padded_in_one_pass(spark, monkeypatch, mode, shape):
+    rng = np.random.default_rng(5)
+    two = shape.count("array") == 2
+    monkeypatch.setattr(batches, "MOST_VALUES", 50)
+
+    def features(i):
+        n = int(rng.integers(0, 6))
+        return None if i % 17 == 3 else [[float(v), 1.0, 2.0] if two else float(v) for v in rng.integers(0, 9, n)]
+
+    rows = [(None if i % 13 == 5 else rng.integers(0, 5, rng.integers(0, 8)).tolist(), features(i)) for i in range(203)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"i int, labels array<int>, x {shape}").coalesce(1).sortWithinPartitions("i")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        options = dict(mode=mode[:3] if mode != "seq2seq" else mode, attention_mask=mode != "ctc without masks", pad_id=0, multiple=4)
+        out = form_batches(df, 4, features="x", value=0.5, **options)
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().split("Sort")[0]
+        got = [(r["batch_id"], r["labels"], r["x"], r["label_length"], r["input_length"]) for r in out.orderBy("i").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = plainly_padded(rows, 4, 4 if mode == "seq2seq" else 1, 0, mode != "ctc")
+    if two:  # a frame of blank values; an array Row is a list
+        got = [(b, l, None if x is None else [list(f) for f in x], n, k) for b, l, x, n, k in got]
+    assert got == want
+
+
+def test_batches_refuse_what_they_cannot_pad(spark):
+    df = spark.createDataFrame([([1], [[1.0], [1.0, 2.0]])], "labels array<int>, x array<array<float>>")
+    with pytest.raises(Exception, match="one width"):
+        form_batches(df, 2, features="x").collect()
+    with pytest.raises(ValueError):
+        form_batches(df, 2, mode="seq2seq")
+    with pytest.raises(ValueError):
+        form_batches(df, 0)
+    with pytest.raises(TypeError):
+        form_batches(df.withColumn("labels", F.lit(1)), 2)
+    assert form_batches(df.limit(0), 2).collect() == []
+
+
+def test_a_batch_larger_than_promised_fails(spark):
+    df = spark.range(10).select(F.lit(1).alias("batch_id"), F.array(F.lit(1)).alias("labels"))
+    with pytest.raises(Exception, match="more than 2 rows"):
+        pad_labels(df, rows_per_batch=2).collect()
+
+
 def test_training_and_scoring_jobs(spark):
     data = [("train", f"{i}.wav", "ab" * i) for i in range(1, 10)] + [("test", "t.wav", "ba")]
     df = spark.createDataFrame(data, "split string, audio string, transcript string")
     vocab = char_vocabulary(df, "transcript")
     train, ev = build_training_table(df, vocab)
     out = train.collect()
-    assert len(out) == 9 and train.columns == ["audio", "labels", "batch_id"]
+    assert len(out) == 9 and train.columns == ["audio", "labels", "batch_id", "label_length"]
     for batch in {r["batch_id"] for r in out}:
         assert len({len(r["labels"]) for r in out if r["batch_id"] == batch}) == 1
     assert ev.first()["labels"] == [3, 2]
