@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sonoframe.functions.audio import unpack_samples
-from sonoframe.functions.recognise import text_of, transcribe_windows
+from sonoframe.functions.recognise import hears_batches, text_of, transcribe_windows
 from sonoframe.plans.transcribe import replay_sessions, segment_lines, transcribe_files, transcribe_waveforms
 from sonoframe.schemas import CHUNK
 from sonoframe.sinks.tables import write_messages
@@ -168,6 +168,79 @@ def test_idle_timeout_flushes_and_forgets(spark, tmp_path):
     assert got == [("final", 3, 1, 9, 17), ("partial", 0, 1, 0, 10), ("partial", 1, 2, 3, 16)]
 
 
+def test_state_is_forgotten_and_gaps_are_given_up(spark, tmp_path):
+    """A chunk is lost while the session goes on: what waits is bounded by the timeout, and closed sessions leave no state."""
+    inbox = tmp_path / "in"
+    spans = stream_spans(read_pcm_stream(spark, str(inbox)) if inbox.mkdir() is None else None, 10, 3, idle_timeout_ms=2500)
+    query = spans.writeStream.format("memory").queryName("gaps").outputMode("append").trigger(processingTime="400 milliseconds").start()
+    rows = chunk_rows({"a": [10] * 60}, eos=False)
+    sizes = []
+    try:
+        spark.createDataFrame(chunk_rows({"b": [12, 4]}), CHUNK).coalesce(1).write.mode("append").parquet(str(inbox))
+        for i, row in enumerate(rows):
+            if i != 1:
+                spark.createDataFrame([row], CHUNK).coalesce(1).write.mode("append").parquet(str(inbox))
+            query.awaitTermination(0.12)
+            if query.lastProgress and query.lastProgress["stateOperators"]:
+                sizes.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        for _ in range(60):
+            query.awaitTermination(0.5)
+            if query.lastProgress["stateOperators"] and query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0:
+                break
+    finally:
+        query.stop()
+    assert query.exception() is None
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+    got = spark.sql("select * from gaps where session = 'a'").collect()
+    # Chunk 1 is missing; all others are heard, so 590 samples make 194 windows and a rest.
+    assert sum(r["n_win"] for r in got if r["kind"] == "partial") == (590 - 10) // 3 + 1
+    assert [r["end"] for r in got if r["kind"] == "final"] == [590]
+    assert 0 < max(sizes) < 60
+
+
+def counted_batches(log):
+    def factory():
+        @hears_batches(4, most_bytes=400)
+        def recognise(windows, rate):
+            with open(log, "a") as f:
+                f.write(" ".join(str(len(w)) for w in windows) + "\n")
+            return [{"text": f"{len(w)}:{w.sum():.0f}"} for w in windows]
+
+        return recognise
+
+    return factory
+
+
+def test_recogniser_of_batches(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i == 7 else [1.0] * int(n)) for i, n in enumerate(rng.integers(0, 60, 90))]
+    df = spark.createDataFrame(rows, "i int, samples array<float>").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        got = {r["i"]: r["text"] for r in transcribe_windows(df, counted_batches(str(tmp_path / "log")), 1).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {i: None if x is None else f"{len(x)}:{len(x)}" for i, x in rows}
+    calls = [[int(v) for v in line.split()] for line in (tmp_path / "log").read_text().splitlines()]
+    assert sum(map(len, calls)) == 89 and max(map(len, calls)) == 4 and len(calls) < 50
+    assert all(len(c) == 1 or max(c) * 4 * len(c) <= 400 for c in calls)
+    # Spans of a stream and of a replay are heard in batches, too, and give the same messages.
+    chunks = spark.createDataFrame(chunk_rows(SESSIONS), CHUNK)
+    one = lambda: lambda w, rate: {"text": f"{len(w)}:{w.sum():.0f}"}
+    plain, together = (replay_sessions(chunks, f, 1, 10, 3) for f in (one, counted_batches(str(tmp_path / "log2"))))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, together.collect()))
+
+
+def test_a_recogniser_that_loses_results_fails(spark):
+    def factory():
+        return hears_batches(4)(lambda windows, rate: windows[:1])
+
+    df = spark.range(3).select("id", F.array(F.lit(1.0)).cast("array<float>").alias("samples")).coalesce(1)
+    with pytest.raises(Exception, match="results for 3 windows"):
+        transcribe_windows(df, factory, 1).collect()
+
+
 def test_parameters(spark):
     df = spark.createDataFrame([], CHUNK)
     for bad in ((0, 1), (5, 0), (1, 5), (5, 1e-5)):
@@ -256,7 +329,7 @@ def test_training_table_with_audio(spark, tmp_path):
     got = {r["transcript"]: (r["sampling_rate"], r["array"]) for r in loaded.collect()}
     assert got["bb"] == (8000, [0.0, 4 / 32768]) and len(got["cc"][1]) == 10
     train, evaluation = build_training_table(loaded, char_vocabulary(df, "transcript"), batch_size=3, samples="array")
-    assert evaluation is None and train.columns == ["audio", "labels", "input_values", "batch_id"]
+    assert evaluation is None and train.columns == ["audio", "labels", "input_values", "batch_id", "label_length", "input_length"]
     for batch in train.groupBy("batch_id").agg(F.collect_set(F.size("input_values")).alias("n")).collect():
         assert len(batch["n"]) == 1
     gone = spark.createDataFrame([("train", "/none.wav", "x")], df.schema)
