@@ -8,15 +8,15 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from sonoframe.functions import arrays, audio, text
 from sonoframe.functions.recognise import transcribe_windows
-from sonoframe.operators import columns, concat, joins, labels, lexicon, metrics, running, windows
+from sonoframe.operators import batches, columns, concat, joins, labels, lexicon, metrics, running, windows
 from sonoframe.plans import manifests as manifest_jobs, prepare as prepare_jobs, training, transcribe
 from sonoframe.schemas import CHUNK as CHUNK_SCHEMA, VOCAB
 from sonoframe.shared import shared_path
-from sonoframe.sinks import tables
+from sonoframe.sinks import tables, waves
 from sonoframe.sources import corpora, lines, manifests, stream
 from sonoframe.streaming import rolling
 
@@ -294,6 +294,29 @@ def manifest_round_trip(spark, folder):
     return manifests.read_manifests(spark, stored_manifests(spark, folder))
 
 
+NESTED_RECORD = T.StructType().add("audio_filepath", "string").add("text", "string").add("speaker_id", "string").add(
+    "extra", T.StructType().add("n_chars", "long").add("notes", T.ArrayType(T.StructType().add("mark", "string").add("lang", "string")))
+)
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS audio_filepath, text, source AS speaker_id, n_chars, lang, ' }, {"\\ ]' AS mark FROM documents"""
+)
+def array_manifest_round_trip(spark, folder):
+    """Arrays of nested objects, whose texts hold what looks like the end of an object."""
+    target = shared_path(spark, "array-manifest")
+    mark = F.lit(' }, {"\\ ]')
+    extra = F.struct("n_chars", F.array(F.struct(mark.alias("mark"), "lang")).alias("notes"))
+    records = read(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("audio_filepath"), "text", F.col("source").alias("speaker_id"), extra.alias("extra")
+    )
+    tables.write_manifest_arrays(records, target)
+    note = F.col("extra.notes")[0]
+    return manifests.read_manifest(spark, target, NESTED_RECORD).select(
+        "audio_filepath", "text", "speaker_id", "extra.n_chars", note["lang"].alias("lang"), note["mark"].alias("mark")
+    )
+
+
 @query(f"SELECT split, audio, {norm_sql('sentence')} AS transcript, speaker_id FROM ({CORPUS_SQL})")
 def custom_corpus(spark, folder):
     return prepare_jobs.registry.create("custom", spark, manifests=stored_manifests(spark, folder))
@@ -839,6 +862,41 @@ def label_batches(spark, folder) -> DataFrame:
     )
 
 
+CORPUS_TREE_SQL = r"""SELECT doc_id, doc_id::VARCHAR AS utt_id, source AS speaker_id, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split,
+    trim(regexp_replace(regexp_extract(text, '^[^\n]*'), '\s+', ' ', 'g')) AS line FROM documents"""
+
+
+def stored_tree(spark, folder) -> str:
+    """A studio corpus on disk: a folder per speaker with a (silent) recording per document, and prompts for most of them."""
+    root = shared_path(spark, "corpus-tree")
+    line = F.trim(F.regexp_replace(F.regexp_extract("text", "^[^\n]*", 0), r"\s+", " "))
+    docs = read(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("utt_id"), "source", line.alias("line"), "doc_id",
+        F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"),
+    )
+    name = F.concat("split", F.lit("/waves/"), "source", F.lit("/"), "utt_id", F.lit(".wav"))
+    waves.write_waves(docs.select(name.alias("name"), F.array(F.lit(0.0)).alias("samples")), root, 16000)
+    for split in ("train", "test"):
+        prompts = docs.filter((F.col("split") == split) & (F.col("doc_id") % 7 != 0))
+        prompts.select(F.concat_ws(" ", "utt_id", "line").alias("value")).write.text(f"{root}/{split}/prompts.txt")
+    return root
+
+
+@query(f"SELECT split, speaker_id, utt_id, line AS text FROM ({CORPUS_TREE_SQL}) WHERE doc_id % 7 <> 0 AND line <> ''")
+def corpus_manifest(spark, folder):
+    """The whole job: recordings listed, joined with their prompts, and written as manifests, which are read back."""
+    root, target = stored_tree(spark, folder), shared_path(spark, "corpus-manifest")
+    manifest_jobs.build_manifest(spark, root, target)
+    splits = {split: f"{target}/split={split}" for split in ("train", "test")}
+    records = manifests.read_manifests(spark, splits)
+    return records.select("split", "speaker_id", text.path_stem(F.col("audio_filepath")).alias("utt_id"), "text")
+
+
+@query(f"SELECT split, speaker_id, utt_id FROM ({CORPUS_TREE_SQL}) WHERE doc_id % 7 = 0 OR line = ''")
+def corpus_unmatched(spark, folder):
+    return manifest_jobs.unmatched_report(spark, stored_tree(spark, folder)).select("split", "speaker_id", "utt_id")
+
+
 @query(PADDED_SQL.format(padded=f"SELECT doc_id, list_resize(ids, longest, -100) AS ids FROM ({IDS_SQL})"))
 def pad_labels_ctc(spark, folder):
     return padded(spark, folder, rows_per_batch=4)
@@ -874,6 +932,49 @@ def label_digest(df: DataFrame) -> DataFrame:
     )
 
 
+@query(
+    """SELECT vec_id, len(x)::BIGINT AS input_length, len(x) // 8 AS frames, (vec_id % 9)::BIGINT AS label_length, TRUE AS full_batch,
+        TRUE AS padded_together, md5(array_to_string(list_transform(x, lambda v: floor(v::DOUBLE * 1000)::BIGINT), ' ')) AS values_md5
+    FROM (SELECT vec_id, embedding[1:1 + (vec_id * 7) % 64] AS x FROM embeddings)"""
+)
+def padded_batches(spark, folder):
+    """Features of one and of two dimensions, and labels, padded in the task. Which rows share a batch is left open; sizes, lengths
+    and masks must agree within each."""
+    x = F.slice("embedding", F.lit(1), (1 + (F.col("vec_id") * 7) % 64).cast("int"))
+    frames = F.transform(F.sequence(F.lit(0), arrays.quotient(F.size("x"), 8).cast("int") - 1), lambda i: F.slice("x", i * 8 + 1, F.lit(8)))
+    none = F.array().cast("array<array<float>>")
+    table = read(spark, folder, "embeddings").select("vec_id", x.alias("x")).select(
+        "vec_id", "x", F.when(F.size("x") >= 8, frames).otherwise(none).alias("frames"),
+        F.array_repeat(F.lit(5), (F.col("vec_id") % 9).cast("int")).alias("labels"),
+    )
+    one = batches.form_batches(table.drop("frames"), 4, features="x", pad_id=0)
+    two = batches.form_batches(table.drop("x"), 4, features="frames", mode="seq2seq", pad_id=0)
+    # A batch is whole if its rows have the size of the longest, and only the padding is masked.
+    masked = F.size(F.filter("labels", lambda v: v == arrays.IGNORED_LABEL)) == F.size("labels") - F.col("label_length")
+    tail = lambda c: F.slice(c, F.col("input_length") + 1, F.greatest(F.size(c) - F.col("input_length"), F.lit(0)))
+    blank = F.forall(tail("x"), lambda v: v == 0) & masked
+    blank_frames = F.forall(tail("frames"), lambda f: (F.size(f) == 8) & F.forall(f, lambda v: v == 0)) & masked
+
+    def told(df, column, ok, target):
+        same = Window.partitionBy("batch_id")
+        size, longest = F.size(column), F.max("input_length").over(same)
+        labels_of = F.size("labels") == target(F.max("label_length").over(same))
+        return df.select(
+            "*", ((F.count(F.lit(1)).over(same) <= 4) & (F.min(size).over(same) == longest)).alias("full"), (ok & labels_of).alias("together")
+        )
+
+    first = told(one, "x", blank, lambda n: n)
+    second = told(two, "frames", blank_frames, lambda n: F.ceil(n / 16) * 16).select(
+        "vec_id", F.col("input_length").alias("n_frames"), F.col("full").alias("full_2"), F.col("together").alias("together_2")
+    )
+    real = F.transform(F.slice("x", F.lit(1), F.col("input_length")), lambda v: F.floor(v.cast("double") * 1000).cast("string"))
+    return first.join(second, "vec_id").select(
+        "vec_id", long(F.col("input_length")).alias("input_length"), long(F.col("n_frames")).alias("frames"), long(F.col("label_length")).alias("label_length"),
+        (F.col("full") & F.col("full_2")).alias("full_batch"), (F.col("together") & F.col("together_2")).alias("padded_together"),
+        F.md5(F.array_join(real, " ")).alias("values_md5"),
+    )
+
+
 @query(PADDED_SQL.format(padded=f"SELECT doc_id, list_resize(ids, longest, 0) AS ids FROM ({IDS_SQL})"))
 def unmask(spark, folder):
     out = labels.pad_labels(label_batches(spark, folder), rows_per_batch=4)
@@ -923,8 +1024,8 @@ def sample_sums():
         lambda v: floor(v::DOUBLE * 1000)))::BIGINT FROM embeddings"""
 )
 def transcribe_slices(spark, folder):
-    waves = read(spark, folder, "embeddings").select("vec_id", "embedding")
-    cut = windows.slice_recordings(waves, "embedding", 16, 8)
+    recordings = read(spark, folder, "embeddings").select("vec_id", "embedding")
+    cut = windows.slice_recordings(recordings, "embedding", 16, 8)
     return transcribe_windows(cut, sample_sums, RATE).select("vec_id", "win_idx", "text")
 
 
@@ -933,10 +1034,26 @@ def transcribe_slices(spark, folder):
         FROM embeddings"""
 )
 def transcribe_waveforms(spark, folder):
-    waves = read(spark, folder, "embeddings").select(
+    recordings = read(spark, folder, "embeddings").select(
         "vec_id", F.lit(RATE).alias("sampling_rate"), F.col("embedding").alias("array")
     )
-    return transcribe.transcribe_waveforms(waves, sample_sums, RATE).select("vec_id", "text")
+    return transcribe.transcribe_waveforms(recordings, sample_sums, RATE).select("vec_id", "text")
+
+
+@query(
+    """SELECT vec_id, string_agg(n || ':' || total, ' ' ORDER BY k) AS text, count(*)::BIGINT AS chunks FROM (
+        SELECT vec_id, k, len(part) AS n, list_sum(list_transform(part, lambda v: floor(v / 32768 * 1000)))::BIGINT AS total FROM (
+        SELECT vec_id, k, list_transform(embedding[k * 20 + 1 : k * 20 + 20],
+            lambda v: least(greatest(floor(v::DOUBLE * 32768), -32768), 32767)) AS part
+        FROM (SELECT vec_id, embedding, unnest(range(0, 4)) AS k FROM embeddings))) GROUP BY vec_id"""
+)
+def transcribe_wave_files(spark, folder):
+    """Vectors as WAV files, which are listed, read in ranges, recognised and stitched."""
+    root = shared_path(spark, "waves")
+    name = F.concat((F.col("vec_id") % 10).cast("string"), F.lit("/"), F.col("vec_id").cast("string"), F.lit(".wav"))
+    waves.write_waves(read(spark, folder, "embeddings").select(name.alias("name"), F.col("embedding").alias("samples")), root, RATE)
+    found = transcribe.transcribe_files(spark, root, sample_sums, 20 / RATE, RATE)
+    return found.select(long(text.path_stem(F.col("path"))).alias("vec_id"), "text", long(F.size("chunks")).alias("chunks"))
 
 
 HEARD_SQL = f"""WITH c AS MATERIALIZED (SELECT *, upto - n AS at FROM ({CHUNKS_SQL})),
