@@ -3,8 +3,8 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a table that is written as Parquet and read back as the
 next stage's ``docs``. All but the last return the columns of ``documents``.
 
-Defined results: rows with null ids pass the near-duplicate stage, as they cannot be told apart; an empty table
-gives an empty table at every stage. A document that is repeated by the mix is packed once per copy.
+Defined results: rows that share an id, or have none, are documents of their own at every stage; an empty table
+gives an empty table. A document that is repeated by the mix is packed once per copy.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,19 +28,23 @@ def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines that fail."""
-    rules = {"sentence_end": line_rules.ANY_SENTENCE_END, "boilerplate_phrase": line_rules.WHOLE_BOILERPLATE}
-    judged = line_rules.clean_lines(docs.select(*COLUMNS), **rules).filter("kept")
+    judged = line_rules.clean_lines(docs.select(*COLUMNS)).filter("kept")
     text = F.col("clean_text")
     return judged.withColumns({"text": text, "n_chars": F.length(text).cast("bigint")}).select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    docs = docs.select(*COLUMNS)
-    found = near_dup.near_duplicates(docs.select("doc_id", "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
-    kept = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    chosen = docs.join(stored(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near duplicates, the one with the smallest id (null ids last).
+
+    Rows are told apart by a number of their own, so texts that share an id, or have none, are compared like all others.
+    """
+    rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_dup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    named = rows.select("_row", "doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = named.groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = stored(first.select(F.col("first._row").alias("_row")), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
