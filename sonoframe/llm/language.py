@@ -7,8 +7,10 @@ word by word. A document's language is the one with the largest mean probability
 
 The model is fitted on the driver, on a bounded sample (``PER_LABEL`` documents of each language, fewer each beyond
 ``FULL_LABELS`` languages, at most ``MAX_TEXT_BYTES`` each). Training sequences splice runs of
-words of different languages, which is what the transitions are learned from. The fitted model has
-a fixed size and is broadcast; whole texts are labelled where they are read.
+words of different languages, which is what the transitions are learned from. The fitted model grows with the number of
+labels only and is broadcast; whole texts are labelled where they are read, a slice at a time whose words times labels are
+bounded. A long text is one chain: it is cut into blocks, each is reduced to one message product, and when these are
+joined, all blocks step together.
 
 Defined results: a null text or one without letters is ``und`` with score 0; ties go to the smaller
 label; words without letters take no part; a table without usable labels gives ``und`` everywhere;
@@ -23,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from sonoframe.llm.samples import excerpt, held_out, sampled_ids
+from sonoframe.llm.samples import excerpt, held_out, one_per_id, sampled_ids
 from sonoframe.llm.words import Words, code_points, mix, word_hashes, words
 
 PER_LABEL = 300
@@ -33,7 +35,9 @@ AFFIXES = (1, 2, 3, 4)
 LEXICON_COUNT = 3  # uses of a word in the sample before the lexicon lists it
 LEXICON_SHARE = 0.9  # of its uses that one language has
 UNDETERMINED = "und"
-SLICE_BYTES = 1 << 20  # of text labelled at once: features and chains take up to 100 times as much
+SLICE_BYTES = 1 << 20  # of text labelled at once
+SLICE_CELLS = 1 << 20  # words times labels of it, at about six bytes to a word; a single longer text is a slice of its own
+BLOCK = 512  # words of a chain that are stepped through one by one
 
 
 class Model(NamedTuple):
@@ -44,19 +48,17 @@ class Model(NamedTuple):
     listed: np.ndarray  # their languages
 
 
-def features(distinct: pa.Array, lexicon: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all words, one word after the other, and the word of each."""
+def feature_groups(distinct: pa.Array, lexicon: np.ndarray, listed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Feature numbers and the words they belong to, one kind of feature after the other."""
     lowered = pc.utf8_lower(pc.replace_substring_regex(distinct, r"^[^\p{L}]+|[^\p{L}]+$", ""))
     points, starts = code_points(lowered)
     lengths = np.diff(starts)
     word = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(points)) - np.repeat(starts[:-1], lengths)
     left = np.repeat(lengths, lengths) - place  # characters from here to the end of the word
-    ids, owners = [], []
 
-    def add(hashes: np.ndarray, of: np.ndarray, kind: int) -> None:
-        ids.append((mix(hashes + np.uint64(kind * 1_000_003)) % np.uint64(BUCKETS)).astype(np.int64))
-        owners.append(of)
+    def numbered(hashes: np.ndarray, kind: int) -> np.ndarray:
+        return (mix(hashes + np.uint64(kind * 1_000_003)) % np.uint64(BUCKETS)).astype(np.int64)
 
     gram = np.zeros(len(points), np.uint64)
     padded = np.concatenate((points, np.zeros(4, np.uint64)))
@@ -64,23 +66,36 @@ def features(distinct: pa.Array, lexicon: np.ndarray, listed: np.ndarray) -> tup
         gram = mix(gram * np.uint64(31) + padded[n - 1 : n - 1 + len(points)] + np.uint64(n))
         fits = left >= n
         if n <= 3:
-            add(gram[fits], word[fits], n)
+            yield numbered(gram[fits], n), word[fits]
         start, end = fits & (place == 0), fits & (left == n)
-        add(gram[start], word[start], 10 + n)
-        add(gram[end], word[end], 20 + n)
+        yield numbered(gram[start], 10 + n), word[start]
+        yield numbered(gram[end], 20 + n), word[end]
     hashes = word_hashes(lowered)
     everyone = np.arange(len(lengths))
-    add(hashes, everyone, 30)
+    yield numbered(hashes, 30), everyone
     if len(lexicon):
         at = np.minimum(np.searchsorted(lexicon, hashes), len(lexicon) - 1)
         known = lexicon[at] == hashes
-        ids.append(BUCKETS + listed[at[known]])
-        owners.append(everyone[known])
-    owner, number = np.concatenate(owners), np.concatenate(ids)
+        yield BUCKETS + listed[at[known]], everyone[known]
+
+
+def features(distinct: pa.Array, lexicon: np.ndarray, listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all words, one word after the other, and the word of each."""
+    numbers, owners = zip(*feature_groups(distinct, lexicon, listed), strict=True)
+    number, owner = np.concatenate(numbers), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return number[order], owner[order]
 
 
+def distinct_scores(model: Model, distinct: pa.Array) -> np.ndarray:
+    """The score of every label for every word, summed up kind by kind."""
+    scores = np.zeros((len(distinct), len(model.labels)), np.float64)
+    for number, owner in feature_groups(distinct, model.lexicon, model.listed):
+        for k in range(scores.shape[1]):
+            scores[:, k] += np.bincount(owner, model.emissions[number, k], len(distinct))
+    return scores
+
+
 def word_scores(model_emissions: np.ndarray, number: np.ndarray, owner: np.ndarray, n_words: int) -> np.ndarray:
     return np.column_stack(
         [np.bincount(owner, model_emissions[number, k], n_words) for k in range(model_emissions.shape[1])]
@@ -130,6 +145,69 @@ def lettered(found: Words) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return bounds, renumbered[found.codes[keep]], found.distinct.filter(pa.array(has))
 
 
+def posteriors(factors: np.ndarray, bounds: np.ndarray, step: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Probabilities of every label at every place of every chain, as ``forward_backward`` gives them, with long chains in
+    blocks. ``factors`` are exponentials of scores. Messages are in double precision; what is kept of them is not."""
+    n_labels, lengths = factors.shape[1], np.diff(bounds)
+    n_blocks = -(-lengths // block)
+    chain = np.repeat(np.arange(len(lengths)), n_blocks)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    begins = bounds[chain] + number * block
+    sizes = np.minimum(block, bounds[chain + 1] - begins)
+    before, after = np.ones((len(chain), n_labels)), np.ones((len(chain), n_labels))
+    many = np.flatnonzero(n_blocks[chain] > 1)
+    if len(many):
+        _join_blocks(factors, begins[many], sizes[many], number[many] == 0, step, many, before, after)
+
+    order = np.argsort(-sizes, kind="stable")
+    begins, sizes, opens = begins[order], sizes[order], number[order] == 0
+    active = np.searchsorted(-sizes, -np.arange(1, (sizes[0] if len(sizes) else 0) + 1), side="right").tolist()
+    out, message = np.empty(factors.shape, np.float32), before[order]
+    for t, k in enumerate(active):
+        at = begins[:k] + t
+        onward = message[:k] @ step
+        if t == 0:
+            onward[opens] = message[opens]
+        m = onward * factors[at]
+        message = m / m.sum(axis=1, keepdims=True)
+        out[at] = message
+    message = after[order]
+    for t in range(len(active) - 1, -1, -1):
+        k = active[t]
+        later = active[t + 1] if t + 1 < len(active) else 0
+        if later:
+            m = (factors[begins[:later] + t + 1] * message[:later]) @ step.T
+            message[:later] = m / m.sum(axis=1, keepdims=True)
+        at = begins[:k] + t
+        both = out[at] * message[:k]
+        out[at] = both / both.sum(axis=1, keepdims=True)
+    return out
+
+
+def _join_blocks(factors, begins, sizes, opens, step, places, before, after) -> None:
+    """Fill in the messages at both ends of the blocks of long chains, from one product of messages per block."""
+    n_labels = factors.shape[1]
+    products = np.broadcast_to(np.eye(n_labels), (len(begins), n_labels, n_labels)).copy()
+    for t in range(int(sizes.max())):
+        here = np.flatnonzero(sizes > t)
+        onward = products[here] @ step
+        if t == 0:
+            onward[opens[here]] = products[here][opens[here]]
+        onward *= factors[begins[here] + t][:, None, :]
+        products[here] = onward / onward.max(axis=(1, 2), keepdims=True)
+    message = np.ones(n_labels)
+    for i in range(len(begins)):
+        message = np.ones(n_labels) if opens[i] else message
+        before[places[i]] = message
+        message = message @ products[i]
+        message /= message.sum()
+    for i in range(len(begins) - 1, -1, -1):
+        last = i + 1 == len(begins) or opens[i + 1]
+        message = np.ones(n_labels) if last else products[i + 1] @ message
+        message = message / message.sum()
+        after[places[i]] = message
+
+
 def fit(sample: list[tuple[str, str]], seed: int = 3, rounds: int = 6, batch: int = 256, rate: float = 0.3) -> Model:
     """Learn from ``(text, label)`` rows by AdaGrad on the likelihood of spliced sequences."""
     sample = sorted(r for r in sample if r[0])
@@ -204,7 +282,8 @@ def fit_on(docs: DataFrame, per_label: int = PER_LABEL, seed: int = 3) -> Model:
     """Fit on a sample of the documents of ``(doc_id, text, lang)`` that are not held out."""
     usable = docs.filter(F.octet_length("text") > 0).withColumn("text", F.col("text").cast("string"))
     drawn = sampled_ids(usable, "doc_id", "lang", per_label, FULL_LABELS, seed)
-    rows = drawn.select(excerpt(F.col("text"), F.col("doc_id"), seed).alias("text"), "lang").collect()
+    part = excerpt(F.col("text"), F.col("doc_id"), seed).alias("text")
+    rows = one_per_id(drawn.select("doc_id", part, "lang"), "doc_id").collect()
     return fit([(r["text"], r["lang"]) for r in rows], seed)
 
 
@@ -214,28 +293,33 @@ def label_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return label_words(model, texts)[:3]
 
 
-def label_words(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ``label_texts``, and the mean of each word's largest probability."""
-    best, score, mixed, certain = (np.zeros(len(texts), t) for t in (np.int64, np.float64, np.float64, np.float64))
+def label_words(model: Model, texts: pa.Array, certain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``label_texts``, and if it is asked for the mean of each word's largest probability."""
+    best, score, mixed, sure = (np.zeros(len(texts), t) for t in (np.int64, np.float64, np.float64, np.float64))
     best[:] = -1
     if not model.labels:
-        return best, score, mixed, certain
-    for found in words(texts, SLICE_BYTES):
+        return best, score, mixed, sure
+    step, n_labels = np.exp(model.transitions), len(model.labels)
+    for found in words(texts, min(SLICE_BYTES, 6 * SLICE_CELLS // n_labels)):
         bounds, codes, distinct = lettered(found)
-        number, owner = features(distinct, model.lexicon, model.listed)
-        scores = word_scores(model.emissions, number, owner, len(distinct))[codes]
-        marginals, _ = forward_backward(scores, bounds, model.transitions)
-        total = np.concatenate((np.zeros((1, len(model.labels))), np.cumsum(marginals, axis=0)))
+        if not len(codes):
+            continue
+        scores = distinct_scores(model, distinct)
+        scores -= scores.max(axis=1, keepdims=True)
+        marginals = posteriors(np.exp(scores).astype(np.float32)[codes], bounds, step)
         n = np.diff(bounds)
-        means = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)[:, None]
-        top = np.where(n > 0, means.round(12).argmax(axis=1), -1)
-        own = np.concatenate(([0], np.cumsum(marginals.argmax(axis=1) != np.repeat(top, n))))
-        best[found.begin : found.end] = top
-        score[found.begin : found.end] = np.where(n > 0, np.clip(means[np.arange(len(n)), top], 0, 1), 0.0)
-        mixed[found.begin : found.end] = (own[bounds[1:]] - own[bounds[:-1]]) / np.maximum(n, 1)
-        largest = np.concatenate(([0], np.cumsum(marginals.max(axis=1))))
-        certain[found.begin : found.end] = np.clip((largest[bounds[1:]] - largest[bounds[:-1]]) / np.maximum(n, 1), 0, 1)
-    return best, score, mixed, certain
+        some = np.flatnonzero(n)
+        starts, n = bounds[some], n[some]
+        means = np.add.reduceat(marginals, starts, axis=0, dtype=np.float64) / n[:, None]
+        top = means.round(9).argmax(axis=1)
+        other = marginals.argmax(axis=1) != np.repeat(top, n)
+        at = found.begin + some
+        best[at] = top
+        score[at] = np.clip(means[np.arange(len(n)), top], 0, 1)
+        mixed[at] = np.add.reduceat(other, starts, dtype=np.int64) / n
+        if certain:
+            sure[at] = np.clip(np.add.reduceat(marginals.max(axis=1), starts, dtype=np.float64) / n, 0, 1)
+    return best, score, mixed, sure
 
 
 def identify(docs: DataFrame, model: Model, certain: str | None = None) -> DataFrame:
@@ -243,12 +327,13 @@ def identify(docs: DataFrame, model: Model, certain: str | None = None) -> DataF
     the share of words in another language. ``certain`` names a column for the mean of each word's largest probability."""
     own = [f for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "lang_score", "switched", (certain or "").lower())]
     docs = docs.select(*[f.name for f in own])
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain data: what is broadcast is not pickled by value, and executors need not have this package.
+    shipped, asked = docs.sparkSession.sparkContext.broadcast(tuple(model)), certain is not None
 
     @F.arrow_udf("struct<pred string, score double, switched double, certain double>")
     def predict(texts: pa.Array) -> pa.Array:
-        m = shipped.value
-        best, score, switched, sure = label_words(m, texts)
+        m = Model(*shipped.value)
+        best, score, switched, sure = label_words(m, texts, asked)
         names = pa.array([*m.labels, UNDETERMINED]).take(pa.array(np.where(best < 0, len(m.labels), best)))
         return pa.StructArray.from_arrays([names, pa.array(score), pa.array(switched), pa.array(sure)], ["pred", "score", "switched", "certain"])
 

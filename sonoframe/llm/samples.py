@@ -38,3 +38,10 @@ def sampled_ids(
     shares = labelled.sparkSession.createDataFrame([(y, wanted / n) for y, n in counts], shares)
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(record_id)), F.lit(1 << 40)).cast("double") / float(1 << 40)
     return usable.join(F.broadcast(shares), label).filter(draw < F.col("_share")).select(*labelled.columns)
+
+
+def one_per_id(drawn: DataFrame, record_id: str) -> DataFrame:
+    """The least row of every drawn id, so that an id which very many rows share is sent to the driver once."""
+    rest = [c for c in drawn.columns if c != record_id]
+    least = drawn.groupBy(record_id).agg(F.min(F.struct(*rest)).alias("_least"))
+    return least.select(record_id, *[F.col(f"_least.{c}").alias(c) for c in rest])

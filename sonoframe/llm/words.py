@@ -56,8 +56,11 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def code_points(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All characters of the words, one word after the other, and where each word starts."""
     lengths = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
-    joined = "".join(distinct.to_pylist())
-    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), np.concatenate(([0], np.cumsum(lengths)))
+    _, offsets, content = distinct.cast(pa.string()).buffers()
+    bounds = np.frombuffer(offsets, np.int32)[distinct.offset : distinct.offset + len(distinct) + 1] if len(distinct) else [0]
+    joined = bytes(content[int(bounds[0]) : int(bounds[-1])]) if content is not None else b""
+    points = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32)
+    return points.astype(np.uint64), np.concatenate(([0], np.cumsum(lengths)))
 
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
