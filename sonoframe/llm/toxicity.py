@@ -26,8 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sonoframe.llm.samples import excerpt, sampled_ids
-from sonoframe.llm.words import MULTIPLIER, Words, mix, word_hashes, words
+from sonoframe.llm.samples import excerpt, one_per_id, sampled_ids
+from sonoframe.llm.words import MULTIPLIER, Words, code_points, mix, words
 
 PER_LABEL = 1500
 SENTENCE_WORDS = 40
@@ -78,13 +78,27 @@ def held_out(record_id: Column) -> Column:
 
 def form_hashes(distinct: pa.Array) -> np.ndarray:
     """Of every word, in lower case and without marks at either end, the hash of itself, its beginnings and its ends;
-    0 where there is none."""
+    0 where there is none. All are differences of one running polynomial over the characters."""
     lowered = pc.utf8_lower(pc.replace_substring_regex(distinct, r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    length = pc.utf8_length(lowered).to_numpy(zero_copy_only=False)
-    columns = [np.where(length > 0, word_hashes(lowered, 7), np.uint64(0))]
+    points, starts = code_points(lowered)
+    begins, ends, lengths = starts[:-1], starts[1:], np.diff(starts)
+    longest = int(lengths.max()) if len(lengths) else 0
+    base = int(MULTIPLIER) | 1
+    powers = np.cumprod(np.full(longest + 1, base, np.uint64))
+    back = np.cumprod(np.full(longest + 1, pow(base, -1, 1 << 64), np.uint64))
+    place = np.arange(len(points)) - np.repeat(begins, lengths)
+    running = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(mix(points + np.uint64(7)) * powers[place], out=running[1:])
+    columns = [np.where(lengths > 0, mix(running[ends] - running[begins] + lengths.astype(np.uint64)), np.uint64(0))]
     for n in AFFIXES:
-        for kind, part in ((1, pc.utf8_slice_codeunits(lowered, 0, n)), (2, pc.utf8_slice_codeunits(lowered, -n, None))):
-            columns.append(np.where(length > n, word_hashes(part, 10 * n + kind), np.uint64(0)))
+        has = np.flatnonzero(lengths > n)
+        for kind, a, b, first in ((1, begins[has], begins[has] + n, None), (2, ends[has] - n, ends[has], lengths[has] - n)):
+            part = running[b] - running[a]
+            if first is not None:
+                part = part * back[first - 1]
+            column = np.zeros(len(lengths), np.uint64)
+            column[has] = mix(part + np.uint64(1_000_003 * (10 * n + kind)))
+            columns.append(column)
     return np.column_stack(columns)
 
 
@@ -148,7 +162,7 @@ def placed(lexicon: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Places in the lexicon; its length for what it does not list."""
     at = np.searchsorted(lexicon, hashes)
     inside = np.minimum(at, len(lexicon) - 1)
-    return np.where(lexicon[inside] == hashes, inside, len(lexicon)) if len(lexicon) else at
+    return np.where(lexicon[inside] == hashes, inside, len(lexicon)).astype(np.int32) if len(lexicon) else at
 
 
 def swapped(cut: Sentences, kinds: list[np.ndarray], of_form: np.ndarray, nobody: int, swaps: int, seed: int) -> tuple[Sentences, np.ndarray]:
@@ -178,7 +192,7 @@ def swapped(cut: Sentences, kinds: list[np.ndarray], of_form: np.ndarray, nobody
 
 def fit(
     sample: list[tuple[str, int, float]], identity_terms: dict[str, str] | None = None, fairness: float = FAIRNESS,
-    seed: int = 13, rounds: int = 80, rate: float = 0.3,
+    seed: int = 13, rounds: int = 120, rate: float = 0.3,
 ) -> Model:
     """Learn from ``(text, label, weight)`` rows by AdaGrad."""
     unknown = Model(0.0, np.zeros(0, np.uint64), np.zeros(1))
@@ -211,18 +225,21 @@ def fit(
     other, origin = swapped(cut, kinds, of_form, int(to_all[-1]), SWAPS, seed)
     pairs, other_pairs = (pair_hashes(forms[c.codes, 0], c.first) for c in (cut, other))
 
-    # In how many documents of either label each feature stands.
+    # In how many documents of either label each feature stands; one kind of feature after the other, as memory is the driver's.
     sentence = np.cumsum(cut.first) - 1
-    by_form = np.unique(cut.document[sentence] * len(forms) + cut.codes)
-    holder = np.concatenate((np.repeat(by_form // len(forms), forms.shape[1]), cut.document[sentence]))
-    names, number = np.unique(np.concatenate((forms[by_form % len(forms)].ravel(), pairs)), return_inverse=True)
-    stands = np.unique(holder * len(names) + number)
-    holder, number = stands // len(names), stands % len(names)
-    toxic, clean = (np.bincount(number, value, len(names)) for value in (y[holder], 1 - y[holder]))
+    document = cut.document[sentence]
+    by_form = np.unique(document * len(forms) + cut.codes)
+    holder, form = by_form // len(forms), by_form % len(forms)
+    counted = [_document_counts(holder, forms[form, k], y) for k in range(forms.shape[1])]
+    counted.append(_document_counts(document, pairs, y))
+    del by_form, holder, form, document
+    names, toxic, clean = (np.concatenate(part) for part in zip(*counted, strict=True))
+    order = np.argsort(names, kind="stable")
+    names, toxic, clean = names[order], toxic[order], clean[order]
     # The lexicon: what stands in enough documents, and all that a swap could change.
     mentions = np.isin(sentence, origin)
     changed = np.concatenate((forms[known].ravel(), other_pairs, pairs[mentions])) if len(origin) else pairs[:0]
-    wanted = (toxic + clean >= LEAST_DOCUMENTS) & (names != 0)
+    wanted = toxic + clean >= LEAST_DOCUMENTS
     lexicon = np.unique(np.concatenate((names[wanted], changed[changed != 0])))
     if not len(lexicon):
         return unknown._replace(bias=bias)
@@ -232,20 +249,24 @@ def fit(
     w = np.zeros(len(lexicon))
     w[np.searchsorted(lexicon, names[wanted])] = 0.5 * odds[wanted]
 
-    of_forms = placed(lexicon, forms)
+    of_forms = [placed(lexicon, forms[:, k]) for k in range(forms.shape[1])]
     (of_pairs, starts), (other_of_pairs, other_starts) = (
         (placed(lexicon, p), np.flatnonzero(c.first)) for p, c in ((pairs, cut), (other_pairs, other))
     )
     ends = np.append(starts[1:], len(cut.codes))
 
     def totals(codes: np.ndarray, pair: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        known_or_0 = np.append(w, 0.0)
-        return np.add.reduceat(known_or_0[of_forms].sum(axis=1)[codes] + known_or_0[pair], begin) if len(begin) else np.zeros(0)
+        known_or_0, own = np.append(w, 0.0), np.zeros(len(forms))
+        for column in of_forms:
+            own += known_or_0[column]
+        return np.add.reduceat(own[codes] + known_or_0[pair], begin) if len(begin) else np.zeros(0)
 
     def sums(codes: np.ndarray, pair: np.ndarray, value: np.ndarray) -> np.ndarray:
         """The sum of the words' values for every feature."""
-        per_form = np.bincount(codes, value, len(forms))
-        return np.bincount(of_forms.ravel(), np.repeat(per_form, forms.shape[1]), len(w) + 1)[:-1] + np.bincount(pair, value, len(w) + 1)[:-1]
+        per_form, out = np.bincount(codes, value, len(forms)), np.bincount(pair, value, len(w) + 1)
+        for column in of_forms:
+            out += np.bincount(column, per_form, len(w) + 1)
+        return out[:-1]
 
     support = SUPPORT * weight.min()
     inside = np.flatnonzero(mentions)
@@ -276,17 +297,27 @@ def fit(
     return Model(float(bias), lexicon[used], np.append(w[used], 0.0))
 
 
+def _document_counts(document: np.ndarray, hashes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every hash but 0, and in how many toxic and clean documents it stands."""
+    document, hashes = document[hashes != 0], hashes[hashes != 0]
+    names, number = np.unique(hashes, return_inverse=True)
+    stands = np.unique(document * len(names) + number)
+    label = y[stands // max(1, len(names))]
+    number = stands % max(1, len(names))
+    return names, np.bincount(number, label, len(names)), np.bincount(number, 1 - label, len(names))
+
+
 def fit_on(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = PER_LABEL,
     identity_terms: dict[str, str] | None = None, seed: int = 13,
 ) -> Model:
     """Fit on a sample of the labelled documents that are not held out."""
     usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
-    ids = sampled_ids(usable, "doc_id", "y", per_label, 2, seed, held_out).groupBy("doc_id").agg(F.min("y").alias("y"))
+    ids = one_per_id(sampled_ids(usable, "doc_id", "y", per_label, 2, seed, held_out), "doc_id")
     # The sample is bounded by its parameters, so the few ids may be broadcast, and one row of each is sent to the driver.
     part = excerpt(F.col("text").cast("string"), F.col("doc_id"), seed).alias("part")
     drawn = docs.select("doc_id", part).join(F.broadcast(ids), "doc_id")
-    rows = drawn.groupBy("doc_id").agg(F.min("part").alias("part"), F.min("y").alias("y")).collect()
+    rows = one_per_id(drawn, "doc_id").collect()
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     found = {y: sum(r["y"] == y for r in rows) for y in counts}
     return fit([(r["part"], r["y"], counts[r["y"]] / found[r["y"]]) for r in rows], identity_terms, seed=seed)
