@@ -276,13 +276,14 @@ def neighbours(
     order = fitted_order(hashes, classes, queries, k, recall, n_rows)
     sample = classes.orderBy(F.xxhash64(F.lit(SEED + 1), "rep")).limit(SAMPLE_ROWS).collect()
     known = np.array([r["rep"] for r in sample], np.int64), np.array([r["vec"] for r in sample], np.float64).reshape(-1, n_dims)
-    shared = df.sparkSession.sparkContext.broadcast((hashes, order, known))
+    # Plain data: what is broadcast is not pickled by value, and executors need not have this package.
+    shared = df.sparkSession.sparkContext.broadcast((tuple(hashes), order, known))
     n_groups = max(1, -(-n_rows // GROUP_ROWS))
     # The place in the sample above which all rows hold at least k, and about SPARE k where they can.
     bound = max(k, -(-SPARE * k * len(sample) // max(1, n_rows)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = shared.value[0]
+        h = Hashes(*shared.value[0])
         for batch in batches:
             lifted = h.rows(matrix(batch, "vec", n_dims))
             for t in range(TABLES):
@@ -297,7 +298,8 @@ def neighbours(
                 )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, order, (known_ids, known_vectors) = shared.value
+        plain, order, (known_ids, known_vectors) = shared.value
+        h = Hashes(*plain)
         for batch in batches:
             size = max(1, min(1024, (1 << 21) // len(order)))
             for at in range(0, batch.num_rows, size):
@@ -390,7 +392,7 @@ def neighbours(
         return lists.select(F.col("query").alias("rep"), "place", "vec_id", "score")
 
     def unsafe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, order, _ = shared.value
+        h, order = Hashes(*shared.value[0]), shared.value[1]
         for batch in batches:
             for at in range(0, batch.num_rows, max(1, (1 << 21) // len(order))):
                 part = batch.slice(at, max(1, (1 << 21) // len(order)))

@@ -24,31 +24,27 @@ CROWDED_WORDS = 3
 LONG_LINE_WORDS = 40  # from here on, a line without any sentence end is a list or a table
 SEPARATORS = r"[|»›•·]"
 MIN_SEPARATORS = 3
+# Phrases as whole words, in a form that Java's and DuckDB's expressions both understand.
 BOILERPLATE = (
-    r"(?i)(accept (all )?cookies|cookie (policy|settings)|privacy policy|terms (of|and) (use|service|conditions)"
-    r"|all rights reserved|enable javascript|skip to (main )?content|click here|sign (in|up)|log ?in|subscribe (now|to)"
-    r"|share (this|on) |read more|back to top|newsletter)"
+    r"(?i)(^|[^\p{L}\p{N}])(share (this|on) |(accept (all )?cookies|cookie (policy|settings)|privacy policy"
+    r"|terms (of|and) (use|services?|conditions)|all rights reserved|enable javascript|skip to (main )?content|click here|sign (in|up)"
+    r"|log ?in|subscribe (now|to)|read more|back to top|newsletters?)($|[^\p{L}\p{N}]))"
 )
+BOILERPLATE_HINT = (
+    r"(?i)(cook|polic|terms|reserved|javascript|content|click|sign|log ?in|subscribe|share|read more|back to|newsletter)"
+)  # quick to look for, and in every such phrase
 BOILERPLATE_WORDS = 15  # longer lines only mention such a phrase
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
-SENTENCE_END = r"[.!?…。]"
-
-# The pipeline's forms of the two: the sentence ends of all scripts, and phrases as whole words only. The constants
-# above are those of the SQL beside ``op9_line_rules``.
-ANY_SENTENCE_END = (
-    r"[.!?…\u037E\u0589\u061D-\u061F\u06D4\u0700-\u0702\u07F9\u0837\u0839\u083D\u083E\u0964\u0965\u0F0D\u0F0E\u104A\u104B\u1362\u1367\u1368"
-    r"\u166E\u1735\u1736\u17D4\u17D5\u1803\u1809\u1944\u1945\u1AA8-\u1AAB\u1B4E\u1B4F\u1B5A\u1B5B\u1B5E\u1B5F\u1B7D-\u1B7F\u1C3B\u1C3C\u1C7E\u1C7F"
-    r"\u203C\u203D\u2047-\u2049\u2CF9-\u2CFB\u2E2E\u2E3C\u2E53\u2E54\u3002\uA4FF\uA60E\uA60F\uA6F3\uA6F7\uA876\uA877\uA8CE\uA8CF\uA92F\uA9C8\uA9C9"
-    r"\uAA5D-\uAA5F\uAAF0\uAAF1\uABEB\uFE12\uFE15\uFE16\uFE52\uFE56\uFE57\uFF01\uFF0E\uFF1F\uFF61\x{10A56}\x{10A57}\x{11047}\x{11048}"
+# The sentence ends of all scripts.
+SENTENCE_END = (
+    r"[.!?…\x{037E}\x{0589}\x{061D}-\x{061F}\x{06D4}\x{0700}-\x{0702}\x{07F9}\x{0837}\x{0839}\x{083D}\x{083E}\x{0964}\x{0965}\x{0F0D}\x{0F0E}\x{104A}\x{104B}\x{1362}\x{1367}\x{1368}"
+    r"\x{166E}\x{1735}\x{1736}\x{17D4}\x{17D5}\x{1803}\x{1809}\x{1944}\x{1945}\x{1AA8}-\x{1AAB}\x{1B4E}\x{1B4F}\x{1B5A}\x{1B5B}\x{1B5E}\x{1B5F}\x{1B7D}-\x{1B7F}\x{1C3B}\x{1C3C}\x{1C7E}\x{1C7F}"
+    r"\x{203C}\x{203D}\x{2047}-\x{2049}\x{2CF9}-\x{2CFB}\x{2E2E}\x{2E3C}\x{2E53}\x{2E54}\x{3002}\x{A4FF}\x{A60E}\x{A60F}\x{A6F3}\x{A6F7}\x{A876}\x{A877}\x{A8CE}\x{A8CF}\x{A92F}\x{A9C8}\x{A9C9}"
+    r"\x{AA5D}-\x{AA5F}\x{AAF0}\x{AAF1}\x{ABEB}\x{FE12}\x{FE15}\x{FE16}\x{FE52}\x{FE56}\x{FE57}\x{FF01}\x{FF0E}\x{FF1F}\x{FF61}\x{10A56}\x{10A57}\x{11047}\x{11048}"
     r"\x{110BE}-\x{110C1}\x{11141}-\x{11143}\x{111C5}\x{111C6}\x{111CD}\x{111DE}\x{111DF}\x{11238}\x{11239}\x{1123B}\x{1123C}\x{112A9}"
     r"\x{1144B}\x{1144C}\x{115C2}\x{115C3}\x{115C9}-\x{115D7}\x{11641}\x{11642}\x{1173C}-\x{1173E}\x{16A6E}\x{16A6F}\x{16AF5}"
     r"\x{16B37}\x{16B38}\x{16B44}\x{16E98}\x{1BC9F}\x{1DA88}]"
 )
-WHOLE_BOILERPLATE = (
-    r"(?i)(?<![\p{L}\p{N}])(share (this|on) |(accept (all )?cookies|cookie (policy|settings)|privacy policy"
-    r"|terms (of|and) (use|services?|conditions)|all rights reserved|enable javascript|skip to (main )?content|click here|sign (in|up)"
-    r"|log ?in|subscribe (now|to)|read more|back to top|newsletters?)(?![\p{L}\p{N}]))"
-)
 
 
 def words_of(text: Column) -> Column:
@@ -75,12 +71,12 @@ def measured(line: Column) -> Column:
     )
 
 
-def line_fails(x: Column, sentence_end: str = SENTENCE_END, boilerplate_phrase: str = BOILERPLATE) -> Column:
+def line_fails(x: Column) -> Column:
     """Whether a measured line fails a rule. Lines without a word never do."""
     crowded = (x["n_words"] >= CROWDED_WORDS) & (x["marks"] * 100 > x["chars"] * CROWDED_PERCENT)
-    unpunctuated = (x["n_words"] >= LONG_LINE_WORDS) & ~x["line"].rlike(sentence_end)
+    unpunctuated = (x["n_words"] >= LONG_LINE_WORDS) & ~x["line"].rlike(SENTENCE_END)
     navigation = (x["separators"] >= MIN_SEPARATORS) & (x["separators"] * 4 >= x["n_words"])
-    boilerplate = (x["n_words"] <= BOILERPLATE_WORDS) & x["line"].rlike(boilerplate_phrase)
+    boilerplate = (x["n_words"] <= BOILERPLATE_WORDS) & x["line"].rlike(BOILERPLATE_HINT) & x["line"].rlike(BOILERPLATE)
     return (x["chars"] > 0) & (crowded | unpunctuated | navigation | boilerplate)
 
 
@@ -124,9 +120,7 @@ RESULTS = [
 ]
 
 
-def clean_lines(
-    df: DataFrame, text: str = "text", sentence_end: str = SENTENCE_END, boilerplate_phrase: str = BOILERPLATE
-) -> DataFrame:
+def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the counts, ``clean_text`` (the lines that pass, in order) and the verdict ``kept``."""
     own = [c for c in df.columns if c.lower() not in {*RESULTS, "_t", "_w", "_r"}]
     df = df.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_t"))
@@ -143,7 +137,7 @@ def clean_lines(
     df = df.withColumns(
         {
             "_lines": F.transform(F.filter("_measured", lambda x: x["chars"] > 0), lambda x: x["line"]),
-            "_judged": F.transform("_measured", lambda x: F.struct(x["line"].alias("line"), line_fails(x, sentence_end, boilerplate_phrase).alias("fails"))),
+            "_judged": F.transform("_measured", lambda x: F.struct(x["line"].alias("line"), line_fails(x).alias("fails"))),
         }
     ).drop("_measured")
     passed = F.transform(F.filter("_judged", lambda x: ~x["fails"]), lambda x: x["line"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from sonoframe.llm.samples import excerpt, sampled_ids
+from sonoframe.llm.samples import excerpt, held_out, one_per_id, sampled_ids
 from sonoframe.llm.words import Words, segment_sums, word_hashes, words
 
 PER_LABEL = 1500
@@ -150,9 +150,10 @@ def fit(sample: list[tuple[str, int, float]], seed: int = 5, rounds: int = 12, b
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = PER_LABEL, seed: int = 5) -> Model:
     """Fit on a sample of the labelled documents that are not held out."""
-    counts = {r[label]: r["n"] for r in labels.groupBy(label).agg(F.count("*").alias("n")).filter(F.col(label).isin(0, 1)).collect()}
+    usable = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", label)
+    counts = {r[label]: r["n"] for r in usable.groupBy(label).agg(F.count("*").alias("n")).collect()}
     # The sample is bounded by its parameters, so the few ids may be broadcast.
-    ids = sampled_ids(labels.filter(F.col(label).isin(0, 1)), "doc_id", label, per_label, 2, seed).select("doc_id", label)
+    ids = one_per_id(sampled_ids(usable, "doc_id", label, per_label, 2, seed), "doc_id")
     drawn = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
 
     @F.arrow_udf("array<double>")
@@ -160,7 +161,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label
         return whole_statistics(texts)
 
     part = excerpt(F.col("text"), F.col("doc_id"), seed).alias("part")
-    rows = drawn.select(part, label, statistics_of(F.col("text")).alias("statistics")).collect()
+    rows = one_per_id(drawn.select("doc_id", part, label, statistics_of(F.col("text")).alias("statistics")), "doc_id").collect()
     drawn = {y: sum(r[label] == y for r in rows) for y in (0, 1)}
     weights = {y: counts[y] / drawn[y] for y in (0, 1) if drawn[y]}
     return fit([(r["part"], r[label], weights[r[label]], r["statistics"]) for r in rows], seed)
@@ -184,11 +185,11 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
     """``docs`` with the score of its ``text``."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array(score_texts(shipped.value, texts))
+        return pa.array(score_texts(Model(*shipped.value), texts))
 
     own = [c for c in docs.columns if c.lower() != name.lower()]
     return docs.select(*own, of(F.col("text").cast("string")).alias(name))

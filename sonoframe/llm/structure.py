@@ -14,7 +14,7 @@ and cut into pieces of ``PIECE_ROWS`` rows. A piece's product tells what is stil
 the pieces are unrolled in order, each run by halves, which gives the edits. Texts are moved twice: to their edit, and into order.
 
 Defined results: null roles and texts are one space; rows sort by turn (nulls first), role, the first ``HEAD`` characters and then
-the SHA-256 of the text, so equal rows are adjacent; a null conversation id is a conversation of its own; a conversation of which no row is left has no edits; an empty
+a fingerprint of the row, so equal rows are adjacent; a null conversation id is a conversation of its own; a conversation of which no row is left has no edits; an empty
 table gives an empty table; further columns are left out. The audit of a conversation is one value.
 """
 
@@ -225,8 +225,9 @@ def _in_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = BATCH_ROWS
 
 
 def fingerprint(*parts: Column) -> Column:
-    """SHA-256 of values of which only the last may hold a colon."""
-    return F.unhex(F.sha2(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts]).cast("binary"), 256))
+    """128 bits of the SHA-256 of values of which only the last may hold a colon."""
+    told = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])
+    return F.substring(F.unhex(F.sha2(told.cast("binary"), 256)), 1, 16)
 
 
 def turn_rows(turns: DataFrame, copies: Column) -> DataFrame:
@@ -372,7 +373,7 @@ def repaired(turns: DataFrame, copies: Column | None = None, piece_rows: int = P
     edits = edit_rows(stored(cut_pieces(faulty_rows(rows, hot_rows), piece_rows), "structure-pieces"))
     # Only rows that stay need their text, and each of them is another one, so no key of this join is hot.
     texts = rows.filter("copies > 0").groupBy("row").agg(F.first("text").alias("text"))
-    nothing = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), "place")))
+    nothing = F.substring(fingerprint(F.col("conv_id"), F.col("place")), 1, 8)
     edits = edits.withColumn("row", F.when(F.col("edit").isin(KEEP, REROLE), F.col("row")).otherwise(nothing))
     text = F.when(F.col("edit") == INSERT, F.lit("")).otherwise(F.col("text")).alias("text")
     found = edits.join(texts, "row", "left")

@@ -62,8 +62,13 @@ def plain(rows):
     )
 
 
-def in_order(rows):
-    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2][:64], hashlib.sha256(r[2].encode()).digest()))
+def in_order(rows, conv):
+    def key(row):
+        turn, role, text = row
+        told = f"{'-' if conv is None else conv}:{'-' if turn is None else turn}:{hashlib.sha256(text.encode()).hexdigest()}:{role}"
+        return turn is not None, turn or 0, role, text[:64], hashlib.sha256(told.encode()).digest()[:16]
+
+    return sorted(rows, key=key)
 
 
 def conversations(seed, n):
@@ -88,7 +93,7 @@ def test_repair_equals_the_plain_form(spark, piece_rows):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n int")
     edits = structure.repaired(turns, F.col("n"), piece_rows=piece_rows, hot_rows=20)
     got = {r[0]: tuple(r)[1:] for r in structure.summary(edits).collect()}
-    assert got == {c: plain(in_order(part)) for c, part in given.items()}
+    assert got == {c: plain(in_order(part, c)) for c, part in given.items()}
 
 
 def test_repaired_rows(spark):
@@ -108,7 +113,7 @@ def test_long_conversation_in_many_pieces(spark):
     rows += [(7, 5000, "user", "Same.")] * 500 + [(8, 0, "user", "Hi."), (8, 1, "assistant", "Hi.")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
     got = {r[0]: tuple(r)[1:] for r in structure.summary(structure.repaired(turns, piece_rows=64, hot_rows=100)).collect()}
-    assert got == {c: plain(in_order([r[1:] for r in rows if r[0] == c])) for c in (7, 8)}
+    assert got == {c: plain(in_order([r[1:] for r in rows if r[0] == c], c)) for c in (7, 8)}
 
 
 def test_runs_by_powers_equal_single_steps():
@@ -143,5 +148,5 @@ def test_query_equals_the_plain_form(spark, tmp_path):
         row = (r.turn, "user" if fate == 4 else role, text)
         given.setdefault(r.conv_id, []).extend([] if fate == 0 else [row, row] if fate == 3 else [row])
     got = {r[0]: tuple(r)[1:] for r in QUERIES["op12_structure"].build(spark, str(tmp_path)).collect()}
-    assert got == {c: plain(in_order(part)) for c, part in given.items()}
+    assert got == {c: plain(in_order(part, c)) for c, part in given.items()}
     assert ("", hashlib.sha256(b"").hexdigest()) in {g[-2:] for g in got.values()}

@@ -1,6 +1,9 @@
 """Packing, sharding, mixing, chat formatting, nearest neighbours and the pipeline on small tables."""
 
 import hashlib
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -16,6 +19,7 @@ from sonoframe.llm.tokens import token_ids, tokenizer
 from sonoframe.llm.stored import stored
 
 FOLDER = "/root/testdata/sf0.001"
+REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 ODD = [(1, None, None), (2, "", "a"), (3, "word " * 9000, "a"), (3, "word " * 9000, "a"), (None, "x  y\n z", None), (4, "</s> <|endoftext|>", "b")]
 
 
@@ -313,6 +317,34 @@ def test_pipeline_keeps_texts_of_several_languages(spark):
     assert [r["doc_id"] for r in found.filter("doc_id < 0").collect()] == [-1]
 
 
+def test_pipeline_compares_texts_that_share_an_id(spark):
+    rng = np.random.default_rng(1)
+    a, b, c, d = (" ".join(f"w{v}" for v in rng.integers(0, 5000, 60)) for _ in range(4))
+    near = a.replace(a.split()[30], "changed")
+    rows = [(6, a), (6, b), (6, a), (9, c), (None, c), (None, d), (2, near), (11, ""), (12, "")]
+    docs = spark.createDataFrame([(i, t, "x", "s", len(t), 5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, Kept int")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, FOLDER).collect()]
+    assert sorted(got, key=str) == sorted([(2, near), (6, b), (9, c), (None, d), (11, ""), (12, "")], key=str)
+
+
+def test_broadcast_models_need_no_package_on_the_workers(tmp_path):
+    """Queries in a session that starts in an empty folder, with the repository on the driver's path alone."""
+    script = f"""
+import importlib.util, sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+spec = importlib.util.spec_from_file_location("entry", "{REPO}/__spark_entry__.py")
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+for name in ("op1_nearest", "op3_language", "op8_quality", "op13_toxicity"):
+    print(name, entry.queries()[name](spark, "{FOLDER}").count())
+"""
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=600)
+    assert done.stdout.count("\n") == 4, done.stderr[-3000:]
+
+
 def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
@@ -322,4 +354,4 @@ def test_pipeline_on_an_empty_table(spark):
 
 def test_every_operator_is_registered():
     numbers = {name.split("_")[0] for name in queries.QUERIES}
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == numbers
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == numbers

@@ -2,14 +2,17 @@
 
 import itertools
 import re
+import tracemalloc
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sonoframe.llm import language, licenses, line_rules, near_dup, quality, samples
+from sonoframe.llm import language, licenses, line_rules, near_dup, quality, queries, samples
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLDER = "/root/testdata/sf0.001"
@@ -71,6 +74,22 @@ def test_lines_fail_by_their_own_rule(spark):
     assert not line_rules.clean_lines(spark.createDataFrame([(1, lost)], "doc_id long, text string")).first()["kept"]
 
 
+def test_registered_rules_keep_clean_lines(spark, tmp_path):
+    """Words that merely hold a phrase, and sentences that end in the marks of any script, are not boilerplate."""
+    said = ["They had to resign in the spring of that year.", "The catalog in June was long.", "A redesign upset nobody at all in town."]
+    gone = ["Sign in", "SIGN UP!", "Please log in", "Read more", "All rights reserved"]
+    scripts = [" ".join(f"{'कखगघ'[i % 4]}{i}" for i in range(45)) + end for end in "।؟。。"]
+    texts = ["\n".join([*said, *gone]), *scripts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    query = queries.QUERIES["op9_line_rules"]
+    got = {r["doc_id"]: r for r in query.build(spark, str(tmp_path)).collect()}
+    assert [got[i]["n_failed_lines"] for i in range(len(texts))] == [len(gone), 0, 0, 0, 0]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        rows = db.execute(f"SELECT doc_id, n_failed_lines, kept_chars FROM ({query.sql}) ORDER BY 1").fetchall()
+    assert rows == [(i, got[i]["n_failed_lines"], got[i]["kept_chars"]) for i in range(len(texts))]
+
+
 def test_pipeline_keeps_lines_of_all_scripts(spark):
     ends = "।॥؟۔።။។։？｡"
     lines = [" ".join(f"{'कखगघ'[i % 4]}{i}" for i in range(45)) + end for end in ends]
@@ -111,6 +130,32 @@ def test_forward_backward_is_exact():
     assert np.allclose(pairs, expected_pairs)
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 512])
+def test_posteriors_in_blocks_equal_one_chain(block):
+    rng = np.random.default_rng(block)
+    lengths = [0, 1, 40, 3, 0, 17, 6]
+    bounds = np.concatenate(([0], np.cumsum(lengths)))
+    scores, transitions = rng.normal(size=(bounds[-1], 4)) * 3, rng.normal(size=(4, 4))
+    want, _ = language.forward_backward(scores, bounds, transitions)
+    factors = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float32)
+    assert np.allclose(language.posteriors(factors, bounds, np.exp(transitions), block), want, atol=1e-5)
+
+
+def test_one_very_long_text_and_many_labels_stay_small():
+    rng = np.random.default_rng(2)
+    labels = [f"l{i}" for i in range(80)]
+    stems = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in labels]
+    sample = [(" ".join(f"{s}{rng.integers(50)}" for _ in range(30)), label) for s, label in zip(stems, labels, strict=True) for _ in range(3)]
+    model = language.fit(sample, rounds=2)
+    one = " ".join(f"{stems[7]}{i % 50}" for i in range(150_000))
+    tracemalloc.start()
+    best, score, _ = language.label_texts(model, pa.array([one, sample[0][0], None]))
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [labels[best[0]], labels[best[1]], best[2]] == ["l7", "l0", -1] and score[0] > 0.9
+    assert used < 3 * 150_000 * 80 * 4 + (100 << 20)
+
+
 def test_language_of_held_out_documents(tables, language_model):
     found = language.identify(tables["documents"], language_model).collect()
     held = [r for r in found if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
@@ -186,6 +231,22 @@ def test_quality_of_held_out_documents(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.95
 
 
+def test_held_out_labels_change_nothing(spark, tables):
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").select("doc_id", "quality")
+    apart = samples.held_out(F.col("doc_id"))
+    told = [labels.withColumn("quality", F.when(apart, y).otherwise(F.col("quality"))) for y in (0, 1, None)]
+    models = [quality.fit_on(tables["documents"], t) for t in (labels, *told)]
+    for other in models[1:]:
+        assert other.bias == models[0].bias
+        assert all(np.array_equal(a, b) for a, b in zip(other[1:], models[0][1:], strict=True))
+
+
+def test_an_id_that_many_rows_share_is_drawn_once(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("text"), (F.col("id") % 2).alias("y"))
+    drawn = samples.one_per_id(samples.sampled_ids(rows, "doc_id", "y", 3000, 2, 1), "doc_id")
+    assert drawn.filter("doc_id = 7").count() <= 1 and drawn.count() > 400
+
+
 def test_quality_of_long_texts_is_learned(spark):
     rng = np.random.default_rng(7)
     texts = [" ".join(f"{'good' if i % 2 else 'bad'}{w}" for w in rng.integers(0, 50, 5000)) for i in range(60)]
