@@ -152,7 +152,7 @@ def test_one_very_long_text_and_many_labels_stay_small():
     best, score, _ = language.label_texts(model, pa.array([one, sample[0][0], None]))
     used = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert [labels[best[0]], labels[best[1]], best[2]] == ["l7", "l0", -1] and score[0] > 0.9
+    assert [model.labels[best[0]], model.labels[best[1]], best[2]] == ["l7", "l0", -1] and score[0] > 0.9
     assert used < 3 * 150_000 * 80 * 4 + (100 << 20)
 
 
@@ -357,3 +357,49 @@ def test_unknown_licences_and_odd_rows(spark, odd, licence_model):
     assert {(r["doc_id"], r["paragraph"], r["family"], r["confirmed"]) for r in found} == {(0, 0, "unknown", False), (1, 1, "MPL-2.0", True)}
     assert licenses.scan(odd, licence_model).collect() == []
     assert licenses.scan(empty(odd), licence_model).collect() == []
+
+
+SHORT_FORMS = {
+    "License: MIT": {"MIT"}, "MIT licensed": {"MIT"}, "GPLv3": {"GPL"}, "Licensed under GPLv3.": {"GPL"},
+    "Licensed under the Apache License, Version 2.0. Also released under the MIT License.": {"Apache-2.0", "MIT"},
+    "Dual licensed under the MIT License and the Apache License, Version 2.0.": {"MIT", "Apache-2.0"},
+    "Licensed under the GNU Lesser General Public License, version 2.1.": {"LGPL"},
+    "Licensed under the GNU Affero General Public License, version 3.": {"AGPL"},
+    "Released under CC0.": {"CC0"}, "This image is in the public domain.": {"Public-Domain"}, "This code is under the BSD license.": {"BSD"},
+}
+
+
+@pytest.mark.parametrize("around", ["", "long"])
+def test_every_family_of_a_paragraph_is_found(spark, tables, licence_model, around):
+    prose = next(r["text"] for r in tables["documents"].filter("lang = 'en' AND length(text) > 3000").collect())
+    words = re.sub(r"[^a-z ]", " ", prose.lower()).split()[:400]
+    texts = [f"{' '.join(words)}. {t} {' '.join(words)}." if around else t for t in SHORT_FORMS]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licence_model).collect()
+    got = {i: {r["family"] for r in found if r["doc_id"] == i} for i in range(len(texts))}
+    assert got == dict(enumerate(SHORT_FORMS.values()))
+
+
+def test_licence_logits_equal_numpy(spark, tables, licence_model):
+    """Every sentence of every text, scored by the whole weight matrix."""
+    rows = licenses.scored(tables["documents"], licence_model).collect()
+    lines = {(r["doc_id"], r["paragraph"]): r["paragraph_text"] for r in rows}
+    listed = spark.createDataFrame([(*k, t) for k, t in lines.items()], "doc_id long, paragraph long, t string")
+    cut = listed.select("doc_id", "paragraph", F.posexplode(licenses.sentences(F.col("t"))).alias("sentence", "t"))
+    grams = {(r[0], r[1], r[2]): set(r[3]) for r in cut.select("doc_id", "paragraph", "sentence", licenses.ngrams(F.col("t"))).collect()}
+    place, telling = {g: i for i, g in enumerate(licence_model.vocabulary)}, set(licence_model.telling)
+    want = {}
+    for key, own in grams.items():
+        if own & telling:
+            x = np.zeros(len(place))
+            x[[place[g] for g in own if g in place]] = 1
+            want[key] = licence_model.weights @ x + licence_model.bias
+    got = {(r["doc_id"], r["paragraph"], r["sentence"]): r["logits"] for r in rows}
+    assert got.keys() == want.keys() and len(got) > 10
+    assert all(np.allclose(got[k], want[k]) for k in got)
+
+
+def test_long_texts_are_fitted_on_too(spark):
+    prose = "word " * 6000
+    docs = spark.createDataFrame([(i, f"{prose}\nmit dem licensed wagen\n") for i in range(30)], "doc_id long, text string")
+    model = licenses.fit_on(docs, 300)
+    assert len(model.telling) <= len(model.vocabulary) and model.classes == list(licenses.TEMPLATES)
