@@ -7,7 +7,8 @@ in a global random order, by a hash too. Only built-in functions are used.
 
 Inversion walks along a table of cumulative probabilities, which is built once per source. A
 rate above ``PART`` is cut into equal parts that are drawn one by one and summed, which is
-again Poisson, so no rate is capped.
+again Poisson, so no rate is capped. The copies of rows with a high rate are made in ranges of
+``RANGE``, which are spread over tasks before any of them is.
 
 Defined results: a null source is a source of its own; a null text counts one character; equal
 ids draw equal counts; a source without weight (or weight 0) is left out when weights are
@@ -16,10 +17,12 @@ given; an empty table gives an empty table.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sonoframe.operators.joins import lookup_join
+
 PART = 16.0
 STEPS = 96  # terms of the table: beyond them lies less than 2**-52 for a mean of 16
-FEW_SOURCES = 10_000  # so many rates (under 20 MB with their tables) are broadcast, more are joined
-PIECES = 16
+HIGH_RATE = 512.0  # above it the copies of a row are spread over tasks
+RANGE = 1024
 COPY_COLUMNS = ("n_copies", "copy", "rate", "shuffle_key")
 
 
@@ -70,15 +73,6 @@ def repetition_rates(
     return rates.select("_source", "rate", "_parts", terms.alias("_table"))
 
 
-def with_rates(docs: DataFrame, rates: DataFrame, record_id: str) -> DataFrame:
-    """Joined by source. Few rates are broadcast; many are joined with hot sources dealt to pieces."""
-    if rates.select("_source").limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
-        return docs.join(F.broadcast(rates), "_source")
-    dealt = docs.withColumn("_piece", F.pmod(F.xxhash64(record_id), F.lit(PIECES)))
-    copied = rates.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)).cast("array<bigint>")))
-    return dealt.join(copied, ["_source", "_piece"]).drop("_piece")
-
-
 def poisson_mix(
     docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, seed: int = 11,
     record_id: str = "doc_id", source: str = "source", text: str = "text",
@@ -91,7 +85,15 @@ def poisson_mix(
     parts = F.sequence(F.lit(1).cast("bigint"), F.col("_parts"))
     draws = F.transform(parts, lambda part: uniform(F.lit(seed), F.col(record_id), part))
     drawn = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("_table", lambda c: c <= u)))
-    counted = with_rates(docs, rates, record_id).withColumn("n_copies", drawn).filter("n_copies > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    rated = lookup_join(docs, rates, ["_source"])
+    first = F.col("_range") * RANGE
+    # Rates are looked at before anything is drawn, so either kind of row is drawn once.
+    few = rated.filter(F.col("rate") <= HIGH_RATE).withColumn("n_copies", drawn).filter("n_copies > 0")
+    few = few.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
+    many = rated.filter(F.col("rate") > HIGH_RATE).withColumn("n_copies", drawn).filter("n_copies > 0")
+    ranges = F.sequence(F.lit(0), F.floor((F.col("n_copies") - 1) / RANGE).cast("int"))
+    many = many.withColumn("_range", F.explode(ranges)).repartition(record_id, "_range")
+    many = many.withColumn("copy", F.explode(F.sequence(first, F.least(first + RANGE, F.col("n_copies")) - 1)))
+    copies = few.unionByName(many.drop("_range"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(record_id).cast("string"), F.lit("")), "copy"))
     return copies.withColumn("shuffle_key", key).select(*own, *COPY_COLUMNS).orderBy("shuffle_key", "copy")

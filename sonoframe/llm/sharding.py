@@ -16,6 +16,7 @@ cannot be told apart and share a bucket.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET_BYTES = 16 << 20  # of text in a bucket; a task holds one bucket a few times over
+TASK_BUCKETS = 4
 
 
 def rendezvous(record_id: Column, n_shards: int, seed: int) -> Column:
@@ -51,9 +52,12 @@ def two_pass_shuffle(
     key = F.col(record_id)
     place = {
         "shard": rendezvous(key, n_shards, seed),
-        "bucket": F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), key, F.octet_length(text)), F.lit(n_buckets)),
+        "bucket": F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), key, F.col(text)), F.lit(n_buckets)),
     }
+    # A few buckets to a task, however many there are.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_shards * n_buckets // TASK_BUCKETS))
     scattered = docs.select(F.struct(*[F.col(c) for c in own]).alias("row"), *[v.alias(k) for k, v in place.items()])
+    scattered = scattered.repartition(tasks, "shard", "bucket")
     counts = docs.select(*[v.alias(k) for k, v in place.items()]).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -136,16 +136,29 @@ def test_copies_follow_the_rate(spark):
     assert {r["source"] for r in mixing.poisson_mix(docs, {"hot": 3.0}).select("source").distinct().collect()} == {"hot"}
 
 
-def test_many_sources_are_joined_alike(spark, odd, monkeypatch):
+def test_ranges_of_copies_give_the_same_mix(spark, odd, monkeypatch):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    broadcast = [tuple(r) for r in mixing.poisson_mix(docs).collect()]
-    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
-    assert [tuple(r) for r in mixing.poisson_mix(docs).collect()] == broadcast
+    plain = [tuple(r) for r in mixing.poisson_mix(docs, epochs=3.0).collect()]
+    monkeypatch.setattr(mixing, "HIGH_RATE", 2.5)
+    monkeypatch.setattr(mixing, "RANGE", 2)
+    assert [tuple(r) for r in mixing.poisson_mix(docs, epochs=3.0).collect()] == plain
     assert mixing.poisson_mix(odd).columns[-4:] == list(mixing.COPY_COLUMNS)
     assert {r["doc_id"] for r in mixing.poisson_mix(odd, epochs=40.0).collect()} == {1, 2, 3, 4, None}
     assert mixing.poisson_mix(odd.limit(0)).collect() == []
 
 
+def test_a_tiny_source_is_copied_by_many_tasks(spark):
+    """One short row must fill half of the mix; no task makes all of its copies."""
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, "tiny").otherwise("big").alias("source"), F.lit("abcd").alias("text"))
+    mixed = mixing.poisson_mix(docs)
+    counts = mixed.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("copies")).collect()
+    tiny = next(r for r in counts if r["source"] == "tiny")
+    assert abs(tiny["n"] / 100_000 - 1) < 0.02 and tiny["copies"] == tiny["n"]
+    made = mixed.filter("source = 'tiny'")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "_range" in plan
+
+
 # --- chat
 
 
