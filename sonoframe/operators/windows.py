@@ -12,6 +12,7 @@ from sonoframe.functions.arrays import quotient
 from sonoframe.functions.audio import payload_is_whole
 from sonoframe.operators.joins import lookup_join
 from sonoframe.operators.running import running_sum, sequence_numbers
+from sonoframe.shared import shared_path
 
 FINAL = -1  # block number of a session's last span
 
@@ -139,8 +140,14 @@ def cut_frames(frames: DataFrame, keys: list[str], frame: int, chunk: int, strid
 
     A frame computes the windows it lies in and sends each of them the part it
     needs, so there is no table of windows and no join. Windows are those of
-    ``recording_windows``: ``win_idx, start, end, samples``.
+    ``recording_windows``: ``win_idx, start, end, samples``. ``chunk`` 0 puts every recording together whole, in one value.
     """
+    if not chunk:
+        parts = F.sort_array(F.collect_list(F.struct("frame_idx", "samples")))
+        whole = frames.groupBy(*keys).agg(F.max("n_samples").alias("end"), parts.alias("_parts"))
+        zero = F.lit(0).cast("bigint")
+        joined = F.flatten(F.transform("_parts", lambda p: p["samples"]))
+        return whole.select(*keys, zero.alias("win_idx"), zero.alias("start"), F.col("end").cast("bigint").alias("end"), joined.alias("samples"))
     stride = stride or chunk
     n = F.col("n_samples")
     begin = F.col("frame_idx").cast("bigint") * frame
@@ -200,19 +207,42 @@ def count_samples(chunks: DataFrame) -> DataFrame:
 
 def heard_chunks(chunks: DataFrame) -> DataFrame:
     """The chunks a live stream would take: one of each number, up to the first that closes the
-    session and not beyond the first number that is missing.
+    session and not beyond the first number that is missing: ``(_session, seq, n, eos)``, numbers only.
 
-    Where a session ends is found on numbers alone; payloads are shuffled to drop repeats
-    and to meet their session's end, which is dealt out for long sessions.
+    ``chunks`` has ``session, seq, eos, n``. Of repeats the shortest counts. Numbers are stored in the shared folder, so a payload is not
+    looked at again for them.
     """
-    once = chunks.dropDuplicates(["session", "seq"]).withColumn("_session", F.struct("session"))
+    eos = F.coalesce("eos", F.lit(False)).alias("eos")
+    told = chunks.select(F.struct("session").alias("_session"), "seq", F.struct("n", eos).alias("_copy"))
+    once = told.groupBy("_session", "seq").agg(F.min("_copy").alias("_copy")).select("_session", "seq", "_copy.n", "_copy.eos")
+    path = shared_path(chunks.sparkSession, "heard-chunks")
+    once.write.parquet(path)
+    once = chunks.sparkSession.read.schema(once.schema).parquet(path)
     numbered = sequence_numbers(once.select("_session", "seq", "eos"), ["_session"], "seq", "_n")
     ends = numbered.groupBy("_session").agg(
         F.min(F.when(F.col("eos"), F.col("seq"))).alias("_last"), F.min(F.when(F.col("seq") != F.col("_n"), F.col("seq"))).alias("_gap")
     )
     placed = lookup_join(once, ends, ["_session"])
     in_time = (F.col("seq") <= F.coalesce("_last", "seq")) & (F.col("_gap").isNull() | (F.col("seq") < F.col("_gap")))
-    return placed.filter(in_time).select(*chunks.columns)
+    return placed.filter(in_time).select("_session", "seq", "n", "eos")
+
+
+def replayed_spans(chunks: DataFrame, chunk: int, stride: int, windows_per_span: int = 64) -> DataFrame:
+    """Spans of stored sessions as the live stream would have heard them, repeats, late rows and gaps included.
+
+    All is decided on numbers. A payload is then moved to its offsets (or, if they are few, they to it), and once more to its span.
+    """
+    counted = chunks if "n_samples" in chunks.columns else count_samples(chunks)
+    rows = counted.select("session", "seq", "payload", "eos", F.col("n_samples").alias("n"))
+    offsets = chunk_offsets(
+        heard_chunks(rows), ["_session"], "seq", "n", total="total",
+        key_max={"last_seq": F.col("seq"), "closed": F.col("eos")},
+    )
+    offsets = offsets.filter("n > 0").select("_session", F.col("seq").alias("_seq"), F.col("n").alias("_n"), "before", "upto", "total", "last_seq", "closed")
+    keyed = rows.filter("n > 0").withColumn("_session", F.struct("session"))
+    same = (keyed["_session"] == offsets["_session"]) & (keyed["seq"] == offsets["_seq"]) & (keyed["n"] == offsets["_n"])
+    placed = keyed.join(offsets, same).select("session", "seq", "payload", "n", "before", "upto", "total", "last_seq", "closed")
+    return _gathered_spans(placed, chunk, stride, windows_per_span)
 
 
 def chunk_spans(
@@ -234,7 +264,12 @@ def chunk_spans(
         sized, ["session"], "seq", "n", total="total", block=block,  # small: rows carry samples
         key_max={"last_seq": F.col("seq"), "closed": F.coalesce("eos", F.lit(False))},
     )
-    placed = offsets.filter("n > 0").withColumn("done", windows_done(F.col("total"), chunk, stride))
+    return _gathered_spans(offsets.filter("n > 0"), chunk, stride, windows_per_span)
+
+
+def _gathered_spans(offsets: DataFrame, chunk: int, stride: int, windows_per_span: int) -> DataFrame:
+    """Spans of chunks that know their offsets and the whole of their session. A repeated chunk counts once."""
+    placed = offsets.withColumn("done", windows_done(F.col("total"), chunk, stride))
     hop = stride * windows_per_span
     # Partial spans that [before, upto) reaches into: the last one starts before
     # ``upto``, the first one has windows that end after ``before``.
@@ -274,7 +309,9 @@ def chunk_spans(
     spans = pieces.withColumn("seq", sender).groupBy("session", "kind", "first_win", "n_win", "start", "end").agg(
         ordered.alias("_pieces")
     )
-    return spans.select(
+    # Chunks have samples, so none but a repeat begins where another one does.
+    once = F.filter("_pieces", lambda x, i: (i == 0) | (F.get("_pieces", i - 1)["_at"] != x["_at"]))
+    return spans.withColumn("_pieces", once).select(
         "session",
         "kind",
         "first_win",

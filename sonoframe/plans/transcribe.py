@@ -6,8 +6,7 @@ from sonoframe.functions.audio import Resampler, convert_payload, linear_resampl
 from sonoframe.functions.recognise import RecogniserFactory, spread, transcribe_spans, transcribe_windows
 from sonoframe.functions.text import segment_label, strip
 from sonoframe.operators.concat import concat_segments
-from sonoframe.operators.windows import chunk_spans, cut_frames, heard_chunks, window_sizes
-from sonoframe.shared import shared_path
+from sonoframe.operators.windows import cut_frames, replayed_spans, window_sizes
 from sonoframe.sources.audio import read_audio_windows
 
 
@@ -56,7 +55,8 @@ def transcribe_frames(
 ) -> DataFrame:
     """Recordings of any length, stored as frames (``frame_idx, n_samples, samples``), to
     ``(keys, text)``. No row and no group holds more than one window of samples."""
-    chunk, _ = window_sizes(chunk_length_s, chunk_length_s, sampling_rate)
+    # A window of 0 seconds is the whole recording, of whatever length.
+    chunk = window_sizes(chunk_length_s, chunk_length_s, sampling_rate)[0] if chunk_length_s else 0
     heard = transcribe_windows(cut_frames(frames, keys, frame, chunk), factory, sampling_rate)
     return concat_segments(heard, keys, "win_idx", mode="strip_each")
 
@@ -99,12 +99,9 @@ def replay_sessions(
     chunk, stride = window_sizes(chunk_s, stride_s, sampling_rate)
     payload = convert_payload(F.col("payload"), source_rate or sampling_rate, sampling_rate, channels, resampler)
     whole = F.when(payload_is_whole(payload), payload)
-    # Written once, so that repeats are dropped once; offsets then read numbers only.
-    path = shared_path(chunks.sparkSession, "heard-chunks")
-    heard_chunks(chunks).write.parquet(path)
-    stored = chunks.sparkSession.read.schema(chunks.schema).parquet(path).withColumn("payload", whole)
+    rows = chunks.withColumn("payload", whole)
     if source_rate not in (None, sampling_rate) or channels > 1:
-        stored = stored.drop("n_samples")  # it counted other samples
-    heard = transcribe_spans(chunk_spans(stored, chunk, stride), factory, sampling_rate, chunk, stride)
+        rows = rows.drop("n_samples")  # it counted other samples
+    heard = transcribe_spans(replayed_spans(rows, chunk, stride), factory, sampling_rate, chunk, stride)
     # The windows that one chunk completes may lie in several spans.
     return concat_segments(heard, ["session", "seq", "type"], "win_idx")

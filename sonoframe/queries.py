@@ -1108,3 +1108,34 @@ def replayed_sessions(spark, folder):
     windows.count_samples(chunk_table(spark, folder)).write.parquet(path)
     stored = spark.read.schema(f"{CHUNK_SCHEMA.toDDL()}, n_samples bigint").parquet(path)
     return transcribe.replay_sessions(stored, sample_sums, RATE, CHUNK / RATE, STRIDE / RATE)
+
+
+@query(HEARD_SQL)
+def replayed_with_duplicates(spark, folder):
+    """The same again from rows that were sent twice, and with rows that came after their session's end."""
+    path = shared_path(spark, "chunks")
+    chunks = chunk_table(spark, folder)
+    chunks.write.parquet(path)
+    stored = spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    repeats = stored.filter(F.xxhash64("session", "seq") % 3 == 0)
+    late = stored.filter("seq % 5 = 0 AND NOT eos").withColumn("seq", F.col("seq") + 1_000_000)
+    everything = stored.unionByName(repeats).unionByName(late).unionByName(stored.filter("eos"))
+    return transcribe.replay_sessions(everything, sample_sums, RATE, CHUNK / RATE, STRIDE / RATE)
+
+
+@query(
+    f"""SELECT audio, {norm_sql('sentence')} AS text FROM ({CORPUS_SQL}) WHERE split IN ('train', 'validation')"""
+)
+def decoded_labels(spark, folder):
+    """Padded label batches back to text."""
+    ready = columns.prune_columns(columns.map_transcript(corpus(spark, folder)))
+    vocab = lexicon.char_vocabulary(ready, "transcript")
+    train, evaluation = training.build_training_table(ready, vocab)
+    decoded = training.decode_labels(train.unionByName(evaluation), "labels", vocab, pad_id=0)
+    return decoded.select("audio", "text")
+
+
+@query(f"SELECT label, total AS text FROM (SELECT label, len(x) || ':' || list_sum(list_transform(x, lambda v: floor(v::DOUBLE * 1000)))::BIGINT AS total FROM ({LONG_SQL}))")
+def transcribe_whole_frames(spark, folder):
+    """Recordings stored as frames, each heard as one window."""
+    return transcribe.transcribe_frames(long_recordings(spark, folder), ["label"], 64, sample_sums, 0, RATE)

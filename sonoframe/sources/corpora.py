@@ -26,6 +26,7 @@ from sonoframe.sources.listing import is_known, list_files, opened
 
 CORPUS_SPLITS = ("train", "test", "validation")  # fixed values
 WAVES, PROMPTS = "waves", "prompts.txt"  # fixed values
+PARTITION_TYPES = "spark.sql.sources.partitionColumnTypeInference.enabled"  # a fixed value: Spark's name of the setting
 
 
 def _absolute(path: str) -> str:
@@ -88,7 +89,8 @@ def read_vivos_corpus(spark: SparkSession, root: str) -> DataFrame:
 def read_split_table(
     spark: SparkSession, path: str | dict[str, str], fmt: str = "parquet"
 ) -> DataFrame:
-    """A column corpus with a ``split`` column: one partitioned path, or a path per split."""
+    """A column corpus with a ``split`` column: one partitioned path, or a path per split. A split's name is what its
+    folder says, ``01`` included."""
 
     def load(one: str) -> DataFrame:
         one = expand(one)
@@ -99,7 +101,12 @@ def read_split_table(
 
     if isinstance(path, dict):
         return union_splits({split: load(p) for split, p in path.items()})
-    table = load(path)
+    guessed = spark.conf.get(PARTITION_TYPES, "true")
+    spark.conf.set(PARTITION_TYPES, "false")
+    try:
+        table = load(path)
+    finally:
+        spark.conf.set(PARTITION_TYPES, guessed)
     return table.withColumn("split", F.col("split").cast("string"))
 
 

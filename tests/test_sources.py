@@ -498,3 +498,12 @@ def test_every_named_recording_is_read(spark, tmp_path):
     assert read_audio(spark, [str(tmp_path / "a.wav"), str(tmp_path / "b.dat")]).count() == 2
     assert read_audio(spark, str(tmp_path / "b.dat")).count() == 1
     assert read_audio(spark, str(tmp_path)).count() == 1
+
+
+def test_split_names_stay_as_they_are(spark, tmp_path):
+    table = spark.createDataFrame([("train", "a.wav", "x"), ("01", "b.wav", "y"), ("2", "c.wav", "z")], "split string, audio string, sentence string")
+    table.write.partitionBy("split").parquet(str(tmp_path / "t"))
+    numbers = table.filter("split <> 'train'")
+    numbers.write.partitionBy("split").parquet(str(tmp_path / "n"))
+    assert rows(read_vivos_table(spark, str(tmp_path / "n"), "01", "2"), "split", "audio") == [("01", "b.wav"), ("2", "c.wav")]
+    assert spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == "true"
