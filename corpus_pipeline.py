@@ -44,7 +44,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     first = named.groupBy("component_id").agg(F.min(order).alias("first"))
     kept = stored(first.select(F.col("first._row").alias("_row")), "kept")
-    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
+    # One way of joining at every size: a broadcast that only small tables get would make the shuffle grow faster than the input.
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
