@@ -21,6 +21,7 @@ from sonoframe.operators.joins import lookup_join
 
 PART = 16.0
 STEPS = 96  # terms of the table: beyond them lies less than 2**-52 for a mean of 16
+FEW_SOURCES = 10_000  # so many rates (under 20 MB with their tables) are broadcast, more are joined
 HIGH_RATE = 512.0  # above it the copies of a row are spread over tasks
 RANGE = 1024
 COPY_COLUMNS = ("n_copies", "copy", "rate", "shuffle_key")
@@ -73,6 +74,13 @@ def repetition_rates(
     return rates.select("_source", "rate", "_parts", terms.alias("_table"))
 
 
+def with_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
+    """Joined by source. Rates are broadcast once they are known to be few; many are joined, with hot sources dealt out."""
+    if rates.select("_source").limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        return docs.join(F.broadcast(rates), "_source")
+    return lookup_join(docs, rates, ["_source"])
+
+
 def poisson_mix(
     docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, seed: int = 11,
     record_id: str = "doc_id", source: str = "source", text: str = "text",
@@ -85,7 +93,7 @@ def poisson_mix(
     parts = F.sequence(F.lit(1).cast("bigint"), F.col("_parts"))
     draws = F.transform(parts, lambda part: uniform(F.lit(seed), F.col(record_id), part))
     drawn = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("_table", lambda c: c <= u)))
-    rated = lookup_join(docs, rates, ["_source"])
+    rated = with_rates(docs, rates)
     first = F.col("_range") * RANGE
     # Rates are looked at before anything is drawn, so either kind of row is drawn once.
     few = rated.filter(F.col("rate") <= HIGH_RATE).withColumn("n_copies", drawn).filter("n_copies > 0")
