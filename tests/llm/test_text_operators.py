@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import string
 import tracemalloc
 import zlib
 
@@ -90,6 +91,16 @@ def test_registered_rules_keep_clean_lines(spark, tmp_path):
     assert rows == [(i, got[i]["n_failed_lines"], got[i]["kept_chars"]) for i in range(len(texts))]
 
 
+def test_sentence_ends_are_found_the_fast_way_too(spark):
+    """Every code point alone, by the list of all scripts and by what the line rules use."""
+    codes = [c for c in range(1, 0x1E000) if not 0xD800 <= c < 0xE000]
+    points = spark.createDataFrame([(c, chr(c)) for c in codes], "code int, line string")
+    found = points.select("code", F.col("line").rlike(line_rules.SENTENCE_END).alias("listed"), line_rules.ends_sentence(F.col("line")).alias("fast"))
+    assert found.filter("listed <> fast").collect() == [] and found.filter("fast").count() > 100
+    marks = points.filter(F.col("line").rlike(line_rules.PUNCTUATION)).select("code").collect()
+    assert sorted(r["code"] for r in marks) == sorted(map(ord, string.punctuation))
+
+
 def test_pipeline_keeps_lines_of_all_scripts(spark):
     ends = "।॥؟۔።။។։？｡"
     lines = [" ".join(f"{'कखगघ'[i % 4]}{i}" for i in range(45)) + end for end in ends]
