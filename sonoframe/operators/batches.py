@@ -4,7 +4,7 @@ A batch is some neighbouring rows of one task, so nothing has to move to form on
 holds a batch, learns its longest row, pads all of its columns and goes on. Samples and features are never shuffled.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, types as T
 from sonoframe.functions.arrays import IGNORED_LABEL
 from sonoframe.operators.labels import LABEL_MULTIPLE
 
-MOST_VALUES = 1 << 24  # padded values of a column that are built together, or one batch
+MOST_VALUES = 1 << 20  # padded values of a column that are built together, or one batch
+SLICE_BYTES = 4 << 20  # of an Arrow batch looked at together, or one row
 TASK_BITS = 33  # a batch id is a task's number, shifted by so much, plus a running number
 
 
@@ -77,11 +78,13 @@ def form_batches(
     value: float = 0.0,
     attention_mask: bool = True,
     name: str = "batch_id",
+    encode: Callable[[pa.Array], pa.Array] | None = None,
 ) -> DataFrame:
     """``df`` in batches of ``batch_size`` neighbouring rows, padded: adds ``batch_id``, ``label_length`` and,
     with features (one value or one list of them per frame), ``input_length``, the lengths before padding.
 
-    Labels are masked as ``pad_labels`` does. Nothing is shuffled. The last batch of a task may be short; a missing
+    Labels are masked as ``pad_labels`` does. With ``encode`` the column of labels holds texts, and that function makes lists of
+    ids of them in the same pass, a slice of rows at a time. Nothing is shuffled. The last batch of a task may be short; a missing
     row of labels or features stays missing.
     """
     if mode not in ("ctc", "seq2seq"):
@@ -93,11 +96,13 @@ def form_batches(
     masked = pad_id if mode == "seq2seq" or not attention_mask else None
     lengths = [("label_length", labels), *([("input_length", features)] if features else [])]
     own = [f for f in df.schema.fields if f.name not in (name, *[n for n, _ in lengths])]
+    if encode:
+        own = [T.StructField(labels, T.ArrayType(T.IntegerType())) if f.name == labels else f for f in own]
     schema = T.StructType([*own, T.StructField(name, T.LongType()), *[T.StructField(n, T.IntegerType()) for n, _ in lengths]])
     names = [f.name for f in own]
     rounded = multiple if mode == "seq2seq" and multiple else 1
-    types = {c: df.schema[c].dataType for _, c in lengths}
-    if not all(isinstance(t, T.ArrayType) for t in types.values()):
+    types = {f.name: f.dataType for f in own}
+    if not all(isinstance(types[c], T.ArrayType) for _, c in lengths):
         raise TypeError("labels and features must be arrays")
 
     def padded(rows: pa.RecordBatch, first: int) -> Iterator[pa.RecordBatch]:
@@ -118,16 +123,29 @@ def form_batches(
                 columns[c] = padded_column(columns[c], longest[c][of], fill, gone)
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(first + of, pa.int64()), *told], schema.names)
 
+    def sliced(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        step = max(1, rows.num_rows * SLICE_BYTES // max(1, rows.nbytes))
+        for at in range(0, rows.num_rows, step):
+            part = rows.slice(at, step)
+            columns = {c: part.column(c) for c in names}
+            if encode:
+                columns[labels] = encode(columns[labels])
+            yield pa.RecordBatch.from_arrays([*columns.values()], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, held = TaskContext.get().partitionId() << TASK_BITS, None
-        for rows in batches:
-            if held is not None and held.num_rows:
-                rows = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0] if rows.num_rows else held
-            whole = rows.num_rows // batch_size * batch_size
-            if whole:
-                yield from padded(rows.slice(0, whole), made)
-            made, held = made + whole // batch_size, rows.slice(whole)
-        if held is not None and held.num_rows:
-            yield from padded(held, made)
+        made, held, n_held = TaskContext.get().partitionId() << TASK_BITS, [], 0
+        for rows in (part for batch in batches for part in sliced(batch)):
+            held, n_held = [*held, rows], n_held + rows.num_rows
+            whole = n_held // batch_size * batch_size
+            if not whole:
+                continue
+            if len(held) > 1:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield from padded(rows.slice(0, whole), made)
+            # What is left is copied, so that it keeps no other rows in memory.
+            left = rows.take(pa.array(np.arange(whole, n_held)))
+            made, held, n_held = made + whole // batch_size, [left] if left.num_rows else [], left.num_rows
+        if held:
+            yield from padded(pa.Table.from_batches(held).combine_chunks().to_batches()[0], made)
 
     return df.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from sonoframe.functions.arrays import argmax, ctc_collapse, unmask_labels, zsco
 from sonoframe.operators.columns import declared_rate, select_eval_split
 from sonoframe.operators.batches import form_batches
 from sonoframe.operators.joins import pair_hypotheses
-from sonoframe.operators.lexicon import decode_ids, encode_characters
+from sonoframe.operators.lexicon import character_ids, decode_ids
 from sonoframe.operators.metrics import corpus_wer, evaluate
 from sonoframe.sources.audio import read_audio
 
@@ -45,18 +45,18 @@ def build_training_table(
     column of samples is named, ``input_values`` computed from it by ``extract`` and ``input_length``.
     Features may have one value per frame, or a list of them.
 
-    Batches hold neighbouring rows of a task and at most ``batch_size`` of them, so they are formed and padded
-    without a shuffle. All other columns are gone.
+    Batches hold neighbouring rows of a task and at most ``batch_size`` of them, so they are encoded, formed and padded
+    in one pass, without a shuffle. All other columns are gone.
     """
 
     def build(split: DataFrame) -> DataFrame:
-        coded = encode_characters(split, "transcript", vocab)
         features = "input_values" if samples else None
         if samples:
-            coded = featurize(coded, extract, samples)
-        kept = coded.select("audio", "labels", *([features] if features else []))
-        return form_batches(kept, batch_size, features=features, mode=mode, pad_id=pad_id)
+            split = featurize(split, extract, samples)
+        kept = split.select("audio", F.col("transcript").alias("labels"), *([features] if features else []))
+        return form_batches(kept, batch_size, features=features, mode=mode, pad_id=pad_id, encode=encode)
 
+    encode = character_ids(vocab)
     train, evaluation = select_eval_split(processed, eval_split)
     return build(train), build(evaluation) if evaluation is not None else None
 

@@ -1,7 +1,9 @@
 import math
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from sonoframe.operators.columns import (
 )
 from sonoframe.operators.concat import concat_segments
 from sonoframe.operators.joins import heavy_hitters, hot_pieces, join_prompts, lookup_join, pair_hypotheses, unmatched_waves
-from sonoframe.operators import batches
+from sonoframe.operators import batches, lexicon
 from sonoframe.operators.batches import form_batches
 from sonoframe.operators.labels import assign_batches, pad_features, pad_labels
 from sonoframe.operators.lexicon import char_vocabulary, decode_ids, encode_characters
@@ -503,3 +505,61 @@ def test_training_and_scoring_jobs(spark):
     frames = spark.createDataFrame([("x", scores)], "audio string, s array<array<double>>")
     assert decode_predictions(frames, "s", vocab).first()["text"] == "aab"
     assert featurize(frames, lambda c: F.size(c), "s").first()["input_values"] == 5
+
+
+def test_text_becomes_ids_with_little_besides_the_result(spark):
+    vocab = char_vocabulary(spark.createDataFrame([("abé😀 ",)], "text string"), "text")
+    encode = lexicon.character_ids(vocab)
+    texts = pa.array(["ab é😀x" * 500, None, ""] * 700)
+    tracemalloc.start()
+    try:
+        ids = encode(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * ids.nbytes + (8 << 20)  # five times the result before
+    assert ids[0].as_py() == [3, 4, 2, 5, 6, 1] * 500 and ids[1].as_py() is None and ids[2].as_py() == []
+
+
+def test_ids_become_text_over_many_pieces(spark, monkeypatch):
+    monkeypatch.setattr(lexicon, "PIECE", 7)
+    rows = [([3, -100, 4, 2], "aé "), (None, None), ([], ""), ([5, 99, 5, 3] * 9, "😀😀a" * 9), ([0, 1], ""), ([None, 3], "a")]
+    tokens = [" ", "a", "é", "😀"]
+    decode = lexicon._decoder(np.arange(2, 6), tokens, "").func
+    column = pa.array([ids for ids, _ in rows], pa.list_(pa.int32()))
+    assert decode(column).to_pylist() == [text for _, text in rows]
+    assert decode(column.slice(3)).to_pylist() == [text for _, text in rows[3:]] and len(decode(column.slice(0, 0))) == 0
+    assert lexicon._decoder(np.arange(2, 6), tokens, "|").func(column).to_pylist() == [None if t is None else "|".join(t) for _, t in rows]
+    assert lexicon._decoder(np.array([], np.int64), [], "").func(column).to_pylist() == [None if t is None else "" for _, t in rows]
+
+
+def test_batches_are_encoded_in_the_same_pass(spark):
+    texts = [None if i % 9 == 4 else "abc"[: i % 4] * (i % 5) for i in range(101)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, labels string").coalesce(1).sortWithinPartitions("i")
+    vocab = char_vocabulary(df, "labels")
+    once = form_batches(df, 4, encode=lexicon.character_ids(vocab))
+    twice = form_batches(encode_characters(df, "labels", vocab), 4)
+    assert once.schema == twice.schema and once.orderBy("i").collect() == twice.orderBy("i").collect()
+    train, _ = build_training_table(df.select(F.lit("train").alias("split"), F.col("i").cast("string").alias("audio"), F.col("labels").alias("transcript")), vocab)
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan  # ids were sent to the JVM and back
+
+
+def test_a_pass_over_batches_looks_at_few_rows(spark, monkeypatch):
+    """The most values that are padded together, whatever the size of an Arrow batch."""
+    df = spark.range(4000, numPartitions=1).select("id", F.array_repeat(F.lit(1), 2000).alias("labels"))
+
+    def traced(parts):
+        tracemalloc.start()
+        yield from parts
+        yield pa.RecordBatch.from_arrays([pa.array([tracemalloc.get_traced_memory()[1]])], ["peak"])
+
+    made = {}
+    monkeypatch.setattr(type(df), "mapInArrow", lambda frame, run, schema: made.update(run=run))
+    form_batches(df, 4)
+    monkeypatch.undo()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array([[1] * 2000] * 4000, pa.list_(pa.int32()))], ["id", "labels"])
+    monkeypatch.setattr(batches.TaskContext, "get", classmethod(lambda cls: type("Here", (), {"partitionId": lambda self: 0})()))
+    *parts, peak = traced(made["run"](iter([batch])))
+    tracemalloc.stop()
+    assert sum(p.num_rows for p in parts) == 4000 and peak.column(0)[0].as_py() < 100 << 20  # 300 MB before
