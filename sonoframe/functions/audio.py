@@ -43,7 +43,11 @@ def _unpack(payload: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.BinaryType())
 def _pack(samples: pa.Array) -> pa.Array:
-    return pa.array([None if r is None else r.astype("<f4").tobytes() for r in list_rows(samples)], pa.binary())
+    values = samples.flatten().cast(pa.float32()).fill_null(float("nan")).to_numpy().astype("<f4", copy=False)
+    sizes = pc.fill_null(pc.list_value_length(samples), 0).to_numpy(zero_copy_only=False).astype(np.int64) * 4
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    packed = pa.BinaryArray.from_buffers(pa.binary(), len(samples), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    return pc.if_else(samples.is_valid(), packed, pa.scalar(None, pa.binary())) if samples.null_count else packed
 
 
 def unpack_samples(payload: Column) -> Column:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from sonoframe.functions import arrays, audio, text
-from sonoframe.functions.recognise import transcribe_windows
+from sonoframe.functions.recognise import hears_batches, transcribe_windows
 from sonoframe.operators import batches, columns, concat, joins, labels, lexicon, metrics, running, windows
 from sonoframe.plans import manifests as manifest_jobs, prepare as prepare_jobs, training, transcribe
 from sonoframe.schemas import CHUNK as CHUNK_SCHEMA, VOCAB
@@ -1009,9 +1009,16 @@ def training_table(spark, folder):
 def sample_sums():
     """Stand-in recogniser: number of samples and their sum in thousandths."""
 
-    def recognise(samples, rate):
-        total = int(np.floor(samples.astype(np.float64) * 1000).sum())
-        return {"text": f" {len(samples)}:{total} "}
+    @hears_batches(64, 1 << 20)
+    def recognise(windows, rate):
+        lengths = [len(samples) for samples in windows]
+        values = np.floor(np.concatenate(windows).astype(np.float64) * 1000)
+        if min(lengths) == max(lengths):
+            totals = values.reshape(len(windows), lengths[0]).sum(axis=1).tolist()
+        else:  # whole numbers, so differences of running sums are exact
+            upto, sums = np.cumsum([0, *lengths]), np.concatenate(([0.0], np.cumsum(values)))
+            totals = (sums[upto[1:]] - sums[upto[:-1]]).tolist()
+        return [{"text": f" {n}:{int(total)} "} for n, total in zip(lengths, totals, strict=True)]
 
     return recognise
 

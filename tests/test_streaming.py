@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sonoframe.functions.audio import unpack_samples
+from sonoframe.functions import recognise as R
 from sonoframe.functions.recognise import hears_batches, text_of, transcribe_windows
 from sonoframe.plans.transcribe import replay_sessions, segment_lines, transcribe_files, transcribe_waveforms
 from sonoframe.schemas import CHUNK
@@ -337,3 +339,11 @@ def test_training_table_with_audio(spark, tmp_path):
         load_audio(cast_audio(gone), str(tmp_path / "w")).collect()
     files = spark.read.format("binaryFile").load(str(tmp_path / "w")).select("path", decode_audio(F.col("content"), 8000).alias("a"))
     assert {len(r["a"]["array"]) for r in files.collect()} == {4, 2, 10}
+
+
+def test_spans_are_taken_out_of_a_batch_few_at_a_time():
+    """A batch of spans is as large as Spark makes it; little of it becomes Python values together."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array([bytes(1 << 20)] * 64)], ["i", "span"])
+    parts = list(R._sliced(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= R.SLICE_BYTES >> 20
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(64))
